@@ -61,7 +61,7 @@ def _score_sql() -> tuple[str, dict]:
                        if g in ("high", "medium") and not any(x in w for x in rules.SCORE_LOW))
     negs = ", ".join(f"CASE WHEN {n} > 0 THEN {d.s(w)} END" for (g, w, _), n in zip(terms, cnt) if g == "negative")
     body = f"""SELECT doc_id, {pos} + {ev} AS pos, {neg} AS neg, ({anchor}) AS anchor, ({spec}) AS spec,
-      array_to_string(list_filter([{negs}], x -> x IS NOT NULL)[1:5], '|') AS neg_hits FROM (SELECT doc_id, lower(content) AS c FROM articles)"""
+      array_to_string(list_filter([{negs}], lambda x: x IS NOT NULL)[1:5], '|') AS neg_hits FROM (SELECT doc_id, lower(content) AS c FROM articles)"""
     sql = """SELECT doc_id, greatest(0.0, pos - neg) + CASE WHEN anchor THEN 5.0 ELSE 0.0 END AS score, neg AS negative,
  anchor AS has_anchor, neg_hits, greatest(0.0, pos - neg) + CASE WHEN anchor THEN 5.0 ELSE 0.0 END >= 8 AND neg < 6 AND spec AS ok FROM scored"""
     return sql, {"scored": body}
@@ -76,7 +76,7 @@ def score_prefilter(t):
 
 
 def _found(c: str, terms) -> str:
-    return f"list_filter({'[' + ', '.join(d.s(w) for w in terms) + ']'}, w -> contains({c}, w))"
+    return f"list_filter({'[' + ', '.join(d.s(w) for w in terms) + ']'}, lambda w: contains({c}, w))"
 
 
 _COMP = ", ".join("CASE WHEN " + " AND ".join(f"contains(t, {d.s(w)})" for w in ws) + f" THEN {d.s(n)} END"
@@ -86,7 +86,7 @@ _COMP = ", ".join("CASE WHEN " + " AND ".join(f"contains(t, {d.s(w)})" for w in
 @query("title_prefilter", "F5", f"""SELECT doc_id, CASE WHEN len(p) > 0 OR len(n) = 0 THEN 'pass' ELSE 'skip' END AS decision,
  array_to_string(p, '|') AS positives, CASE WHEN len(p) > 0 THEN '' ELSE array_to_string(n, '|') END AS negatives
  FROM (SELECT doc_id, {_found('t', rules.TITLE_POSITIVES)} AS p,
-   list_concat({_found('t', rules.TITLE_NEGATIVES)}, list_filter([{_COMP}], x -> x IS NOT NULL)) AS n
+   list_concat({_found('t', rules.TITLE_NEGATIVES)}, list_filter([{_COMP}], lambda x: x IS NOT NULL)) AS n
    FROM (SELECT doc_id, lower(title) AS t FROM articles))""")
 def title_prefilter(t):
     df = t.articles.select("doc_id", classify.title_prefilter(C("title")).alias("r"))
@@ -277,13 +277,13 @@ def title_scope(t):
         C("brand_name"), C("p_model"), C("a.scenario"), C("a.brand"), C("a.model"))).select("doc_id", "p_id")
 
 
-_WORDS = f"list_filter(regexp_split_to_array(lower(p_model), {d.s('[' + rx.BLANK + ']+')}), w -> length(w) > 2)"
+_WORDS = f"list_filter(regexp_split_to_array(lower(p_model), {d.s('[' + rx.BLANK + ']+')}), lambda w: length(w) > 2)"
 _DISC = """SELECT an.*, a.title, a.content, p.id AS p_id, p.brand_name AS p_brand, p.model AS p_model FROM an JOIN articles a USING (doc_id)
  JOIN products p ON p.source_id = an.doc_id"""
 
 
 @query("title_scope_strict", "F13", f"""SELECT doc_id, p_id FROM (SELECT *, coalesce(list_sum(list_transform({_WORDS},
-   w -> floor((length(content) - length(replace(lower(content), w, ''))) / length(w)))), 0) AS hits FROM scoped)
+   lambda w: floor((length(content) - length(replace(lower(content), w, ''))) / length(w)))), 0) AS hits FROM scoped)
  WHERE CASE WHEN scenario IN ('specific', 'brand-only') AND brand IS NOT NULL THEN coalesce(lower(p_brand) = lower(brand), false)
  WHEN scenario = 'general' THEN coalesce(contains(lower(title), lower(p_brand)) AND hits >= 2, false) ELSE true END""",
        _analysis_ctes() | {"scoped": _DISC})
@@ -294,10 +294,10 @@ def title_scope_strict(t):
         C("brand_name"), C("p_model"), C("title"), C("content"), C("a.scenario"), C("a.brand"))).select("doc_id", "p_id")
 
 
-_SIG = f"list_filter(regexp_split_to_array(lower(model), {d.s('[' + rx.BLANK + ']+')}), w -> length(w) > 2 AND w NOT IN {d.in_list(rules.MENTION_WORD_STOP)})"
+_SIG = f"list_filter(regexp_split_to_array(lower(model), {d.s('[' + rx.BLANK + ']+')}), lambda w: length(w) > 2 AND w NOT IN {d.in_list(rules.MENTION_WORD_STOP)})"
 
 
-@query("model_mentioned", "F13", f"""SELECT id, CASE WHEN len({_SIG}) > 0 THEN len(list_filter({_SIG}, w -> contains(lower(content), w))) / len({_SIG}) >= 0.7
+@query("model_mentioned", "F13", f"""SELECT id, CASE WHEN len({_SIG}) > 0 THEN len(list_filter({_SIG}, lambda w: contains(lower(content), w))) / len({_SIG}) >= 0.7
  ELSE false END AS mentioned FROM products JOIN articles ON products.source_id = articles.doc_id""")
 def model_mentioned(t):
     a = t.articles.select(C("doc_id").alias("source_id"), "content")

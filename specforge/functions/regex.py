@@ -106,3 +106,65 @@ def sub(c: Column, pattern: str, to: str = "", flags: str = "i") -> Column:
 
 def literal(text: str) -> str:
     return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", text)
+
+
+def required(pattern: str) -> str:
+    """Longest literal that every match must contain, '' when there is none."""
+    toks, runs, run, depth, in_class, brace = _tokens(pattern), [], "", 0, False, False
+    for i, tok in enumerate(toks):
+        nxt = toks[i + 1] if i + 1 < len(toks) else ""
+        if in_class:
+            in_class = tok != "]"
+            continue
+        if tok == "{" or brace:
+            brace = tok != "}"
+            runs.append(run)
+            run = ""
+            continue
+        plain = len(tok) == 1 and (tok.isalnum() or tok in " -_<:,%")
+        if len(tok) == 2 and tok[0] == "\\" and not tok[1].isalnum():
+            plain, tok = True, tok[1]
+        if tok == "|" and depth == 0 and not plain:
+            return ""
+        if plain and depth == 0 and nxt not in ("?", "*", "{"):
+            run += tok
+            if nxt != "+":
+                continue
+        runs.append(run)
+        run = ""
+        if not plain:
+            depth += tok.startswith("(") - (tok == ")")
+            in_class = tok == "["
+    return max([*runs, run], key=len).lower()
+
+
+def guard(low: Column, pattern: str, value: Column) -> Column:
+    """Evaluate `value` only where the pattern's literal occurs.
+
+    A substring search is many times cheaper than a pattern; most texts hold
+    few of the many rules.
+    """
+    lit = required(pattern)
+    return F.when(F.contains(low, F.lit(lit)), value) if lit else value
+
+
+def test_low(low: Column, pattern: str) -> Column:
+    """Test a rule on lower-cased text."""
+    lit = required(pattern)
+    if lit == pattern:
+        return F.contains(low, F.lit(lit))
+    hit = F.rlike(low, F.lit(java(pattern, "")))
+    return F.contains(low, F.lit(lit)) & hit if lit else hit
+
+
+def any_low(low: Column, patterns) -> Column:
+    out = None
+    for p in patterns:
+        t = test_low(low, p)
+        out = t if out is None else out | t
+    return out
+
+
+def pick_low(low: Column, c: Column, pattern: str, group: int = 1) -> Column:
+    """`pick`, skipped where the pattern's literal is absent."""
+    return guard(low, pattern, pick(c, pattern, group))

@@ -133,3 +133,17 @@ def sum_of(cols) -> Column:
 
 def is_blank(c: Column) -> Column:
     return c.isNull() | (trim(c) == "")
+
+
+def let(value: Column, body) -> Column:
+    """Bind a computed value once for use inside nested lambdas.
+
+    The optimizer may inline a column into a lambda, where it would run again
+    for every element; a lambda variable is computed once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def tail(arr: Column) -> Column:
+    """All items but the first."""
+    return F.slice(arr, 2, 1_000_000_000)

@@ -45,7 +45,7 @@ def headings(content: Column) -> Column:
     kept = F.transform(parts, lambda p, i: F.when(i == 0, p).when(
         _real_heading(model(p)), F.concat(F.lit(OPEN), p)).otherwise(plain(p)))
     cut = F.split(F.array_join(kept, ""), OPEN)
-    rows = F.transform(F.slice(cut, 2, F.greatest(F.size(cut), F.lit(1))), lambda p: F.struct(
+    rows = F.transform(text.tail(cut), lambda p: F.struct(
         text.trim(F.substring_index(p, MID, 1)).alias("heading"),
         model(p).alias("brand_model"),
         F.nullif(F.substring_index(F.substring_index(p, CLOSE, 1), MID2, -1), F.lit("")
@@ -78,6 +78,10 @@ def split_brand_model(c: Column) -> Column:
         F.when(rest.isNotNull(), keys.refine_model(first, rest)).alias("model")))
 
 
+def _low(block: Column) -> Column:
+    return F.lower(block)
+
+
 def price_of(block: Column) -> Column:
     """First bracketed or dollar amount, only when it is a plausible price."""
     hit = rx.pick(block, "|".join(rules.PRICE_IN_BLOCK), 0, "")
@@ -85,17 +89,18 @@ def price_of(block: Column) -> Column:
     return units.keep_in_bounds(n, "price")
 
 
-def weight_of(block: Column, patterns=rules.WEIGHT_PATTERNS) -> Column:
+def weight_of(block: Column, patterns=rules.WEIGHT_PATTERNS, low: Column | None = None) -> Column:
     """Grams, first matching pattern; ounces converted."""
-    out = []
+    out, low = [], _low(block) if low is None else low
     for pattern, group, unit in patterns:
-        n = rx.pick(block, pattern, group).try_cast("double")
+        n = rx.pick_low(low, block, pattern, group).try_cast("double")
         out.append(n if unit == "g" else units.oz_to_grams(n, rules.OZ_TO_GRAMS_TEXT))
     return F.coalesce(*out)
 
 
-def heights_of(block: Column, pairs=rules.PAIR_PATTERNS) -> Column:
+def heights_of(block: Column, pairs=rules.PAIR_PATTERNS, low: Column | None = None) -> Column:
     """struct(heel_height, forefoot_height): pair patterns first, then single mentions."""
+    low = _low(block) if low is None else low
     num = lambda p, g=1: rx.pick(block, p, g).try_cast("double")
 
     def both(h, f):
@@ -103,7 +108,8 @@ def heights_of(block: Column, pairs=rules.PAIR_PATTERNS) -> Column:
     out = None
     for pattern, heel, fore in pairs:
         hit = both(num(pattern, heel), num(pattern, fore))
-        out = (F if out is None else out).when(rx.test(block, pattern), hit)
+        test = F.coalesce(rx.guard(low, pattern, rx.test(block, pattern)), F.lit(False))
+        out = (F if out is None else out).when(test, hit)
     nz = lambda x: F.when(x != 0, x)
     general = num(rules.HEEL_GENERAL)
     at_heel = num(rules.HEEL_AT_HEEL)
@@ -114,37 +120,49 @@ def heights_of(block: Column, pairs=rules.PAIR_PATTERNS) -> Column:
     stack = num(rules.STACK_GENERAL)
     heel = F.coalesce(nz(heel), F.when(nz(fore).isNull() & (stack > 15), stack), heel)
     # no alternative can match without a unit word: skip the scans
-    return out.when(F.contains(F.lower(block), F.lit("millimeter")), both(heel, fore)
+    return out.when(F.contains(low, F.lit("millimeter")), both(heel, fore)
                     ).otherwise(both(F.lit(None).cast("double"), F.lit(None).cast("double")))
 
 
-def drop_of(block: Column, patterns=rules.DROP_PATTERNS) -> Column:
-    explicit = [rx.pick(block, p).try_cast("double") for p in patterns]
-    return F.coalesce(*explicit, F.when(rx.test(block, rules.ZERO_DROP), F.lit(0.0)))
+def drop_of(block: Column, patterns=rules.DROP_PATTERNS, low: Column | None = None) -> Column:
+    low = _low(block) if low is None else low
+    explicit = [rx.pick_low(low, block, p).try_cast("double") for p in patterns]
+    return F.coalesce(*explicit, F.when(F.contains(low, F.lit("drop")) & rx.test(
+        block, rules.ZERO_DROP), F.lit(0.0)))
 
 
 def use_and_surface(heading: Column, block: Column) -> Column:
     """struct(primary_use, surface_type); mixed surfaces count as road."""
-    c = F.concat_ws(" ", heading, block)
-    trail, road = rx.test(c, "trail"), rx.test(c, "road|pavement|asphalt|versatile")
+    return text.let(F.lower(F.concat_ws(" ", heading, block)), _use_and_surface)
+
+
+def _use_and_surface(low: Column) -> Column:
+    any_word = lambda ws: rx.any_low(low, ws.split("|"))
+    trail, road = any_word("trail"), any_word("road|pavement|asphalt|versatile")
     surface = F.when(trail, "trail").when(road, "road")
     use = None
     for pattern, name in rules.USE_SPECIFIC:
-        use = (F if use is None else use).when(rx.test(c, pattern), name)
+        use = (F if use is None else use).when(any_word(pattern), name)
     return F.struct(
         use.when(trail, "trail running").when(road, "road").alias("primary_use"),
         surface.alias("surface_type"))
 
 
-def waterproof_of(block: Column) -> Column:
-    mention = rx.pick(block, rules.WATERPROOF_MENTION, 0)
+def waterproof_of(block: Column, low: Column | None = None) -> Column:
+    low = _low(block) if low is None else low
+    named = rx.any_low(low, ["gore", "gtx", "water"])
+    # only the start of the mention matters: 'not ' or the word itself
+    mention = F.when(named, rx.pick(block, rules.WATERPROOF_MENTION, 0))
     negated = F.lower(F.substring(mention, 1, 4)).rlike(f"^not[{rx.BLANK}]")
     return (F.when(mention.isNotNull(), ~negated)
-            .when(rx.test(block, rules.WATERPROOF_NEGATION), F.lit(False)))
+            .when(F.contains(low, F.lit("water")) & rx.test(block, rules.WATERPROOF_NEGATION),
+                  F.lit(False)))
 
 
-def carbon_of(block: Column) -> Column:
-    return F.when(rx.test(block, rules.CARBON_MENTION), F.lit(True))
+def carbon_of(block: Column, low: Column | None = None) -> Column:
+    low = _low(block) if low is None else low
+    return F.when(F.contains(low, F.lit("carbon")) & rx.test(block, rules.CARBON_MENTION),
+                  F.lit(True))
 
 
 def extract_specs(blocks: DataFrame, profile: str = "full") -> DataFrame:
@@ -155,17 +173,18 @@ def extract_specs(blocks: DataFrame, profile: str = "full") -> DataFrame:
     `profile='classic'` uses the older rule set.
     """
     full = profile == "full"
-    b = F.col("block")
+    b, low = F.col("block"), F.col("_low")
+    blocks = blocks.withColumn("_low", F.lower(b))
     bm = split_brand_model(F.col("brand_model"))
     df = blocks.withColumns({
         "_bm": bm,
         "_use": use_and_surface(F.col("heading"), b),
-        "_h": heights_of(b, rules.PAIR_PATTERNS if full else rules.CLASSIC_PAIR_PATTERNS),
-        "_drop": drop_of(b, rules.DROP_PATTERNS if full else rules.CLASSIC_DROP_PATTERNS),
-        "_w": weight_of(b, rules.WEIGHT_PATTERNS if full else rules.CLASSIC_WEIGHT_PATTERNS),
+        "_h": heights_of(b, rules.PAIR_PATTERNS if full else rules.CLASSIC_PAIR_PATTERNS, low),
+        "_drop": drop_of(b, rules.DROP_PATTERNS if full else rules.CLASSIC_DROP_PATTERNS, low),
+        "_w": weight_of(b, rules.WEIGHT_PATTERNS if full else rules.CLASSIC_WEIGHT_PATTERNS, low),
         "_p": F.coalesce(F.when(F.col("heading_price") != 0, F.col("heading_price")),
                          price_of(b)),
-        "_wp": waterproof_of(b), "_cp": carbon_of(b)})
+        "_wp": waterproof_of(b, low), "_cp": carbon_of(b, low)})
     heel, fore = F.col("_h.heel_height"), F.col("_h.forefoot_height")
     derived = F.when((heel != 0) & (fore != 0), text.round_to(heel - fore, 1))
     nz = lambda c: F.when(c != 0, c)
@@ -183,7 +202,7 @@ def extract_specs(blocks: DataFrame, profile: str = "full") -> DataFrame:
         "cushioning_type": none,
         "surface_type": F.col("_use.surface_type"),
         "foot_width": none, "additional_features": none,
-    }).drop("_bm", "_use", "_h", "_drop", "_w", "_p", "_wp", "_cp")
+    }).drop("_low", "_bm", "_use", "_h", "_drop", "_w", "_p", "_wp", "_cp")
 
 
 def quality_name(brand: Column, model: Column) -> Column:
@@ -206,10 +225,9 @@ def match_contexts(content: Column, pattern: str, before: int, after: int,
     `before / min_match` parts, so the work is linear in the text.
     """
     marked = F.regexp_replace(_clean(content), rx.java(pattern, flags), f"{OPEN}$0{MID}")
-    parts = F.split(marked, OPEN)
     kb, ka = before // min_match + 2, after // min_match + 2
 
-    def one(p, i):  # i is the zero-based index of the match, part i + 1 holds it
+    def one(parts, p, i):  # i is the zero-based index of the match, part i + 1 holds it
         match = F.substring_index(p, MID, 1)
         lo = F.greatest(F.lit(1), i + 2 - kb)
         left = _joined(parts, lo, i + 2 - lo)
@@ -217,7 +235,8 @@ def match_contexts(content: Column, pattern: str, before: int, after: int,
                          _joined(parts, i + 3, F.lit(ka)))
         return F.struct(match.alias("match"), F.right(left, F.lit(before)).alias("before"),
                         F.substring(right, 1, after).alias("after"))
-    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), one)
+    return text.let(F.split(marked, OPEN), lambda parts: F.transform(
+        text.tail(parts), lambda p, i: one(parts, p, i)))
 
 
 def valid_model_part(model: Column) -> Column:
@@ -238,12 +257,11 @@ def mentions(content: Column) -> Column:
     pattern = (rf"\b(?:{brands})\s+(?:(?:Air\s+Zoom\s+|Gel-?|Fresh\s+Foam\s+)?"
                rf"[a-z]+(?:\s+[a-z]+)?\s*\d+[a-z]*|(?:{rules.MENTION_SERIES})\b)")
     marked = F.regexp_replace(_clean(content), rx.java(pattern), f"{OPEN}$0{MID}")
-    parts = F.split(marked, OPEN)
     brand_of = lambda m: F.coalesce(*[
         F.when(F.startswith(F.lower(m), F.lit(b.lower())), F.lit(b))
         for b in rules.MENTION_BRANDS])
 
-    def one(p, i):
+    def one(parts, p, i):
         match = text.trim(F.substring_index(p, MID, 1))
         rest = F.substring_index(p, MID, -1)
         brand = brand_of(match)
@@ -261,7 +279,8 @@ def mentions(content: Column) -> Column:
             rx.pick(around, rules.MENTION_PRICE).try_cast("double").alias("price"),
             F.concat(match, F.lit("\n"), text.trim(
                 F.when(last, F.substring(rest, 1, 300)).otherwise(rest))).alias("block"))
-    found = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), one)
+    found = text.let(F.split(marked, OPEN), lambda parts: F.transform(
+        text.tail(parts), lambda p, i: one(parts, p, i)))
     return F.transform(F.filter(found, lambda m: valid_model_part(m["model"])),
                        lambda m: F.struct(
                            m["heading"].alias("heading"),

@@ -22,27 +22,30 @@ def relevance(title: Column, content: Column, strict_substrings: bool = False) -
     Short negative terms are word-bounded; `strict_substrings` matches them
     anywhere, so that "what" counts as a hat.
     """
-    negative = rx.any_of(rules.NON_SHOE_TERMS_SUBSTRING if strict_substrings
-                         else rules.NON_SHOE_TERMS)
-    positive = rx.any_of(rules.SHOE_TERMS)
+    terms = rules.NON_SHOE_TERMS_SUBSTRING if strict_substrings else rules.NON_SHOE_TERMS
+    negative = lambda low: rx.any_low(low, terms)
+    positive = lambda low: rx.any_low(low, rules.SHOE_TERMS)
     t = F.lower(text.trim(title))
-    traits = text.sum_of([rx.test(content, p).cast("int")
-                          for p in rules.CHARACTERISTIC_PATTERNS])
+    traits = lambda low: text.sum_of([
+        rx.test_low(low, p).cast("int") for p in rules.CHARACTERISTIC_PATTERNS])
 
     def out(keep, stage, reason):
         return F.struct(F.lit(keep).alias("keep"), F.lit(stage).alias("stage"),
                         F.lit(reason).alias("reason"))
-    return (F.when(_or(rx.test(t, negative)), out(False, "title", "negative_term"))
-            .when(_or(rx.test(t, positive)), out(True, "title", "positive_term"))
-            .when(text.is_blank(content), out(False, "content", "no_content"))
-            .when(rx.test(content, positive), out(True, "content", "positive_term"))
-            .when(traits >= 3, out(True, "content", "characteristics"))
-            .when(rx.test(content, negative), out(False, "content", "negative_term"))
-            .otherwise(out(False, "content", "no_indicator")))
+    by_content = text.let(F.lower(content), lambda low: (
+        F.when(positive(low), out(True, "content", "positive_term"))
+        .when(traits(low) >= 3, out(True, "content", "characteristics"))
+        .when(negative(low), out(False, "content", "negative_term"))
+        .otherwise(out(False, "content", "no_indicator"))))
+    by_title = text.let(t, lambda low: (
+        F.when(_or(negative(low)), out(False, "title", "negative_term"))
+        .when(_or(positive(low)), out(True, "title", "positive_term"))))
+    none = F.when(text.is_blank(content), out(False, "content", "no_content"))
+    return F.coalesce(by_title, none, by_content)
 
 
 def mentions_review(c: Column) -> Column:
-    return rx.test(c, rx.any_of(rules.REVIEW_TERMS))
+    return text.let(F.lower(c), lambda low: rx.any_low(low, rules.REVIEW_TERMS))
 
 
 def is_product_article(title: Column, content: Column) -> Column:
@@ -65,57 +68,78 @@ def term_patterns() -> list[tuple[str, str, str]]:
     return [(g, t, _term_pattern(t, g)) for g, terms in groups for t in terms]
 
 
+def _term_counts(low: Column) -> Column:
+    """map(term key -> hits) of a lower-cased text, in two scans.
+
+    A word is a maximal run of word characters, so vocabulary words are counted
+    by equality.  Phrases share no border word and count by one alternation;
+    their key has no blanks or hyphens (see `_term_key`).
+    """
+    words = [t.lower() for _, t, _ in term_patterns() if t.isalnum()]
+    phrases = [p.lower() for _, t, p in term_patterns() if " " in t]
+    found = F.concat(
+        F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)),
+                 lambda w: w.isin(words)),
+        F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(rx.required(p))) for p in phrases]),
+               F.transform(F.regexp_extract_all(low, F.lit(rx.java("|".join(phrases), "")), F.lit(0)),
+                           lambda m: F.regexp_replace(m, f"[{rx.BLANK}-]", "")))
+        .otherwise(F.array().cast("array<string>")),
+        F.array_repeat(F.lit("$"), F.regexp_count(low, F.lit(r"\$"))))
+    return F.map_from_entries(text.let(found, lambda ws: F.transform(
+        F.array_distinct(ws), lambda w: F.struct(
+            w.alias("t"), F.size(F.filter(ws, lambda x: x == w)).alias("n")))))
+
+
+def _term_key(term: str) -> str:
+    return term.lower().replace("-", "").replace(" ", "")
+
+
 def with_prefilter(df: DataFrame, content: str, prefix: str = "prefilter_") -> DataFrame:
     """Weighted keyword score with capped counts, anchor bonus and decision.
 
-    Adds score, negative, has_anchor, ok, pos_hits, neg_hits.  Counts are
-    staged in one array column, so each term scans the text once.
+    Adds score, negative, has_anchor, ok, pos_hits, neg_hits.
     """
-    terms = term_patterns()
-    low = F.lower(F.col(content))
-    counts = F.array(*[F.least(rx.count(low, p.lower(), ""), F.lit(rules.SCORE_CAP))
-                       for _, _, p in terms])
-    evidence = F.array(*[rx.test(low, p, "") for p, _, _ in rules.EVIDENCE_PATTERNS])
-    anchor = reduce(lambda a, b: a | b, [rx.test(low, p) for p in rules.ANCHOR_PATTERNS])
-    df = df.withColumns({"_cnt": counts, "_ev": evidence, "_anchor": anchor})
-
-    weight = [rules.SCORE_WEIGHTS[g] for g, _, _ in terms]
-    names = F.array(*[F.lit(t) for _, t, _ in terms])
-    split = len(terms) - len(rules.SCORE_NEGATIVE)
-
-    def hits(start, size):
-        pairs = F.arrays_zip(F.slice(names, start, size).alias("t"),
-                             F.slice(F.col("_cnt"), start, size).alias("n"))
-        return F.transform(F.filter(pairs, lambda x: x["n"] > 0), lambda x: x["t"])
-    positive = text.sum_of([F.col("_cnt")[i] * F.lit(weight[i]) for i in range(split)])
-    positive = positive + text.sum_of([F.col("_ev")[i].cast("double") for i in range(3)])
-    negative = text.sum_of([F.col("_cnt")[i] * F.lit(weight[i])
-                            for i in range(split, len(terms))])
-    no_hit = lambda *parts: ~F.exists(hits(1, split), lambda t: F.rlike(
-        t, F.lit("|".join(rx.literal(x) for x in parts))))
+    p = prefix
+    low = F.col("_low")
+    table = F.array(*[F.struct(
+        F.lit(t).alias("term"), F.lit(_term_key(t)).alias("key"), F.lit(g).alias("group"),
+        F.lit(rules.SCORE_WEIGHTS[g]).alias("weight"),
+        F.lit(g in ("high", "medium") and not any(x in t for x in rules.SCORE_LOW)
+              ).alias("specific")) for g, t, _ in term_patterns()])
+    df = df.withColumn("_low", F.lower(F.coalesce(F.col(content), F.lit(""))))
+    df = df.withColumn("_counts", _term_counts(low))
+    df = df.withColumns({
+        "_hits": text.let(F.col("_counts"), lambda counts: F.filter(
+            F.transform(table, lambda r: r.withField("n", F.least(F.coalesce(
+                F.try_element_at(counts, r["key"]), F.lit(0)), F.lit(rules.SCORE_CAP)))),
+            lambda r: r["n"] > 0)),
+        "_ev": F.array(*[rx.test_low(low, q) for q, _, _ in rules.EVIDENCE_PATTERNS]),
+        "_anchor": reduce(lambda a, b: a | b, [rx.test_low(low, q) for q in rules.ANCHOR_PATTERNS])})
+    negative = lambda r: r["group"] == "negative"
+    df = df.withColumns({
+        "_pos": F.filter("_hits", lambda r: ~negative(r)), "_neg": F.filter("_hits", negative)})
+    points = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, r: acc + r["n"] * r["weight"])
+    names = lambda c: F.transform(c, lambda r: r["term"])
+    unseen = lambda *parts: ~F.exists("_pos", lambda r: F.rlike(
+        r["term"], F.lit("|".join(rx.literal(x) for x in parts))))
     labels = F.filter(F.array(*[
-        F.when(F.col("_ev")[i] & no_hit(*parts), F.lit(label)) for i, (parts, label) in
+        F.when(F.col("_ev")[i] & unseen(*parts), F.lit(label)) for i, (parts, label) in
         enumerate([(("$",), "price indication"), (("mm",), "mm measurements"),
                    (("g", "oz"), "weight measurements")])]), lambda x: x.isNotNull())
-    n_specific = len(rules.SCORE_HIGH) + len(rules.SCORE_MEDIUM)
-    # a hit is specific unless its text contains a generic term ("mm", "g", ...)
-    specific_idx = [i for i in range(n_specific)
-                    if not any(t in terms[i][1] for t in rules.SCORE_LOW)]
-    specific = reduce(lambda a, b: a | b, [F.col("_cnt")[i] > 0 for i in specific_idx])
-    p = prefix
+    evidence = F.aggregate("_ev", F.lit(0.0), lambda acc, e: acc + e.cast("double"))
     df = df.withColumns({
-        f"{p}score": F.greatest(F.lit(0.0), positive - negative)
+        f"{p}negative": points(F.col("_neg")),
+        f"{p}score": F.greatest(F.lit(0.0), points(F.col("_pos")) + evidence
+                                - points(F.col("_neg")))
         + F.when(F.col("_anchor"), F.lit(rules.ANCHOR_BONUS)).otherwise(F.lit(0.0)),
-        f"{p}negative": negative,
         f"{p}has_anchor": F.col("_anchor"),
-        f"{p}specific": specific,
-        f"{p}pos_hits": F.slice(F.concat(hits(1, split), labels), 1, 5),
-        f"{p}neg_hits": F.slice(hits(split + 1, len(rules.SCORE_NEGATIVE)), 1, 5),
-    })
+        f"{p}pos_hits": F.slice(F.concat(names(F.col("_pos")), labels), 1, 5),
+        f"{p}neg_hits": F.slice(names(F.col("_neg")), 1, 5),
+        "_specific": F.exists("_pos", lambda r: r["specific"])})
     ok = ((F.col(f"{p}score") >= rules.SCORE_MIN)
-          & (F.col(f"{p}negative") < rules.SCORE_NEGATIVE_MAX) & F.col(f"{p}specific"))
-    return df.withColumn(f"{p}ok", F.coalesce(ok, F.lit(False))).drop(
-        "_cnt", "_ev", "_anchor", f"{p}specific")
+          & (F.col(f"{p}negative") < rules.SCORE_NEGATIVE_MAX) & F.col("_specific"))
+    return df.withColumn(f"{p}ok", ok).drop(
+        "_low", "_counts", "_hits", "_ev", "_anchor", "_pos", "_neg", "_specific")
 
 
 def title_prefilter(title: Column) -> Column:
@@ -123,8 +147,8 @@ def title_prefilter(title: Column) -> Column:
     low = F.lower(F.coalesce(title, F.lit("")))
 
     def found(terms):
-        return F.filter(F.array(*[F.lit(t) for t in terms]),
-                        lambda t: F.contains(low, t))
+        return text.let(low, lambda s: F.filter(F.array(*[F.lit(t) for t in terms]),
+                                                lambda t: F.contains(s, t)))
     compounds = F.filter(F.array(*[
         F.when(reduce(lambda a, b: a & b, [F.contains(low, F.lit(t)) for t in ts]),
                F.lit(name)) for ts, name in rules.TITLE_COMPOUNDS]),

@@ -138,10 +138,10 @@ def fold_similar(models: Column, fields: Sequence[str], flags: Sequence[str] = (
             *[pick(a, b, f).alias(f) for f in (*fields, *texts, *flags)])
 
     def step(acc, m):
-        at = F.array_position(F.transform(acc, lambda e: _similar(e, m)), True)
-        return F.when(at > 0, F.transform(
+        first = F.array_position(F.transform(acc, lambda e: _similar(e, m)), True)
+        return text.let(first, lambda at: F.when(at > 0, F.transform(
             acc, lambda e, i: F.when(i + 1 == at, merged(e, m)).otherwise(e))
-        ).otherwise(F.concat(acc, F.array(m)))
+        ).otherwise(F.concat(acc, F.array(m))))
     return F.aggregate(models, F.slice(models, 1, 0), step)
 
 

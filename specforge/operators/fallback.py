@@ -22,7 +22,9 @@ def _off_platform(content: Column, pattern: str) -> Column:
 
 def with_fallback_heights(df: DataFrame, content: str) -> DataFrame:
     """Add fb_heel, fb_forefoot, fb_drop: stack pair, else single mentions."""
-    df = df.withColumn("_flat", F.regexp_replace(F.col(content), f"[{rx.BLANK}]+", " "))
+    # every height pattern needs the unit: other texts are not scanned
+    flat = F.regexp_replace(F.col(content), f"[{rx.BLANK}]+", " ")
+    df = df.withColumn("_flat", F.when(F.rlike(F.col(content), F.lit("[mM][mM]")), flat))
     c = F.col("_flat")
 
     def pair(pattern):
@@ -117,8 +119,7 @@ def comparisons(content: Column) -> Column:
         flat = lambda x: text.squeeze(F.replace(x, F.lit(_VS), F.lit(" vs ")))
         return F.struct(flat(left).alias("left"), flat(right).alias("right"))
 
-    def of_run(r):
-        subs = F.split(r, _DOTTED)
+    def of_run(subs):
         pairs = F.transform(
             F.filter(F.sequence(F.lit(0), F.size(subs) - 1), lambda i: i % 2 == 0),
             lambda i: F.when(i + 1 < F.size(subs), cut(F.get(subs, i), F.get(subs, i + 1)))
@@ -127,4 +128,4 @@ def comparisons(content: Column) -> Column:
                 F.substring_index(F.get(subs, i), _VS, -1)))))
         return F.filter(pairs, lambda p: p.isNotNull() & (p["left"] != "")
                         & (p["right"] != ""))
-    return F.flatten(F.transform(runs, of_run))
+    return F.flatten(F.transform(F.transform(runs, lambda r: F.split(r, _DOTTED)), of_run))

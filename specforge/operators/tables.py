@@ -51,8 +51,7 @@ def table_score(table: Column) -> Column:
     """Spec rows times header cells; zero for a table that is no candidate."""
     header = F.size(F.get(table, F.lit(0)))
     spec_rows = F.size(F.filter(
-        F.slice(table, 2, F.greatest(F.size(table), F.lit(1))),
-        lambda r: text.contains_any(F.lower(F.get(r, F.lit(0))), rules.TABLE_KEYWORDS)))
+        text.tail(table), lambda r: text.contains_any(F.lower(F.get(r, F.lit(0))), rules.TABLE_KEYWORDS)))
     return F.when((F.size(table) >= 2) & (header >= 3) & (spec_rows >= 2),
                   spec_rows * header).otherwise(0)
 
@@ -61,10 +60,10 @@ def best_table(tables: Column) -> Column:
     """struct(score, table): highest score, first on ties; null without a candidate."""
     scored = F.transform(tables, lambda t, i: F.struct(
         table_score(t).alias("score"), (-i).alias("order"), t.alias("table")))
-    best = F.aggregate(
+    return F.aggregate(
         scored, F.lit(None).cast("struct<score:int,order:int,table:array<array<string>>>"),
-        lambda acc, x: F.when(acc.isNull() | (x["score"] > acc["score"]), x).otherwise(acc))
-    return F.when(best["score"] > 0, best)
+        lambda acc, x: F.when(acc.isNull() | (x["score"] > acc["score"]), x).otherwise(acc),
+        lambda acc: F.when(acc["score"] > 0, acc))
 
 
 def table_models(table: Column) -> Column:
@@ -74,13 +73,16 @@ def table_models(table: Column) -> Column:
     key decides how a cell is read, the last row of a key wins, a missing drop
     is derived from the heights.
     """
+    return text.let(table, _models)
+
+
+def _models(table: Column) -> Column:
     header = F.get(table, F.lit(0))
-    body = F.filter(F.slice(table, 2, F.greatest(F.size(table), F.lit(1))),
-                    lambda r: F.size(r) == F.size(header))
-    keyed = F.transform(body, lambda r: F.struct(spec_key(F.get(r, F.lit(0))).alias("k"),
-                                                 r.alias("r")))
+    body = F.filter(text.tail(table), lambda r: F.size(r) == F.size(header))
+    rows = F.transform(body, lambda r: F.struct(spec_key(F.get(r, F.lit(0))).alias("k"),
+                                                r.alias("r")))
 
-    def model(name, i):
+    def model(keyed, name, i):
         def last(keys, parse):
             cells = F.filter(F.transform(
                 F.filter(keyed, lambda x: x["k"].isin(keys)),
@@ -96,13 +98,17 @@ def table_models(table: Column) -> Column:
             heel.alias("heel_mm"), fore.alias("forefoot_mm"),
             F.coalesce(drop, heel - fore).alias("drop_mm"),
             last(["price_usd"], cell_price).alias("price_usd"))
-    return F.transform(F.slice(header, 2, F.greatest(F.size(header), F.lit(1))), model)
+    return text.let(rows, lambda keyed: F.transform(
+        text.tail(header), lambda name, i: model(keyed, name, i)))
 
 
 def comparison(tables: Column) -> Column:
     """struct(confidence, models, labels) of the best table; null without one."""
-    best = best_table(tables)
-    models = table_models(best["table"])
+    return text.let(best_table(tables), lambda best: F.when(best.isNotNull(), text.let(
+        table_models(best["table"]), lambda models: _described(best["score"], models))))
+
+
+def _described(score: Column, models: Column) -> Column:
     given = lambda *fs: F.exists(models, lambda m: F.coalesce(
         *[m[f] for f in fs]).isNotNull())
     labels = F.filter(F.flatten(F.array(
@@ -111,6 +117,5 @@ def comparison(tables: Column) -> Column:
                F.array(F.lit("STACK"), F.lit("DROP"))).otherwise(F.array(F.lit(""))),
         F.when(given("price_usd"), F.array(F.lit("PRICE"))).otherwise(F.array(F.lit(""))),
         F.array(F.lit("MULTI_TABLE")))), lambda x: x != "")
-    return F.when(best.isNotNull(), F.struct(
-        F.least(F.lit(1.0), best["score"] / F.lit(20.0)).alias("confidence"),
-        models.alias("models"), labels.alias("labels")))
+    return F.struct(F.least(F.lit(1.0), score / F.lit(20.0)).alias("confidence"),
+                    models.alias("models"), labels.alias("labels"))

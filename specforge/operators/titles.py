@@ -64,7 +64,9 @@ def analyze_title(title: Column, strict_substrings: bool = False) -> Column:
             F.when(present & focus, _scenario("brand-only", name, None, 0.95))
             .when(present & ~numbered & ~has_known,
                   _scenario("brand-only", name, None, 0.85)))
-    return F.coalesce(known, specific, *brand_only, _scenario("general"))
+    any_brand = text.contains_any(t, rules.TITLE_BRANDS)
+    return F.coalesce(F.when(has_known, known), specific,
+                      F.when(any_brand, F.coalesce(*brand_only)), _scenario("general"))
 
 
 def analyze_title_loose(title: Column) -> Column:
@@ -112,11 +114,11 @@ def in_scope(brand: Column, model: Column, scenario: Column, want_brand: Column,
 
 def word_mentions(model: Column, content: Column) -> Column:
     """Occurrences in the content of the model words longer than two letters."""
-    low = F.lower(content)
     words = F.filter(F.split(F.lower(model), f"[{rx.BLANK}]+"), lambda w: F.length(w) > 2)
     # occurrences by length difference: no pattern built from data
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc + F.floor(
-        (F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)))
+    return text.let(F.lower(content), lambda low: F.aggregate(
+        words, F.lit(0).cast("bigint"), lambda acc, w: acc + F.floor(
+            (F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w))))
 
 
 def in_scope_strict(brand: Column, model: Column, title: Column, content: Column,
@@ -132,10 +134,9 @@ def in_scope_strict(brand: Column, model: Column, title: Column, content: Column
 
 def model_mentioned(model: Column, content: Column, ratio: float = 0.7) -> Column:
     """At least `ratio` of the significant model words occur in the content."""
-    low = F.lower(content)
     words = F.filter(F.split(F.lower(model), f"[{rx.BLANK}]+"),
                      lambda w: (F.length(w) > 2) & ~w.isin(rules.MENTION_WORD_STOP))
-    hit = F.filter(words, lambda w: F.contains(low, w))
+    hit = text.let(F.lower(content), lambda low: F.filter(words, lambda w: F.contains(low, w)))
     return F.when(F.size(words) > 0, F.size(hit) / F.size(words) >= ratio
                   ).otherwise(F.lit(False))
 
@@ -181,11 +182,12 @@ def _brand_anywhere(c: Column) -> Column:
         F.struct(F.regexp_instr(c, F.lit(rx.java(rf"\b{rx.literal(b)}\b"))).alias("at"),
                  F.lit(i).alias("order"), F.lit(b).alias("brand"))
         for i, b in enumerate(rules.ANYWHERE_BRANDS)])
-    best = F.array_min(F.filter(found, lambda x: x["at"] > 0))
-    return F.when(best.isNotNull(), F.struct(
-        _title_case(best["brand"]).alias("brand"),
-        text.trim(F.substring(c, best["at"] + F.length(best["brand"]), F.length(c))
-                  ).alias("after")))
+    return text.let(
+        F.array_min(F.filter(found, lambda x: x["at"] > 0)),
+        lambda best: F.when(best.isNotNull(), F.struct(
+            _title_case(best["brand"]).alias("brand"),
+            text.trim(F.substring(c, best["at"] + F.length(best["brand"]), F.length(c))
+                      ).alias("after"))))
 
 
 def _model_after(after: Column) -> Column:

@@ -21,12 +21,16 @@ def keyword_windows(content: Column, radius: int = rules.WINDOW_RADIUS,
     one window, so only gaps are kept and the fold stays linear.  Without a hit
     the whole text is the window.
     """
-    low = F.lower(content)
-    size = F.length(content).cast("bigint")
     ahead = "(?=" + "|".join(rx.literal(t) for t in terms) + ")"
-    parts = F.split(F.concat(F.lit("\x01"), low), ahead)
-    hits = F.size(parts) - 1
-    lens = F.transform(parts, lambda p: F.length(p).cast("bigint"))
+    lens = F.transform(F.split(F.concat(F.lit("\x01"), F.lower(content)), ahead),
+                       lambda p: F.length(p).cast("bigint"))
+    bound = F.struct(lens.alias("lens"), F.length(content).cast("bigint").alias("size"))
+    return F.when(content.isNotNull(), text.let(
+        bound, lambda b: _windows_of(b["lens"], b["size"], radius)))
+
+
+def _windows_of(lens: Column, size: Column, radius: int) -> Column:
+    hits = F.size(lens) - 1
     big = F.lit(radius).cast("bigint")
 
     def window(first, last):
@@ -43,14 +47,14 @@ def keyword_windows(content: Column, radius: int = rules.WINDOW_RADIUS,
     start = F.get(lens, F.lit(0)) - 1
     none = F.array().cast(_WINDOW)
     folded = F.aggregate(
-        F.slice(lens, 2, F.greatest(hits, F.lit(0))),
+        text.tail(lens),
         F.struct(none.alias("out"), start.alias("first"), start.alias("last"),
                  start.alias("pos")), step,
         lambda acc: F.concat(acc["out"], F.array(window(acc["first"], acc["last"]))))
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), size.alias("end")))
-    return F.when(content.isNotNull(), F.struct(
+    return F.struct(
         hits.alias("hit_count"),
-        F.when(hits > 0, folded).otherwise(whole).cast(_WINDOW).alias("windows")))
+        F.when(hits > 0, folded).otherwise(whole).cast(_WINDOW).alias("windows"))
 
 
 def cap_windows(windows: Column, max_total_chars: int) -> Column:
@@ -70,8 +74,8 @@ def cap_windows(windows: Column, max_total_chars: int) -> Column:
 
 
 def window_texts(content: Column, windows: Column) -> Column:
-    return F.transform(windows, lambda w: F.substring(
-        content, (w["start"] + 1).cast("int"), (w["end"] - w["start"]).cast("int")))
+    return text.let(content, lambda c: F.transform(windows, lambda w: F.substring(
+        c, (w["start"] + 1).cast("int"), (w["end"] - w["start"]).cast("int"))))
 
 
 def total_chars(windows: Column) -> Column:

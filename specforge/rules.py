@@ -420,7 +420,7 @@ LOOSE_NOT_MODEL = (r"^(?:running|shoes?|trainer|sneaker|collection|range|line"
                    r"|series)$")
 LOOSE_MODEL_WORDS = (r"\b(?:max|pro|elite|ultra|speed|ghost|gel|air|boost|wave"
                      r"|glycerin|pegasus|cumulus|nimbus)\b")
-LOOSE_VERSION = r"\b(?:v\d+|\d+\.\d+|\s+\d{1,2}(?:\s|$))"
+LOOSE_VERSION = r"\bv\d+|\b\d+\.\d+|\w\s+\d{1,2}(?:\s|$)"
 LOOSE_COLLECTION = "best|top|collection|range|shoes"
 MODEL_NOISE_SUFFIX = r"\s+(?:review|test|performance|running|shoe|trainer)$"
 PHRASE_STOP = ["With", "And", "The", "This", "That", "Review", "RTR", "First",

@@ -55,17 +55,19 @@ def rows(cols, data):
 
 
 def compare(spark, con, name, fn, sql, folder):
+    start = time.time()
     df = fn(spark, folder)
     mine = rows(df.columns, [tuple(r) for r in df.collect()])
+    took = f"spark {time.time() - start:.1f}s "
     if sql is None:
-        return True, f"{len(mine)} rows, no oracle"
+        return True, took + f"{len(mine)} rows, no oracle"
     rel = con.execute(sql)
     cols = [d[0] for d in rel.description]
     want = rows(cols, rel.fetchall())
     if sorted(cols) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(cols)}"
     if mine == want:
-        return (len(want) > 0), f"{len(want)} rows"
+        return (len(want) > 0), took + f"{len(want)} rows"
     a, b = set(map(repr, mine)), set(map(repr, want))
     return False, (f"rows {len(mine)} vs {len(want)}; only spark {len(a - b)}: "
                    f"{sorted(a - b)[:2]}; only oracle: {sorted(b - a)[:2]}")[:1800]
