@@ -357,15 +357,15 @@ def coerce_rows(t):
     return normalize.coerce_rows(src).select("id", "brand_name", "model", "weight", "waterproof", "cushioning_type", "date")
 
 
-@query("rank_candidates", "N7", """SELECT doc_id, block_no, row_number() OVER (PARTITION BY doc_id ORDER BY (coalesce(price, 0) % 3) DESC, richness DESC, block_no) - 1 AS rank
- FROM (SELECT *, CASE WHEN heel_height IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN weight IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN "drop" IS NOT NULL THEN 1 ELSE 0 END AS richness FROM specs)""", SPECS)
+@query("rank_candidates", "N7", """SELECT doc_id, block_no, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(price, 0) % 3 DESC,
+ length(brand_model) % 4 DESC, block_no) - 1 AS rank FROM blocks""", HEAD_CTES)
 def rank_candidates(t):
     # candidates stay in the array of their article row
-    one = lambda c: C(c).isNotNull().cast("int")
-    rows = _specs(t).select("doc_id", "block_no", (F.coalesce("price", F.lit(0.0)) % 3).alias("score"),
-                            (one("heel_height") + one("weight") + one("drop")).alias("richness"), F.lit(False).alias("from_title"))
-    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "score", "richness", "from_title"))).alias("c"))
-    return lists.select("doc_id", F.posexplode(normalize.rank_candidates(C("c"))).alias("rank", "r")).select("doc_id", "r.block_no", "rank")
+    cands = F.transform(blocks.headings(C("content")), lambda h, i: F.struct(
+        (i + 1).alias("block_no"), (F.coalesce(h["price"], F.lit(0.0)) % 3).alias("score"),
+        (F.length(h["brand_model"]) % 4).alias("richness"), F.lit(False).alias("from_title")))
+    return t.articles.select("doc_id", F.posexplode(normalize.rank_candidates(cands)).alias("rank", "r")).select(
+        "doc_id", "r.block_no", "rank")
 
 
 @query("compose_values", "N7")

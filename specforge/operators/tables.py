@@ -11,12 +11,12 @@ from specforge.functions import text, units
 
 
 def spec_key(cell: Column) -> Column:
-    """The value a table row states, by its first cell."""
+    """The value a table row states, by its first cell; a bare stack is the heel."""
     low = F.lower(text.trim(cell))
     has = lambda w: F.contains(low, F.lit(w))
     return (F.when(has("weight"), "weight").when(has("drop"), "drop_mm")
-            .when(has("stack"), "stack").when(has("heel"), "heel_mm")
-            .when(has("forefoot"), "forefoot_mm").when(has("price"), "price_usd"))
+            .when(has("heel"), "heel_mm").when(has("forefoot"), "forefoot_mm")
+            .when(has("stack"), "stack").when(has("price"), "price_usd"))
 
 
 def cell_weight(cell: Column) -> Column:

@@ -131,15 +131,15 @@ def snippets(texts: Column) -> Column:
     """struct of snippet arrays per field: each match with 200 characters around."""
     r = rules.SNIPPET_RADIUS
 
+    def found(t, field):
+        pattern, low, high = rules.VALUE_PATTERNS[field]
+        hits = F.transform(match_contexts(t, pattern, r, r), lambda h: F.struct(
+            F.concat(h["before"], h["match"], h["after"]).alias("s"),
+            F.regexp_extract(h["match"], r"\d+(?:\.\d+)?", 0).try_cast("double").alias("v")))
+        return F.transform(F.filter(hits, lambda x: x["v"].between(low, high)), lambda x: x["s"])
+
     def of(*fields):
-        def window(t):
-            found = [F.filter(F.transform(match_contexts(t, rules.VALUE_PATTERNS[f][0], r, r),
-                                          lambda h, f=f: F.struct(
-                F.concat(h["before"], h["match"], h["after"]).alias("s"),
-                F.regexp_extract(h["match"], r"\d+(?:\.\d+)?", 0).try_cast("double").alias("v"))),
-                lambda x, f=f: x["v"].between(*rules.VALUE_PATTERNS[f][1:])) for f in fields]
-            return F.transform(F.concat(*found), lambda x: x["s"])
-        return F.flatten(F.transform(texts, window))
+        return F.flatten(F.transform(texts, lambda t: F.concat(*[found(t, f) for f in fields])))
     return F.struct(of("price").alias("price_snippets"), of("drop").alias("drop_snippets"),
                     of("grams", "oz").alias("weight_snippets"),
                     of("stack", "heel").alias("heel_snippets"),
