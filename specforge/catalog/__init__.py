@@ -39,5 +39,5 @@ def query(name: str, operators: str, sql: str | None = None,
 
 def load() -> None:
     from importlib import import_module
-    for part in ("scalars", "texts", "extraction", "relations"):
+    for part in ("scalars", "texts", "extraction", "relations", "reports", "sourcing"):
         import_module(f"specforge.catalog.{part}")

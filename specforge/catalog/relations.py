@@ -17,11 +17,11 @@ DAY = lambda c: F.date_format(c, "yyyy-MM-dd")
 
 # --- joins ------------------------------------------------------------------------
 
-@query("new_rows", "J1,U2", """SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F')
- AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)""")
+@query("new_rows", "J1,U2", """SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
+ AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'error' AND value > 20)""")
 def new_rows(t):
-    a = t.orders.filter("o_orderstatus <> 'F'").select(C("o_custkey").alias("c_custkey"))
-    b = t.events.select(C("user_id").alias("c_custkey"))
+    a = t.orders.filter("o_orderpriority = '1-URGENT'").select(C("o_custkey").alias("c_custkey"))
+    b = t.events.filter("event_type = 'error' and value > 20").select(C("user_id").alias("c_custkey"))
     return merge.new_rows(t.customer, merge.known_ids(a, b, key="c_custkey"), "c_custkey").select("c_custkey", "c_name")
 
 
@@ -153,7 +153,7 @@ def similar_name_pairs(t):
     return dedup.similar_name_pairs(t.products, ["source_id"], "model")
 
 
-@query("richest_pick", "D7", f"""SELECT source_id, arg_min(id, -({_RICH}) * 1000000000 + id) AS id FROM products GROUP BY 1""")
+@query("richest_pick", "D7", f"""SELECT source_id, arg_min(id, -cast({_RICH} as bigint) * 1000000000 + id) AS id FROM products GROUP BY 1""")
 def richest_pick(t):
     return dedup.keep_richest(t.products, ["source_id"], "id").select("source_id", "id")
 
@@ -335,17 +335,17 @@ def overlay_responses(t):
 @query("gate_skips", "L9", """SELECT count(*) AS n, count(CASE WHEN method = 'llm_gate_skip' THEN 1 END) AS held FROM (
  SELECT CASE WHEN cast(o_orderkey % 2 = 0 as int) + cast(o_orderkey % 3 = 0 as int) + cast(o_orderkey % 5 = 0 as int) + cast(o_orderkey % 7 = 0 as int) < 2 OR o_orderkey % 11 = 0 THEN 'llm_gate_skip' END AS method FROM orders)""")
 def gate_skips(t):
-    df = resolve.mark_gate_skip(resolve.gate(_ambiguous(t), "id", C("has"), 10 ** 9), F.lit("2024-01-01"))
+    df = resolve.mark_gate_skip(resolve.gate(_ambiguous(t), "id", C("has"), None), F.lit("2024-01-01"))
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(C("method") == "llm_gate_skip").alias("held"))
 
 
 # --- search ---------------------------------------------------------------------------------
 
-_P1 = SearchParams(q="peg", surface=("road", "trail"), price=(60, 450), plate="without", sort="price_desc", page=2, page_size=20)
+_P1 = SearchParams(q="peg", surface=("road", "trail"), price=(60, 450), plate="without", sort="price_desc", page=2, page_size=5)
 
 
 @query("faceted_search", "Q1", """SELECT id, brand_name, model, price FROM products WHERE surface_type IN ('road', 'trail') AND carbon_plate = false AND price BETWEEN 60 AND 450
- AND (contains(lower(brand_name), 'peg') OR contains(lower(model), 'peg')) ORDER BY price DESC NULLS LAST, id LIMIT 20 OFFSET 20""")
+ AND (contains(lower(brand_name), 'peg') OR contains(lower(model), 'peg')) ORDER BY price DESC NULLS LAST, id LIMIT 5 OFFSET 5""")
 def faceted_search(t):
     return search.search(t.products, _P1)[0].select("id", "brand_name", "model", "price")
 

@@ -19,17 +19,20 @@ RESPONSE_SCHEMA = (
     " resolution_failed_reason string, resolution_notes string")
 
 
-def gate(df: DataFrame, key: str, has_candidates: Column, max_calls: int) -> DataFrame:
+def gate(df: DataFrame, key: str, has_candidates: Column, max_calls: int | None) -> DataFrame:
     """Add `gate_reason`: null passes, else why a row is held back.
 
-    Rows are taken by key.  The budget is used up at the key of the
-    `max_calls`-th passing row, found by a top-k, so no window spans the table.
+    Rows are taken by key.  The budget (a few hundred calls; None for no limit)
+    is used up at the key of the `max_calls`-th passing row, found by a top-k,
+    so no window spans the table.
     """
     signal = text.sum_of([F.col(v).isNotNull().cast("int") for v in VALUES]) >= 2
     passing = df.filter(signal & has_candidates)
-    taken = passing.select(key).orderBy(key).limit(max_calls)
-    last = taken.agg(F.when(F.count(F.lit(1)) >= max_calls, F.max(key)).alias("k"))
-    over = F.coalesce(F.col(key) > last.scalar(), F.lit(max_calls <= 0))
+    over = F.lit(False)
+    if max_calls is not None:
+        taken = passing.select(key).orderBy(key).limit(max_calls)
+        last = taken.agg(F.when(F.count(F.lit(1)) >= max_calls, F.max(key)).alias("k"))
+        over = F.coalesce(F.col(key) > last.scalar(), F.lit(max_calls <= 0))
     return df.withColumn("gate_reason", F.when(over, "max_calls_exceeded")
                          .when(~signal, "insufficient_signal")
                          .when(~has_candidates, "no_candidates"))
