@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from specforge.sources.records import spread
+
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -124,7 +126,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(df) if name in ("documents", "pages") else df
         if name in DERIVED:
             base, cols = DERIVED[name]
             return getattr(self, base).selectExpr(*[f"{e} AS `{c}`" for c, e in cols.items()])

@@ -179,7 +179,7 @@ _H = "(id + 0.4)"
 _ALIAS = d.mapping(d.trim("brand_name"), rules.BRAND_ALIASES, d.trim("brand_name"))
 
 
-@query("response_specs", "N3", f"""SELECT id, nullif({_ALIAS}, '') AS brand_name, {d.trim(d.sub("model || ' review'", rules.MODEL_NOISE_SUFFIX))} AS model, CASE WHEN {_H} BETWEEN 10 AND 60 THEN floor({_H} + 0.5) END AS heel_height,
+@query("response_specs", "N3", f"""SELECT id, nullif({_ALIAS}, '') AS brand_name, {d.sub(d.trim("model || ' review'"), rules.MODEL_NOISE_SUFFIX)} AS model, CASE WHEN {_H} BETWEEN 10 AND 60 THEN floor({_H} + 0.5) END AS heel_height,
  CASE WHEN {_H} BETWEEN 10 AND 60 THEN floor({_H} + 0.5) - 25.0 END AS "drop", 251.0 AS weight, CASE WHEN (id % 300 + 50) * 1.08::double BETWEEN 40 AND 500 THEN {d.r2('(id % 300 + 50)::double * 1.08::double')} END AS price, true AS carbon_plate, 'max' AS cushioning_type, 'wide' AS foot_width
  FROM products WHERE id % 5 = 1""")
 def response_specs(t):

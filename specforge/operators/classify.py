@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -101,11 +102,12 @@ def with_prefilter(df: DataFrame, content: str, prefix: str = "prefilter_") -> D
     """
     p = prefix
     low = F.col("_low")
-    table = F.array(*[F.struct(
-        F.lit(t).alias("term"), F.lit(_term_key(t)).alias("key"), F.lit(g).alias("group"),
-        F.lit(rules.SCORE_WEIGHTS[g]).alias("weight"),
-        F.lit(g in ("high", "medium") and not any(x in t for x in rules.SCORE_LOW)
-              ).alias("specific")) for g, t, _ in term_patterns()])
+    # a foldable literal: the optimizer turns it into one constant
+    table = F.from_json(F.lit(json.dumps([
+        dict(term=t, key=_term_key(t), group=g, weight=rules.SCORE_WEIGHTS[g], n=0,
+             specific=g in ("high", "medium") and not any(x in t for x in rules.SCORE_LOW))
+        for g, t, _ in term_patterns()])), "array<struct<term:string,key:string,group:string,"
+        "weight:double,n:int,specific:boolean>>")
     df = df.withColumn("_low", F.lower(F.coalesce(F.col(content), F.lit(""))))
     df = df.withColumn("_counts", _term_counts(low))
     df = df.withColumns({

@@ -23,7 +23,8 @@ def _scenario(name, brand=None, model=None, confidence=0.8) -> Column:
     as_str = lambda x: (F.lit(None) if x is None else x).cast("string")
     return F.struct(F.lit(name).alias("scenario"), as_str(brand).alias("brand"),
                     as_str(model).alias("model"),
-                    F.lit(confidence).cast("double").alias("confidence"))
+                    (confidence if isinstance(confidence, Column) else F.lit(confidence)
+                     ).cast("double").alias("confidence"))
 
 
 def analyze_title(title: Column, strict_substrings: bool = False) -> Column:
@@ -34,11 +35,13 @@ def analyze_title(title: Column, strict_substrings: bool = False) -> Column:
     `strict_substrings` ("on" would match inside "marathon").
     """
     t = F.lower(text.trim(title))
+    # choices are small codes 'brand|rest' first; one struct is built at the end
     known = None
     for model, brand in rules.MODEL_TO_BRAND.items():
         known = (F if known is None else known).when(
-            F.contains(t, F.lit(model)), _scenario("specific", F.lit(brand),
-                                                   F.lit(model), 0.9))
+            F.contains(t, F.lit(model)), F.lit(f"{brand}|{model}"))
+    head = lambda c: F.substring_index(c, "|", 1)
+    rest = lambda c: F.substring_index(c, "|", -1)
     n_brand = rx.pick(t, _NUMBERED, 1)
     n_model = F.concat_ws(" ", rx.pick(t, _NUMBERED, 2), rx.pick(t, _NUMBERED, 3))
     w_brand, w_model = rx.pick(t, _NAMED, 1), rx.pick(t, _NAMED, 2)
@@ -59,14 +62,15 @@ def analyze_title(title: Column, strict_substrings: bool = False) -> Column:
         focus = rx.test(t, rf"\b\d+\s+{lit}|best\s+{lit}|top\s+{lit}"
                            rf"|{lit}\s+(?:running\s+)?shoes?")
         numbered = rx.test(t, rf"{lit}\s+[a-z]+\s+\d+")
-        name = units.brand_alias_ci(F.lit(b))
-        brand_only.append(
-            F.when(present & focus, _scenario("brand-only", name, None, 0.95))
-            .when(present & ~numbered & ~has_known,
-                  _scenario("brand-only", name, None, 0.85)))
+        name = rules.BRAND_ALIASES.get(b.upper(), b)
+        brand_only.append(F.when(present, F.when(focus, F.lit(f"{name}|0.95")).when(
+            ~numbered & ~has_known, F.lit(f"{name}|0.85"))))
     any_brand = text.contains_any(t, rules.TITLE_BRANDS)
-    return F.coalesce(F.when(has_known, known), specific,
-                      F.when(any_brand, F.coalesce(*brand_only)), _scenario("general"))
+    by_model = text.let(F.when(has_known, known), lambda c: F.when(
+        c.isNotNull(), _scenario("specific", head(c), rest(c), 0.9)))
+    by_brand = text.let(F.when(any_brand, F.coalesce(*brand_only)), lambda c: F.when(
+        c.isNotNull(), _scenario("brand-only", head(c), None, rest(c).cast("double"))))
+    return F.coalesce(by_model, specific, by_brand, _scenario("general"))
 
 
 def analyze_title_loose(title: Column) -> Column:

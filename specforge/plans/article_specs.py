@@ -24,79 +24,73 @@ def article_specs(df: DataFrame, key: str, title: str, content: str, html: str,
     """One result row per article.
 
     Long content is used as it is, otherwise the page.  Cheap checks run first:
-    title, then page size; only pages that remain are parsed.  A comparison
-    table with two or more models wins over the text windows.  Page rows and
-    content rows are separate branches, so Python never sees content rows.
+    title, then page size; only pages that remain are parsed, in a branch of
+    their own, so Python never sees other rows.  Both branches then share one
+    prefilter and one extraction.  A comparison table with two or more models
+    wins over the text windows.
     """
     body = text.trim(F.coalesce(F.col(content), F.lit("")))
     base = df.select(F.col(key), F.col(title).alias("_title"), body.alias("_body"),
                      F.col(html).alias("_html"))
     base = base.withColumns({
         "content_len": F.length("_body").cast("bigint"),
-        "_use_content": F.length("_body") >= min_content,
+        "html_chars": F.coalesce(F.length("_html"), F.lit(0)).cast("bigint"),
         "_title_ok": classify.title_prefilter(F.col("_title"))["decision"] == "pass"})
-    base = base.withColumn("source_used", F.when(F.col("_use_content"), "content")
-                           .otherwise("fetched_html"))
-    by_title = _skipped(base.filter(~F.col("_title_ok")), key, "not_shoe_article",
-                        "title_prefilter", "title_prefilter_skip")
-    rest = base.filter("_title_ok")
+    use_content = F.col("content_len") >= min_content
+    base = base.withColumns({
+        "source_used": F.when(use_content, "content").otherwise("fetched_html"),
+        "html_chars": F.when(use_content | ~F.col("_title_ok"), 0).otherwise(F.col("html_chars"))})
+    base = base.withColumn("_route", F.when(~F.col("_title_ok"), "title").when(
+        use_content, "content").when(F.col("html_chars") > max_html, "large").otherwise("page"))
 
-    from_content = rest.filter("_use_content").select(
-        key, "content_len", "source_used", F.lit(0).cast("bigint").alias("html_chars"),
-        F.col("_body").alias("_text"), F.lit(None).cast(_MODELS).alias("models"))
-    page = rest.filter("not _use_content").withColumn(
-        "html_chars", F.coalesce(F.length("_html"), F.lit(0)).cast("bigint"))
-    large = page.filter(F.col("html_chars") > max_html).withColumn(
-        "_text", pages.light_text(F.col("_html")))
-    large = classify.with_prefilter(large, "_text")
-    large = _skipped(large, key, "large_html", "size_guard", "dom_skipped_large_html", True)
-    small = page.filter(F.col("html_chars") <= max_html)
-    parsed = pages.parse_pages(small, [key, "content_len", "source_used", "html_chars"], "_html")
-    parsed = parsed.withColumn("_cmp", tables.comparison(F.col("tables"))["models"])
-    from_page = parsed.select(
-        key, "content_len", "source_used", "html_chars", F.col("body_text").alias("_text"),
+    meta = [key, "content_len", "html_chars", "source_used", "_route"]
+    direct = base.filter("_route <> 'page'").select(
+        *meta, F.when(F.col("_route") == "content", F.col("_body")).when(
+            F.col("_route") == "large", pages.light_text(F.col("_html"))).alias("_text"),
+        F.lit(None).cast(_MODELS).alias("models"))
+    parsed = pages.parse_pages(base.filter("_route = 'page'"), meta, "_html")
+    parsed = parsed.withColumn("_cmp", tables.comparison(F.col("tables"))["models"]).select(
+        *meta, F.col("body_text").alias("_text"),
         F.when(F.size("_cmp") >= 2, F.col("_cmp")).cast(_MODELS).alias("models"))
-    readable = classify.with_prefilter(from_content.unionByName(from_page), "_text")
-    off = _skipped(readable.filter(~F.col("prefilter_ok")), key, "not_shoe_article",
-                   "prefilter", "dom_not_shoe", True)
-    on = readable.filter("prefilter_ok")
-    return (_extract(on, key).unionByName(by_title).unionByName(large).unionByName(off))
-
-
-def _skipped(df: DataFrame, key: str, reason: str, stage: str, method: str,
-             scored: bool = False) -> DataFrame:
-    none = lambda t: F.lit(None).cast(t)
-    cols = {
-        "mode": F.lit("skipped"), "reason": F.lit(reason), "stage": F.lit(stage),
-        "single_reason": none("string"),
-        **{v: none("double") for v in ("price_usd", "drop_mm", "weight_g", "heel_mm",
-                                       "forefoot_mm")},
-        "candidates": none("struct<" + ",".join(
-            f"{f}:array<string>" for f in windows.SNIPPET_FIELDS) + ">"),
-        "models": none(_MODELS), "method": F.lit(method)}
-    if not scored:
-        cols |= {"prefilter_score": none("double"), "prefilter_has_anchor": none("boolean"),
-                 "prefilter_pos_hits": none("array<string>"),
-                 "prefilter_neg_hits": none("array<string>")}
-    if "html_chars" not in df.columns:
-        cols["html_chars"] = F.lit(0).cast("bigint")
-    return df.withColumns(cols).select(key, *OUTPUT)
+    return _extract(classify.with_prefilter(direct.unionByName(parsed), "_text"), key)
 
 
 def _extract(df: DataFrame, key: str) -> DataFrame:
-    df = df.withColumn("_win", windows.keyword_windows(F.col("_text"))["windows"])
-    df = df.withColumn("_texts", windows.window_texts(F.col("_text"), F.col("_win")))
+    """Windows and outcome of the readable rows, labels of the others."""
+    run = F.col("_route").isin("content", "page") & F.col("prefilter_ok")
+    df = df.withColumn("_run", run)
+    df = df.withColumn("_win", F.when(F.col("_run") & F.col("models").isNull(),
+                                      windows.keyword_windows(F.col("_text"))["windows"]))
+    df = df.withColumn("_texts", F.coalesce(
+        windows.window_texts(F.col("_text"), F.col("_win")), F.array().cast("array<string>")))
     df = windows.resolve_windows(df, "_texts")
-    table = F.col("models").isNotNull()
-    plain = {c: F.when(~table, F.col(c)) for c in (
-        "reason", "single_reason", "price_usd", "drop_mm", "weight_g", "heel_mm",
-        "forefoot_mm", "candidates")}
-    method = (F.when(table, "dom_multi_table").when(F.col("mode") == "single", "dom_windowed_single")
-              .when(F.col("mode") == "ambiguous_multi", "dom_windowed_ambiguous")
-              .otherwise("dom_windowed_skipped"))
+    state = (F.when(F.col("_route") == "title", "title").when(F.col("_route") == "large", "large")
+             .when(~F.col("_run"), "off").when(F.col("models").isNotNull(), "table")
+             .otherwise(F.col("mode")))
+    df = df.withColumn("_state", state)
+    s = F.col("_state")
+    label = lambda table: text.lookup(s, table)
+    values = ["single_reason", "price_usd", "drop_mm", "weight_g", "heel_mm", "forefoot_mm",
+              "candidates"]
+    scored = s != "title"
     return df.withColumns({
-        **plain, "method": method, "stage": F.lit("extract"),
-        "mode": F.when(table, "multi_table").otherwise(F.col("mode"))}).select(key, *OUTPUT)
+        **{c: F.when(s.isin("single", "ambiguous_multi", "skipped"), F.col(c)) for c in values},
+        **{f"prefilter_{c}": F.when(scored, F.col(f"prefilter_{c}"))
+           for c in ("score", "has_anchor", "pos_hits", "neg_hits")},
+        "models": F.when(s == "table", F.col("models")),
+        "mode": label({"single": "single", "ambiguous_multi": "ambiguous_multi",
+                       "table": "multi_table", "skipped": "skipped", "title": "skipped",
+                       "large": "skipped", "off": "skipped"}),
+        "reason": label({"title": "not_shoe_article", "off": "not_shoe_article",
+                         "large": "large_html", "skipped": "no_specs_found"}),
+        "stage": label({"title": "title_prefilter", "large": "size_guard", "off": "prefilter",
+                        "single": "extract", "ambiguous_multi": "extract",
+                        "skipped": "extract", "table": "extract"}),
+        "method": label({"title": "title_prefilter_skip", "large": "dom_skipped_large_html",
+                         "off": "dom_not_shoe", "table": "dom_multi_table",
+                         "single": "dom_windowed_single",
+                         "ambiguous_multi": "dom_windowed_ambiguous",
+                         "skipped": "dom_windowed_skipped"})}).select(key, *OUTPUT)
 
 
 def keep_results(old: DataFrame, new: DataFrame, key: str, force: Column | None = None

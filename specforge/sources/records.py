@@ -59,15 +59,14 @@ def pick_normalized(fields: Column, aliases: Sequence[str], fallback: Column | N
 
 def map_records(df: DataFrame, fields: str = "fields", source_id: str = "id") -> DataFrame:
     """Records (id, fields map) to articles; rows lacking id, title or content drop."""
-    f = F.col(fields)
-    return df.select(
+    mapped = text.let(F.col(fields), lambda f: F.struct(
         text.to_positive_int(pick(f, ID_ALIASES)).alias("doc_id"),
-        F.col(source_id).alias("source_id"),
         text.norm_str(pick(f, TITLE_ALIASES)).alias("title"),
         text.norm_str(pick(f, CONTENT_ALIASES)).alias("content"),
         text.norm_str(pick(f, DATE_ALIASES)).alias("date"),
-        text.norm_str(pick(f, LINK_ALIASES)).alias("link"),
-    ).filter("doc_id is not null and title is not null and content is not null")
+        text.norm_str(pick(f, LINK_ALIASES)).alias("link")))
+    return df.select(F.col(source_id).alias("source_id"), mapped.alias("_m")).select(
+        "_m.doc_id", "source_id", "_m.title", "_m.content", "_m.date", "_m.link").filter("doc_id is not null and title is not null and content is not null")
 
 
 def record_outcomes(df: DataFrame, fields: str = "fields") -> DataFrame:
@@ -115,6 +114,16 @@ def date_chain(*candidates: Column, now: Column) -> Column:
                       now.cast("timestamp"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a source of few splits (one-row-group files).
+
+    Text work is CPU-bound.  A source that already has a split per core is left
+    alone, so large tables are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
