@@ -12,6 +12,7 @@ from specforge.functions import regex as rx
 from specforge.operators import blocks, dedup, fallback, normalize, profile, tables, windows
 from specforge.plans import article_specs, products
 from specforge.sources import pages
+from specforge.sources.records import spread
 
 C = F.col
 J = lambda c: F.array_join(c, "|")
@@ -164,8 +165,8 @@ def _window_ctes(radius: int) -> dict:
 
 @query("keyword_windows", "E11", 'SELECT doc_id, window_no, "start", "end" FROM wins', _window_ctes(60))
 def keyword_windows(t):
-    df = t.articles.select("doc_id", windows.keyword_windows(C("content"), radius=60)["windows"].alias("w"))
-    return df.select("doc_id", F.posexplode("w").alias("i", "x")).select(
+    w = windows.keyword_windows(C("content"), radius=60)["windows"]
+    return t.articles.select("doc_id", F.posexplode(w).alias("i", "x")).select(
         "doc_id", (C("i") + 1).alias("window_no"), "x.start", "x.end")
 
 
@@ -174,8 +175,7 @@ def keyword_windows(t):
  WHERE before < 2000""", _window_ctes(60))
 def window_budget(t):
     w = windows.keyword_windows(C("content"), radius=60)["windows"]
-    df = t.articles.select("doc_id", windows.cap_windows(w, 2000).alias("w"))
-    return df.select("doc_id", F.posexplode("w").alias("i", "x")).select(
+    return t.articles.select("doc_id", F.posexplode(windows.cap_windows(w, 2000)).alias("i", "x")).select(
         "doc_id", (C("i") + 1).alias("window_no"), "x.start", "x.end")
 
 
@@ -311,7 +311,7 @@ _NORM = f"""SELECT id, b2 AS brand_name, m2 AS model, h2 AS heel_height, f2 AS f
 
 @query("normalize_specs", "N1", "SELECT * FROM n1", {"n0": _NORM0, "n1": _NORM})
 def normalize_specs(t):
-    df = normalize.normalize_specs(t.products, "currency")
+    df = normalize.normalize_specs(spread(t.products), "currency")
     return df.select("id", "brand_name", "model", "heel_height", "forefoot_height", "drop", "weight", "price", "cushioning_type",
                      "upper_breathability", F.size("changes").alias("n_changes"), F.size("warnings").alias("n_warnings"))
 

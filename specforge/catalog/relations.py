@@ -341,17 +341,17 @@ def gate_skips(t):
 
 # --- search ---------------------------------------------------------------------------------
 
-_P1 = SearchParams(q="tri", surface=("road", "trail"), price=(60, 450), plate="without", sort="price_desc", page=2, page_size=5)
+_P1 = SearchParams(q="gho", surface=("road", "trail"), price=(60, 450), plate="without", sort="price_desc", page=2, page_size=5)
 
 
 @query("faceted_search", "Q1", """SELECT id, brand_name, model, price FROM products WHERE surface_type IN ('road', 'trail') AND carbon_plate = false AND price BETWEEN 60 AND 450
- AND (contains(lower(brand_name), 'tri') OR contains(lower(model), 'tri')) ORDER BY price DESC NULLS LAST, id LIMIT 5 OFFSET 5""")
+ AND (contains(lower(brand_name), 'gho') OR contains(lower(model), 'gho')) ORDER BY price DESC NULLS LAST, id LIMIT 5 OFFSET 5""")
 def faceted_search(t):
     return search.search(t.products, _P1)[0].select("id", "brand_name", "model", "price")
 
 
 @query("search_total", "Q1", """SELECT count(*) AS total FROM products WHERE surface_type IN ('road', 'trail') AND carbon_plate = false AND price BETWEEN 60 AND 450
- AND (contains(lower(brand_name), 'tri') OR contains(lower(model), 'tri'))""")
+ AND (contains(lower(brand_name), 'gho') OR contains(lower(model), 'gho'))""")
 def search_total(t):
     return search.search(t.products, _P1)[1]
 

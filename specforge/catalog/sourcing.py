@@ -9,6 +9,7 @@ from specforge.catalog import duck as d
 from specforge.catalog import query
 from specforge.operators import dedup, normalize
 from specforge.sources import exports, loads, pages, records
+from specforge.sources.records import spread
 from specforge.streaming import ingest
 
 C = F.col
@@ -183,7 +184,7 @@ _ALIAS = d.mapping(d.trim("brand_name"), rules.BRAND_ALIASES, d.trim("brand_name
  CASE WHEN {_H} BETWEEN 10 AND 60 THEN floor({_H} + 0.5) - 25.0 END AS "drop", 251.0 AS weight, CASE WHEN (id % 300 + 50) * 1.08::double BETWEEN 40 AND 500 THEN {d.r2('(id % 300 + 50)::double * 1.08::double')} END AS price, true AS carbon_plate, 'max' AS cushioning_type, 'wide' AS foot_width
  FROM products WHERE id % 5 = 1""")
 def response_specs(t):
-    items = loads.response_items(_responses(t).filter("id % 5 = 1"), "raw", ["id"])
+    items = loads.response_items(spread(_responses(t).filter("id % 5 = 1")), "raw", ["id"])
     return normalize.response_specs(items).select("id", "brand_name", "model", "heel_height", "drop", "weight", "price", "carbon_plate", "cushioning_type", "foot_width")
 
 

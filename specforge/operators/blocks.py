@@ -56,7 +56,11 @@ def headings(content: Column) -> Column:
 
 
 def explode_blocks(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
-    """One row per block: keep columns, block_no (1-based), heading, brand_model, price, block."""
+    """One row per block: keep columns, block_no (1-based), heading, brand_model, price, block.
+
+    The generator takes the expression itself: on a column the optimizer would
+    infer a filter and compute the array again for it.
+    """
     return (df.select(*keep, F.posexplode(headings(F.col(content))).alias("_i", "_h"))
             .select(*keep, (F.col("_i") + 1).alias("block_no"), "_h.*")
             .withColumnRenamed("price", "heading_price"))
@@ -290,9 +294,8 @@ def mentions(content: Column) -> Column:
 
 def blocks_or_mentions(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
     """Headed blocks of a text, or its mentions when it has no heading."""
-    df = df.select(*keep, content).withColumn("_heads", headings(F.col(content)))
-    df = df.withColumn("_rows", F.when(F.size("_heads") > 0, F.col("_heads"))
-                       .otherwise(mentions(F.col(content))))
-    return (df.select(*keep, F.posexplode("_rows").alias("_i", "_h"))
+    rows = text.let(headings(F.col(content)), lambda heads: F.when(
+        F.size(heads) > 0, heads).otherwise(mentions(F.col(content))))
+    return (df.select(*keep, F.posexplode(rows).alias("_i", "_h"))
             .select(*keep, (F.col("_i") + 1).alias("block_no"), "_h.*")
             .withColumnRenamed("price", "heading_price"))

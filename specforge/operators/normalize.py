@@ -53,38 +53,52 @@ def normalize_specs(df: DataFrame, currency: str | None = None,
         "price": text.round2(units.keep_in_bounds(u, "price", bounds)),
     }
     out |= {f: text.enum(c[f], allowed) for f, allowed in rules.ENUMS.items()}
-    differs = lambda a, b: F.coalesce(a != b, F.lit(False))
-    changes = [
-        _change(differs(F.col("_brand"), c["brand_name"]), "brand_name", c["brand_name"],
-                F.col("_brand"), "Applied brand normalization"),
-        _change(differs(F.col("_model"), c["model"]), "model", c["model"],
-                F.col("_model"), "Removed noise words"),
-        _change(differs(heel, c["heel_height"]), "heel_height", c["heel_height"], heel,
-                "Rounded to 2 decimals"),
-        _change(differs(fore, c["forefoot_height"]), "forefoot_height",
-                c["forefoot_height"], fore, "Rounded to 2 decimals"),
-        _change(c["drop"].isNull() & heel.isNotNull() & fore.isNotNull(), "drop",
-                c["drop"], out["drop"], "Calculated from heel - forefoot"),
-        _change(c["weight"] < 20, "weight", c["weight"], g, "Converted from oz to grams"),
-        _change(foreign & units.to_usd(c["price"], code).isNotNull(), "price", c["price"], u,
-                F.concat(F.lit("Converted from "), code, F.lit(" to USD"))),
-    ] + [_change(differs(out[f], c[f]), f, c[f], out[f], "Normalized to lowercase")
-         for f in rules.ENUMS]
+    df = df.withColumns({f"_o_{k}": v for k, v in out.items()})
+    before = [*rules.SPEC_FIELDS, "brand_name", "model"]
+    audit = F.struct(*[F.col(x).alias(x) for x in before],
+                     *[F.col(f"_o_{x}").alias(f"_o_{x}") for x in out],
+                     g.alias("_g"), u.alias("_u"), code.alias("_code"),
+                     units.to_usd(c["price"], code).isNotNull().alias("_rated"))
+    # bound once: the trail stays out of the generated row code
+    df = df.withColumn("_audit", text.let(audit, lambda r: _audit_trail(r, bounds)))
+    return df.withColumns({
+        **{k: F.col(f"_o_{k}") for k in out},
+        "changes": F.col("_audit.changes"), "warnings": F.col("_audit.warnings"),
+    }).drop("_brand", "_model", "_grams", "_usd", "_heel", "_fore", "_audit",
+            *[f"_o_{k}" for k in out])
+
+
+def _audit_trail(r: Column, bounds: dict) -> Column:
+    """struct(changes, warnings) of a row's values before and after."""
+    new = lambda f: r[f"_o_{f}"]
+    g, u, code = r["_g"], r["_u"], r["_code"]
+    differs = lambda f: F.coalesce(new(f) != r[f], F.lit(False))
 
     def outside(value, kind, label, unit):
         low, high = bounds[kind]
         return F.when(~value.between(low, high), F.concat(
             F.lit(f"{label} out of range ({low}-{high}{unit}): "), value.cast("string")))
+    simple = [("brand_name", "Applied brand normalization"), ("model", "Removed noise words"),
+              ("heel_height", "Rounded to 2 decimals"),
+              ("forefoot_height", "Rounded to 2 decimals")]
+    changes = [_change(differs(f), f, r[f], new(f), why) for f, why in simple] + [
+        _change(r["drop"].isNull() & new("heel_height").isNotNull()
+                & new("forefoot_height").isNotNull(), "drop", r["drop"], new("drop"),
+                "Calculated from heel - forefoot"),
+        _change(r["weight"] < 20, "weight", r["weight"], g, "Converted from oz to grams"),
+        _change((code != "USD") & r["_rated"], "price", r["price"], u,
+                F.concat(F.lit("Converted from "), code, F.lit(" to USD"))),
+    ] + [_change(differs(f), f, r[f], new(f), "Normalized to lowercase") for f in rules.ENUMS]
     warnings = [
-        outside(c["heel_height"], "height", "heel_height", "mm"),
-        outside(c["forefoot_height"], "height", "forefoot_height", "mm"),
-        outside(c["drop"], "drop", "drop", "mm"), outside(g, "weight", "weight", "g"),
+        outside(r["heel_height"], "height", "heel_height", "mm"),
+        outside(r["forefoot_height"], "height", "forefoot_height", "mm"),
+        outside(r["drop"], "drop", "drop", "mm"), outside(g, "weight", "weight", "g"),
         outside(u, "price", "price", " USD"),
-    ] + [F.when(c[f].isNotNull() & out[f].isNull(), F.concat(
-        F.lit(f"Invalid {f}: "), c[f], F.lit(f" (allowed: {', '.join(a)})")))
+    ] + [F.when(r[f].isNotNull() & new(f).isNull(), F.concat(
+        F.lit(f"Invalid {f}: "), r[f], F.lit(f" (allowed: {', '.join(a)})")))
         for f, a in rules.ENUMS.items()]
-    out |= {"changes": _present(changes, _CHANGE), "warnings": _present(warnings, "string")}
-    return df.withColumns(out).drop("_brand", "_model", "_grams", "_usd", "_heel", "_fore")
+    return F.struct(_present(changes, _CHANGE).alias("changes"),
+                    _present(warnings, "string").alias("warnings"))
 
 
 def post_process(df: DataFrame) -> DataFrame:
