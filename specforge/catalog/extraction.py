@@ -387,15 +387,39 @@ def similar_fold(t):
 
 
 
-@query("article_products", "E1,E3,E4,E6,E7,F1,F10,F12,N1,N2,N5,D1")
+def _flow_ctes() -> dict:
+    """The main flow over the oracle forms of its steps."""
+    from specforge.catalog.texts import _analysis_ctes, _relevance_sql
+    names = "|".join(rules.MENTION_BRANDS)
+    return SPECS | _analysis_ctes() | {
+        "rel": _relevance_sql(rules.NON_SHOE_TERMS),
+        "f0": f"""SELECT s.*, a."date" AS art_date, a.link, coalesce(s."drop", {d.r2('s.heel_height - s.forefoot_height')}) AS d0 FROM specs s JOIN articles a ON a.doc_id = s.doc_id
+  JOIN an ON an.doc_id = s.doc_id JOIN rel ON rel.doc_id = s.doc_id WHERE rel.keep AND s.brand_name IS NOT NULL AND s.model IS NOT NULL
+  AND (coalesce(s.heel_height, 0) <> 0 OR s."drop" IS NOT NULL) AND (s.primary_use IS NOT NULL OR s.surface_type IS NOT NULL)
+  AND {d.m('s.brand_name', f'^(?:{names})$', '')} AND ({d.m('s.model', '[0-9]')} OR {d.m('s.model', rules.QUALITY_SERIES)})
+  AND CASE an.scenario WHEN 'general' THEN true WHEN 'brand-only' THEN lower(s.brand_name) = lower(an.brand)
+   ELSE lower(s.brand_name) = lower(an.brand) AND contains(lower(s.model), lower(an.model)) END""",
+        "f1": f"""SELECT *, {d.squeeze(d.sub('model', r'\b(?:shoe|sneaker|running)\b'))} AS m2, {d.r2(d.between('heel_height', 10, 60))} AS h2, {d.r2(d.between('forefoot_height', 10, 60))} AS v2,
+  CASE WHEN weight < 20 THEN {d.rnd('weight * 28.35')} ELSE weight END AS g FROM f0""",
+        "flow": f"""SELECT doc_id, block_no, cast(doc_id as varchar) AS article_id, {d.mapping('brand_name', rules.BRAND_ALIASES, 'brand_name')} AS brand_name, m2 AS model,
+  {d.key_part('brand_name')} || ' ' || {d.key_part('m2')} AS model_key, h2 AS heel_height, v2 AS forefoot_height,
+  CASE WHEN d0 IS NOT NULL THEN {d.r2(d.between('d0', 0, 20))} ELSE {d.r2('h2 - v2')} END AS "drop", {d.r2(d.between('g', 100, 600))} AS weight, {d.r2(d.between('price', 40, 500))} AS price,
+  carbon_plate, coalesce(waterproof, CASE WHEN surface_type = 'trail' THEN false END) AS waterproof, primary_use, surface_type, art_date AS "date", nullif(link, '') AS source_link
+  FROM f1 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(brand_name), lower(m2) ORDER BY block_no) = 1"""}
+
+
+@query("article_products", "E1,E3,E4,E6,E7,F1,F10,F12,N1,N2,N5,D1", "SELECT * FROM flow", _flow_ctes())
 def article_products(t):
     df = products.article_products(t.articles)
     return df.select("doc_id", "block_no", "article_id", "brand_name", "model", "model_key", "heel_height", "forefoot_height", "drop",
-                     "weight", "price", "carbon_plate", "waterproof", "primary_use", "surface_type", "date", "source_link",
-                     F.size("changes").alias("n_changes"))
+                     "weight", "price", "carbon_plate", "waterproof", "primary_use", "surface_type", "date", "source_link")
 
 
-@query("coverage", "A8")
+_FLOW_FIELDS = ["heel_height", "forefoot_height", "drop", "weight", "price", "carbon_plate", "waterproof", "primary_use", "surface_type"]
+
+
+@query("coverage", "A8", f"""SELECT count(*) AS total_products, {d.r2(f"sum(2 + {' + '.join(f'cast({chr(34)}{c}{chr(34)} IS NOT NULL as int)' for c in _FLOW_FIELDS)}) * 100.0::double / (count(*) * 15.0::double)")} AS average_coverage,
+ {', '.join(f'count("{c}") AS "{c}"' if c in _FLOW_FIELDS else f'0 AS "{c}"' for c in rules.SPEC_FIELDS)} FROM flow""", _flow_ctes())
 def coverage(t):
     return profile.coverage(products.article_products(t.articles))
 

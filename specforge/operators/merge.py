@@ -107,19 +107,18 @@ def upsert_if_richer(target: DataFrame, source: DataFrame, keys: Sequence[str],
 
 def stage_insert(staging: DataFrame, source: DataFrame, doc_id: str, position: str,
                  keys: Sequence[str] = ROW_KEY) -> DataFrame:
-    """Source rows with `outcome`: created, skipped (key staged) or failed (bad document)."""
-    have = staging.select(*keys).distinct().withColumn("_have", F.lit(True))
-    marked = source.join(have, list(keys), "left")
+    """Source rows with `outcome`: created, skipped (key staged) or failed (bad document).
+
+    Of a key that comes twice in the batch the first position is created.  Both
+    sides are reduced to one row per key before they meet the source.
+    """
     bad = F.coalesce(F.col(doc_id) <= 0, F.lit(True))
-    known = F.col("_have").isNotNull()
-    ok = marked.filter(~bad & ~known).drop("_have")
-    fresh = first_per_key(ok, [F.col(k) for k in keys], [F.col(position)])
-    again = ok.join(fresh.select(*keys, position), [*keys, position], "left_anti")
-    return (fresh.withColumn("outcome", F.lit("created"))
-            .unionByName(again.withColumn("outcome", F.lit("skipped")))
-            .unionByName(marked.filter(known).drop("_have").withColumn("outcome", F.lit("skipped")))
-            .unionByName(marked.filter(bad & ~known).drop("_have")
-                         .withColumn("outcome", F.lit("failed"))))
+    have = staging.select(*keys).distinct().withColumn("_have", F.lit(True))
+    first = source.filter(~bad).groupBy(*keys).agg(F.min(position).alias("_first"))
+    marked = source.join(have, list(keys), "left").join(first, list(keys), "left")
+    is_first = F.coalesce(F.col(position) == F.col("_first"), F.lit(True))
+    return marked.withColumn("outcome", F.when(F.col("_have"), "skipped").when(bad, "failed")
+                             .when(is_first, "created").otherwise("skipped")).drop("_have", "_first")
 
 
 def approve(staging: DataFrame, results: DataFrame, selected: DataFrame, approved_at: Column,
