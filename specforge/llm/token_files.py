@@ -32,7 +32,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from specforge.llm.common import batch_of, chunks, column, shuffle_parts, strings, work_dir
 
-CHUNK_BYTES = 16 << 20   # text handled at once
+CHUNK_BYTES = 8 << 20    # text handled at once
+ROWS = 32                # texts given to the tokenizer at once
 JOINED = 256             # distinct words given to the tokenizer as one text
 MARKS = "^~`|#"          # words are told apart by the first of these that is one id
 # A word with marks behind its last letter or digit.
@@ -92,9 +93,9 @@ def _ascii(units: pa.Array) -> pa.Array:
 
 def _gather(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of ranges laid in a row, and where each range ends there."""
-    ends = np.cumsum(sizes)
-    at = np.repeat(starts - (ends - sizes), sizes)
-    at += np.arange(len(at))
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
     return at, ends
 
 
@@ -119,15 +120,16 @@ class Encoder:
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts given one by one, and how many each has."""
-        done = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        done = [e.ids for at in range(0, len(units), ROWS)
+                for e in self.tokenizer.encode_batch_fast(units[at:at + ROWS], add_special_tokens=False)]
         return (np.array([i for ids in done for i in ids], dtype=np.uint32),
                 np.array([len(ids) for ids in done], dtype=np.int64))
 
     def _joined(self, tokenizer, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words without the mark: many at once, a mark after each."""
         rows = [f" {self.mark} ".join([*units[at:at + JOINED], ""]) for at in range(0, len(units), JOINED)]
-        done = [np.array(e.ids, dtype=np.uint32)
-                for e in tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+        done = [np.array(e.ids, dtype=np.uint32) for at in range(0, len(rows), ROWS)
+                for e in tokenizer.encode_batch_fast(rows[at:at + ROWS], add_special_tokens=False)]
         ids = np.concatenate(done) if done else np.zeros(0, np.uint32)
         ends = np.flatnonzero(ids == self.mark_id)
         sizes = np.diff(ends, prepend=-1) - 1
