@@ -20,6 +20,7 @@ Null text: the empty text, only the end id.  An empty table gives empty files.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -107,6 +108,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Threads of the library would each keep their own memory; Spark runs the tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.words = by_word(path)
