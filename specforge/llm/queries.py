@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specforge.llm import byte_bpe, token_files
+from specforge.llm import byte_bpe, mixing, quality_lines, token_files, toxicity
 from specforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,22 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
     docs = table(spark, folder, "documents")
     return byte_bpe.digests(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.decide(table(spark, folder, "documents"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_quality_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_lines.judge(table(spark, folder, "documents"))

@@ -1,13 +1,14 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax (operator 9).
 
 A word is the bag of its whole form and its character n-grams, each a hashed row
-of an embedding table; a document is the mean of its words' means, and two linear
-outputs with a softmax give the score.  Table and outputs are trained jointly in
+of an embedding table; a document is the mean of its words' means (a word that
+occurs n times counts as the root of n, so repetition does not drown the rest), and
+two linear outputs with a softmax give the score.  Table and outputs are trained jointly in
 numpy; a misspelling the model has not seen shares most n-grams with the word.
 
 The model is linear after training, so each n-gram has one number, and scoring is
-a lookup per distinct word of a batch.  The fit uses at most `per_class` labelled
-documents of either label (smallest id hashes first); scoring covers every row.
+a lookup per distinct word of a batch.  The fit uses at most `toxic_docs` and
+`clean_docs` labelled documents (smallest id hashes first); scoring covers every row.
 
 Null and empty texts are scored by the outputs' offsets alone.  Labels that are
 null, or whose document is missing, teach nothing; several labels of a document
@@ -29,8 +30,10 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from specforge.llm.common import batch_of, chunks, column, fresh, strings
 
-BUCKETS = 1 << 16
+BITS = 18
+BUCKETS = 1 << BITS
 GRAMS = (3, 4, 5)
+PAD = 40              # empty words each mean has besides its own, so a few words in a short text weigh less
 CHUNK_BYTES = 8 << 20
 PRIME = np.uint32(16777619)
 OPEN, CLOSE = ord("<"), ord(">")
@@ -76,7 +79,7 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint32(16))
-    return ((h * np.uint32(2654435769)) >> np.uint32(32 - 16)).astype(np.int64)
+    return ((h * np.uint32(2654435769)) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -91,11 +94,11 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A document's buckets and their shares (which sum to one, or none)."""
     words, which, _ = split(pa.array([text]))
     full = np.array([w != "" for w in words.to_pylist()], dtype=bool)
-    count = np.bincount(which, minlength=len(words)) * full
+    count = np.sqrt(np.bincount(which, minlength=len(words))) * full
     if not count.sum():
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     buckets, sizes = grams(words)
-    share = np.bincount(buckets, np.repeat(count / np.maximum(sizes, 1), sizes), minlength=BUCKETS) / count.sum()
+    share = np.bincount(buckets, np.repeat(count / np.maximum(sizes, 1), sizes), minlength=BUCKETS) / (count.sum() + PAD)
     used = np.flatnonzero(share)
     return used.astype(np.int32), share[used].astype(np.float32)
 
@@ -112,15 +115,18 @@ class Model:
         buckets, sizes = grams(words)
         sums = np.bincount(np.repeat(np.arange(len(words)), sizes), self.weight[buckets], minlength=len(words))
         value = sums / np.maximum(sizes, 1)
-        full = pc.not_equal(words, "").to_numpy(zero_copy_only=False).astype(np.float64)
-        row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        n = np.bincount(row, full[which], minlength=len(texts))
-        total = np.bincount(row, (value * full)[which], minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.offset + total / np.maximum(n, 1), -60, 60)))
-
-
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, gain: float = 20.0,
-        epochs: int = 12, rate: float = 0.05, batch: int = 64, seed: int = 0) -> Model:
+        full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        pairs = np.repeat(np.arange(len(texts)), np.diff(bounds)) * len(words) + which
+        pairs, count = np.unique(pairs, return_counts=True)
+        row, word = np.divmod(pairs, max(1, len(words)))
+        share = np.sqrt(count) * full[word]
+        n = np.bincount(row, share, minlength=len(texts))
+        total = np.bincount(row, value[word] * share, minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.offset + total / (n + PAD), -60, 60)))
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, gain: float = 100.0,
+        epochs: int = 8, rate: float = 0.05, batch: int = 64, seed: int = 0) -> Model:
     """Train table and outputs jointly: Adagrad on the softmax loss, rows touched only.
 
     `gain` multiplies the mean, so that a few words in hundreds can decide.
@@ -132,7 +138,8 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int
     table = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     offset = np.zeros(2, np.float32)
-    seen_table, seen_out, seen_offset = np.full(BUCKETS, 1e-6, np.float32), np.full_like(out, 1e-6), np.full(2, 1e-6, np.float32)
+    seen_table = np.full(BUCKETS, 1e-6, np.float32)
+    seen_out, seen_offset = np.full_like(out, 1e-6), np.full(2, 1e-6, np.float32)
     for _ in range(epochs):
         for at in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // batch)):
             sizes = np.array([len(bags[i][0]) for i in at])
@@ -166,18 +173,18 @@ def fold(doc: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, doc: str, text: str,
+def training_rows(docs: DataFrame, labels: DataFrame, sizes: tuple[int, int], doc: str, text: str,
                   label: str) -> DataFrame:
     """toxic, buckets, shares of the sample: the smallest id hashes of either label.
 
-    Only ids are ordered (a top-k); at most 2 * per_class rows are broadcast.
+    Only ids are ordered (a top-k); at most the sum of `sizes` rows are broadcast.
     """
     known = (labels.select(F.col(doc).alias("id"), F.col(label).cast("int").alias("toxic"))
              .where("id is not null and toxic is not null").where(fold(F.col("id")) != 0)
              .groupBy("id").agg(F.max("toxic").alias("toxic")))
     order = [F.xxhash64("id"), F.col("id")]
-    chosen = known.where("toxic > 0").orderBy(*order).limit(per_class).unionAll(
-        known.where("toxic <= 0").orderBy(*order).limit(per_class))
+    chosen = known.where("toxic > 0").orderBy(*order).limit(sizes[0]).unionAll(
+        known.where("toxic <= 0").orderBy(*order).limit(sizes[1]))
     rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("buckets", pa.list_(pa.int32())),
                         ("shares", pa.list_(pa.float32()))])
@@ -193,13 +200,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, doc: str,
         .mapInArrow(run, from_arrow_schema(schema))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, doc: str = "doc_id",
+def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1000, clean_docs: int = 3000, doc: str = "doc_id",
           text: str = "text", label: str = "toxic") -> Model:
     """Fit on a bounded sample of the labelled documents outside fold 0.
 
     What reaches the driver is at most one number per bucket and sampled document.
     """
-    sample = training_rows(docs, labels, per_class, doc, text, label).toArrow().sort_by(
+    sample = training_rows(docs, labels, (toxic_docs, clean_docs), doc, text, label).toArrow().sort_by(
         [("id", "ascending"), ("toxic", "ascending")])
     bags = [(np.array(b.values), np.array(s.values)) for b, s in
             zip(sample.column("buckets"), sample.column("shares"), strict=True)]
