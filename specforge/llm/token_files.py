@@ -11,7 +11,7 @@ File format (a folder written by Spark's committer, so a lost task leaves nothin
   blocks     `shard`, `block`, `first_token` (in the shard), `n_docs`, `n_tokens`, `doc_ids`
              (8 bytes each), `has_id` (1 byte each), `lengths` (4 bytes each), `control`, `data`
 Documents are in ascending doc_id order over shards, blocks and rows (null ids first,
-repeated ids by their tokens); each document's values are padded to a multiple of
+repeated ids by the checksum of their tokens); each document's values are padded to a multiple of
 four with zeros.
 
 Null text: the empty text, only the end id.  An empty table gives empty files.
@@ -27,13 +27,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from specforge.llm.common import batch_of, chunks, column, shuffle_parts, strings, work_dir
 
-CHUNK_BYTES = 8 << 20    # text handled at once
+CHUNK_BYTES = 16 << 20   # text handled at once
 ROWS = 32                # texts given to the tokenizer at once
 JOINED = 256             # distinct words given to the tokenizer as one text
 MARKS = "^~`|#"          # words are told apart by the first of these that is one id
@@ -234,16 +234,38 @@ def ranked(counts: DataFrame) -> np.ndarray:
                     dtype=np.uint32)
 
 
-def _pack_rows(tokens: np.ndarray) -> Callable:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("control", pa.binary()), ("data", pa.binary())])
+PACKED = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int32()),
+                    ("control", pa.binary()), ("data", pa.binary())])
 
+
+def bounds(coded: DataFrame, shards: int) -> list[int]:
+    """Where shards end, by approximate quantiles of doc_id (null as the smallest).
+
+    A doc_id that holds more than a shard's share of rows is there several times.
+    """
+    at = F.percentile_approx(_order("doc_id"), [k / shards for k in range(1, shards)], 100 * shards)
+    return coded.select(at).first()[0] or [] if shards > 1 else []
+
+
+def _order(doc: str) -> Column:
+    return F.coalesce(F.col(doc), F.lit(-1 << 63))
+
+
+def _pack_rows(tokens: np.ndarray, ends: list[int]) -> Callable:
+    """Coded documents with their shard; rows of a frequent doc_id are dealt to its
+    shards in the order of their ids' checksums."""
     def run(batches):
         rank = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, dtype=np.uint32)
         rank[tokens] = np.arange(len(tokens), dtype=np.uint32)
         for batch in batches:
+            docs = column(batch, "doc_id")
             ids = [np.frombuffer(x.as_buffer(), "<u4") for x in column(batch, "ids")]
             made = [pack(rank[x]) for x in ids]
-            yield batch_of(schema, [column(batch, "doc_id"), [len(x) for x in ids],
+            tie = np.array([zlib.crc32(x) for x in ids], dtype=np.int64)
+            key = pc.fill_null(docs, -1 << 63).to_numpy(zero_copy_only=False)
+            first, last = np.searchsorted(ends, key, "left"), np.searchsorted(ends, key, "right")
+            shard = first + (tie * (last - first + 1) >> 32)
+            yield batch_of(PACKED, [shard.astype(np.int32), docs, tie, [len(x) for x in ids],
                                     [m[0] for m in made], [m[1] for m in made]])
     return run
 
@@ -255,9 +277,8 @@ BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_token",
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted documents of a partition as blocks; one block is in memory."""
-    from pyspark import TaskContext
-    shard, number, first = TaskContext.get().partitionId(), 0, 0
+    """Sorted documents as blocks of one shard; one block is in memory."""
+    shard, number, first = -1, 0, 0
     rows: list[tuple] = []
     size = 0
 
@@ -273,9 +294,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch_of(BLOCK, [[v] for v in row])
 
     for batch in batches:
-        for doc, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and size + len(control) + len(data) > BLOCK_BYTES:
+        for of, doc, _, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and (of != shard or size + len(control) + len(data) > BLOCK_BYTES):
                 yield close()
+            if of != shard:
+                shard, number, first = of, 0, 0
             rows.append((doc, n, control, data))
             size += len(control) + len(data)
     if rows:
@@ -287,7 +310,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, doc: str = "doc_id
     """Encode every text with the tokenizer file at `path` and write the shards to `folder`.
 
     The ids are kept once beside the shards (they are counted and then coded), so
-    the tokenizer runs once per text; only coded bytes are shuffled, by ranges of doc_id.
+    the tokenizer runs once per text; only coded bytes are shuffled, by shards of doc_id.
     """
     spark = df.sparkSession
     raw = f"{folder}/ids"
@@ -296,9 +319,10 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, doc: str = "doc_id
     counts = f"{folder}/ranks"
     id_counts(coded).coalesce(1).write.parquet(counts)
     tokens = ranked(spark.read.parquet(counts))
-    (coded.mapInArrow(_pack_rows(tokens), "doc_id bigint, n int, control binary, data binary")
-     .repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first())
-     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "control", "data")
+    shards = shuffle_parts(spark)
+    (coded.mapInArrow(_pack_rows(tokens, bounds(coded, shards)), from_arrow_schema(PACKED))
+     .repartition(shards, "shard")
+     .sortWithinPartitions("shard", _order("doc_id"), "tie", "n", "control", "data")
      .mapInArrow(_blocks, from_arrow_schema(BLOCK))
      .write.option("compression", "none").parquet(f"{folder}/blocks"))
 
