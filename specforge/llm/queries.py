@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specforge.llm import byte_bpe, mixing, quality_lines, token_files, toxicity
+from specforge.llm import byte_bpe, mixing, quality_lines, simhash, token_files, toxicity
 from specforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(docs, tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+@query
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.cluster(table(spark, folder, "documents"))
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
