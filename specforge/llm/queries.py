@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specforge.llm import byte_bpe, mixing, quality_lines, simhash, token_files, toxicity
+from specforge.llm import (byte_bpe, chat, html_text, mixing, quality_lines, simhash, token_files, toxicity,
+                           url_rules, vector_graph)
 from specforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn=None, *, sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+    return register if fn is None else register(fn)
 
 
 def tokenizer(name: str) -> str:
@@ -31,6 +36,21 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(docs, tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+@query(sql="""
+WITH RECURSIVE pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b
+  ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.93),
+reach(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, p.v FROM reach r JOIN pairs p ON p.u = r.other)
+SELECT e.vec_id, (SELECT count(*) FROM pairs p WHERE p.u = e.vec_id) AS n_links,
+  (SELECT min(other) FROM reach r WHERE r.id = e.vec_id) AS component_id,
+  e.vec_id = (SELECT min(other) FROM reach r WHERE r.id = e.vec_id) AS kept
+FROM embeddings e""")
+def op2_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_graph.cluster(table(spark, folder, "embeddings"))
+
+
 @query
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.cluster(table(spark, folder, "documents"))
@@ -43,11 +63,48 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
 
 
+@query(sql="""
+WITH c AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg('<|im_start|>' || coalesce(role, '') || chr(10)
+    || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS chat
+  FROM conversations GROUP BY conv_id),
+k AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, chat FROM c GROUP BY n_turns, chat)
+SELECT conv_id, n_turns, n_copies, chat FROM k
+WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.n_turns > k.n_turns AND starts_with(b.chat, k.chat))""")
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
 @query
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.decide(table(spark, folder, "documents"))
 
 
+@query
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"), keep=["page_id"])
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query(sql=f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_rules.UPPER}', '{url_rules.LOWER}') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+r(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+hits AS (
+  SELECT u.*, r.*, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS place
+  FROM u LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM hits WHERE place = 1""")
+def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, folder, "pages"), rules)
+
+
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
