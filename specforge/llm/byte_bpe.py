@@ -117,22 +117,33 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
     return source.mapInArrow(run, from_arrow_schema(schema))
 
 
+OWN = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()),
+       pa.field("decoded_sha256", pa.string())]
+
+
+def _digest(encoding, ids: np.ndarray) -> tuple[int, str, str]:
+    return (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(),
+            hashlib.sha256(decode_ids(encoding, ids)).hexdigest())
+
+
 def digests(df: DataFrame, path: str, pattern: str, keys: list[str],
             text: str = "text") -> DataFrame:
     """Keys, n_tokens, and SHA-256 of the ids and of the bytes decoded from them.
 
     Ids of one text at a time are in memory.
     """
-    own = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()),
-           pa.field("decoded_sha256", pa.string())]
+    def rows(encoding, texts):
+        made = [_digest(encoding, encode_text(encoding, t)) for t in texts]
+        return [[m[k] for m in made] for k in range(3)]
+
+    return _mapped(df, keys, text, path, pattern, OWN, rows)
 
+
+def encoded(df: DataFrame, path: str, pattern: str, keys: list[str], text: str = "text") -> DataFrame:
+    """Keys, the ids as little-endian unsigned 32-bit integers, and their digests."""
     def rows(encoding, texts):
-        count, coded, decoded = [], [], []
-        for t in texts:
-            ids = encode_text(encoding, t)
-            count.append(len(ids))
-            coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
-            decoded.append(hashlib.sha256(decode_ids(encoding, ids)).hexdigest())
-        return [count, coded, decoded]
-
-    return _mapped(df, keys, text, path, pattern, own, rows)
+        ids = [encode_text(encoding, t) for t in texts]
+        made = [_digest(encoding, i) for i in ids]
+        return [[i.tobytes() for i in ids], *([m[k] for m in made] for k in range(3))]
+
+    return _mapped(df, keys, text, path, pattern, [pa.field("ids", pa.binary()), *OWN], rows)
