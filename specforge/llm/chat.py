@@ -32,28 +32,25 @@ def _plain(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFra
                      F.col(role).alias("role"), F.col(text).alias("text"))
 
 
-def _hashes(n: Column) -> list[Column]:
-    """Two hashes of a turn at a position; nulls are told from empty strings."""
+def prefixes(turns: DataFrame) -> DataFrame:
+    """conv_id, own, n (turns up to this one), h1 and h2 of them, turns (of the whole conversation)."""
     null = F.concat(F.col("role").isNull().cast("string"), F.col("text").isNull().cast("string"))
-    return [F.xxhash64(F.lit(seed), n, F.col("of"), null) for seed in (1, 2)]
+    narrow = turns.select("conv_id", "own", "turn", "role", F.struct(
+        F.xxhash64("role", "text").alias("a"), F.hash("text", "role").alias("b"), null.alias("null")).alias("of"))
 
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"h{k}": F.xxhash64(F.lit(k), F.col("n"), F.col("of")) for k in (1, 2)})
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, own, n (turns up to this one), h1 and h2 of them, turns (of the whole conversation)."""
-    narrow = turns.select("conv_id", "own", "turn", "role",
-                          F.struct(F.xxhash64("role", "text").alias("a"), F.hash("text", "role").alias("b")).alias("of"),
-                          F.col("text").isNull().alias("blank"))
-    conv = Window.partitionBy("conv_id", "own")
+    conv = Window.partitionBy("conv_id")
     # Rows that tie are equal but for hash collisions, so any order gives the same hashes.
-    order = conv.orderBy("turn", "role", "blank", "of")
-    n = F.row_number().over(order)
-    null = F.concat(F.col("role").isNull().cast("string"), F.col("blank").cast("string"))
-    placed = narrow.withColumn("n", n).withColumn("turns", F.count("*").over(conv))
-    for name, seed in (("h1", 1), ("h2", 2)):
-        placed = placed.withColumn(name, F.xxhash64(F.lit(seed), "n", "of", null))
+    order = conv.orderBy("turn", "role", "of")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.select("conv_id", "own", "n", "turns", F.bit_xor("h1").over(upto).alias("h1"),
-                         F.bit_xor("h2").over(upto).alias("h2"))
+    named = hashed(narrow.where("conv_id is not null").withColumn("n", F.row_number().over(order))
+                   .withColumn("turns", F.count("*").over(conv)))
+    alone = hashed(narrow.where("conv_id is null").withColumn("n", F.lit(1)))
+    return named.select("conv_id", "own", "n", "turns", F.bit_xor("h1").over(upto).alias("h1"),
+                        F.bit_xor("h2").over(upto).alias("h2")).unionAll(
+        alone.select("conv_id", "own", "n", F.lit(1).cast("bigint").alias("turns"), "h1", "h2"))
 
 
 def maximal(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -84,16 +81,13 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     kept = stored(maximal(df, conv, turn, role, text))
     turns = _plain(df, conv, turn, role, text)
     same = turns["conv_id"].eqNullSafe(kept["conv_id"]) & turns["own"].eqNullSafe(kept["own"])
-    item = F.struct("turn", "role", "text")
-    one = kept["conv_id"].isNull()
     joined = turns.join(kept, same).select(
-        kept["conv_id"], kept["own"], "n_turns", "n_copies", one.alias("alone"),
+        kept["conv_id"], kept["own"], "n_turns", "n_copies", kept["conv_id"].isNull().alias("alone"),
         F.struct("turn", "role", "text").alias("item"))
     # Equal rows without an id are one conversation, whatever their number.
     named = (joined.where("not alone").groupBy("conv_id", "own", "n_turns", "n_copies")
              .agg(F.sort_array(F.collect_list("item")).alias("items")))
     alone = (joined.where("alone").groupBy("conv_id", "own", "n_turns", "n_copies")
              .agg(F.array(F.min("item")).alias("items")))
-    del item
     chat = F.array_join(F.transform("items", lambda i: rendered(i.role, i.text)), "")
     return named.unionAll(alone).select("conv_id", "n_turns", "n_copies", chat.alias("chat"))
