@@ -12,7 +12,6 @@ from specforge.functions import regex as rx
 from specforge.operators import blocks, dedup, fallback, normalize, profile, tables, windows
 from specforge.plans import article_specs, products
 from specforge.sources import pages
-from specforge.sources.records import spread
 
 C = F.col
 J = lambda c: F.array_join(c, "|")
@@ -263,7 +262,8 @@ def comparison_tables(t):
 # --- article results ----------------------------------------------------------------
 
 def _article_inputs(t):
-    html = F.concat(F.lit("<html><body><p>"), C("content"), F.lit("</p></body></html>"))
+    page = F.concat(F.lit("<html><body><p>"), C("content"), F.lit("</p></body></html>"))
+    html = F.when(C("doc_id") % 3 > 0, page)
     return t.articles.select("doc_id", "title", "content", html.alias("html"))
 
 
@@ -274,10 +274,10 @@ def article_results(t):
                      "forefoot_mm", "prefilter_score", "source_used", "content_len", "html_chars", "method")
 
 
-@query("article_sources", "E17", f"""SELECT doc_id, CASE WHEN length({d.trim('content')}) >= 2000 THEN 'content' ELSE 'fetched_html' END AS source_used,
+@query("article_sources", "E17", f"""SELECT doc_id, CASE WHEN length({d.trim('content')}) >= 2000 OR doc_id % 3 = 0 THEN 'content' ELSE 'fetched_html' END AS source_used,
  length({d.trim('content')}) AS content_len FROM articles""")
 def article_sources(t):
-    df = article_specs.article_specs(_article_inputs(t), "doc_id", "title", "content", "html")
+    df = article_specs.choose_source(_article_inputs(t), "doc_id", "title", "content", "html")
     return df.select("doc_id", "source_used", "content_len")
 
 
@@ -311,7 +311,7 @@ _NORM = f"""SELECT id, b2 AS brand_name, m2 AS model, h2 AS heel_height, f2 AS f
 
 @query("normalize_specs", "N1", "SELECT * FROM n1", {"n0": _NORM0, "n1": _NORM})
 def normalize_specs(t):
-    df = normalize.normalize_specs(spread(t.products), "currency")
+    df = normalize.normalize_specs(t.products, "currency")
     return df.select("id", "brand_name", "model", "heel_height", "forefoot_height", "drop", "weight", "price", "cushioning_type",
                      "upper_breathability", F.size("changes").alias("n_changes"), F.size("warnings").alias("n_warnings"))
 

@@ -65,22 +65,20 @@ def product_profile(t):
     return profile.column_profile(t.products, "products", rules.NUMERIC_FIELDS, rules.BOOLEAN_FIELDS, ["brand_name", "cushioning_type"])
 
 
-@query("duplicate_texts", "A6", """SELECT md5(text) AS digest, cnt, first_created, last_created FROM (SELECT text, count(*) AS cnt, min(doc_id) AS first_created, max(doc_id) AS last_created
- FROM documents GROUP BY text HAVING count(*) > 1 ORDER BY cnt DESC, text LIMIT 20)""")
+@query("duplicate_texts", "A6", """SELECT sha256(text) AS digest, length(text) AS chars, count(*) AS cnt, min(doc_id) AS first_id, max(doc_id) AS last_id
+ FROM documents GROUP BY text HAVING count(*) > 1""")
 def duplicate_texts(t):
-    return profile.duplicate_keys(t.documents, ["text"], "doc_id").select(
-        F.md5("text").alias("digest"), "cnt", "first_created", "last_created")
+    return profile.duplicate_long(t.documents, "text", "doc_id")
 
 
-@query("duplicate_ids", "A6", """SELECT brand_name, model, cnt, id FROM products JOIN (SELECT brand_name, model, count(*) AS cnt FROM products GROUP BY 1, 2 HAVING count(*) > 1
- ORDER BY cnt DESC, brand_name ASC NULLS FIRST, model ASC NULLS FIRST LIMIT 20) g USING (brand_name, model)""")
+@query("duplicate_ids", "A6", """SELECT products.brand_name, products.model, cnt, id FROM products JOIN (SELECT brand_name, model, count(*) AS cnt FROM products GROUP BY 1, 2 HAVING count(*) > 1) g
+ ON products.brand_name IS NOT DISTINCT FROM g.brand_name AND products.model IS NOT DISTINCT FROM g.model""")
 def duplicate_ids(t):
     return profile.duplicate_ids(t.products, ["brand_name", "model"], "id", "created_at")
 
 
-_TOP = "SELECT * FROM products ORDER BY created_at DESC, id DESC LIMIT 50"
 _REP = """SELECT source_id, count(*) AS products, list_sort(list(DISTINCT brand_name) FILTER (WHERE brand_name IS NOT NULL)) AS brands, count(DISTINCT source_link) AS k,
- count(weight) AS with_weight, count("drop") AS with_drop, count(price) AS with_price, count(heel_height) AS with_heel_height FROM newest GROUP BY 1"""
+ count(weight) AS with_weight, count("drop") AS with_drop, count(price) AS with_price, count(heel_height) AS with_heel_height FROM products GROUP BY 1"""
 
 
 def _report(t):
@@ -89,14 +87,14 @@ def _report(t):
 
 @query("run_report", "A7", """SELECT source_id, products, coalesce(array_to_string(brands, '|'), '') AS brands, with_weight, with_drop, with_price, with_heel_height,
  CASE WHEN coalesce(len(brands), 0) > 2 THEN 1 ELSE 0 END + CASE WHEN with_weight = 0 AND with_drop = 0 AND with_price = 0 THEN 1 ELSE 0 END + CASE WHEN k < products THEN 1 ELSE 0 END AS issues FROM rep""",
-       {"newest": _TOP, "rep": _REP})
+       {"rep": _REP})
 def run_report(t):
     return _report(t).select("source_id", "products", F.array_join("brands", "|").alias("brands"), "with_weight", "with_drop",
                              "with_price", "with_heel_height", F.size("issues").alias("issues"))
 
 
 @query("run_totals", "A7,S15", """SELECT count(*) AS total_articles, sum(products)::bigint AS total_products, round(sum(products) / count(*), 1) AS avg_products, sum(with_weight)::bigint AS with_weight,
- sum(with_price)::bigint AS with_price FROM rep""", {"newest": _TOP, "rep": _REP})
+ sum(with_price)::bigint AS with_price FROM rep""", {"rep": _REP})
 def run_totals(t):
     return profile.run_totals(_report(t)).select("total_articles", "total_products", "avg_products", "with_weight", "with_price")
 

@@ -257,7 +257,7 @@ def loose_booleans(t):
 
 
 @query("sanitize_text", "P21", f"""
-SELECT conv_id, turn, role, nullif(substring({d.squeeze("regexp_replace(text, '[' || chr(1) || '-' || chr(31) || chr(127) || '-' || chr(159) || ']', '', 'g')")}, 1, 500), '') AS text
+SELECT conv_id, turn, role, nullif({d.squeeze("regexp_replace(text, '[' || chr(1) || '-' || chr(31) || chr(127) || '-' || chr(159) || ']', '', 'g')")}, '') AS text
 FROM conversations""")
 def sanitize_text(t):
     return t.conversations.select("conv_id", "turn", "role", text.sanitize(C("text")).alias("text"))

@@ -9,7 +9,6 @@ from specforge.catalog import duck as d
 from specforge.catalog import query
 from specforge.operators import dedup, normalize
 from specforge.sources import exports, loads, pages, records
-from specforge.sources.records import spread
 from specforge.streaming import ingest
 
 C = F.col
@@ -182,16 +181,16 @@ _ALIAS = d.mapping(d.trim("brand_name"), rules.BRAND_ALIASES, d.trim("brand_name
 
 @query("response_specs", "N3", f"""SELECT id, nullif({_ALIAS}, '') AS brand_name, {d.sub(d.trim("model || ' review'"), rules.MODEL_NOISE_SUFFIX)} AS model, CASE WHEN {_H} BETWEEN 10 AND 60 THEN floor({_H} + 0.5) END AS heel_height,
  CASE WHEN {_H} BETWEEN 10 AND 60 THEN floor({_H} + 0.5) - 25.0 END AS "drop", 251.0 AS weight, CASE WHEN (id % 300 + 50) * 1.08::double BETWEEN 40 AND 500 THEN {d.r2('(id % 300 + 50)::double * 1.08::double')} END AS price, true AS carbon_plate, 'max' AS cushioning_type, 'wide' AS foot_width
- FROM products WHERE id % 5 = 1""")
+ FROM (SELECT *, unnest(CASE WHEN id % 5 = 0 THEN [0, 1] ELSE [0] END) AS i FROM products WHERE id % 5 IN (0, 1, 2))""")
 def response_specs(t):
-    items = loads.response_items(spread(_responses(t).filter("id % 5 = 1")), "raw", ["id"])
+    items = loads.response_items(_responses(t), "raw", ["id"])
     return normalize.response_specs(items).select("id", "brand_name", "model", "heel_height", "drop", "weight", "price", "carbon_plate", "cushioning_type", "foot_width")
 
 
 @query("sanitized_responses", "N4", f"""SELECT id, nullif({d.squeeze('brand_name')}, '') AS brand_name, {d.squeeze("model || ' review'")} AS model, id + 0.4::double AS heel_height, 250.6::double AS weight, (id % 300 + 50)::double AS price, true AS carbon_plate, NULL AS cushioning_type
- FROM products WHERE id % 5 = 1""")
+ FROM (SELECT *, unnest(CASE WHEN id % 5 = 0 THEN [0, 1] ELSE [0] END) AS i FROM products WHERE id % 5 IN (0, 1, 2))""")
 def sanitized_responses(t):
-    items = loads.response_items(_responses(t).filter("id % 5 = 1"), "raw", ["id"])
+    items = loads.response_items(_responses(t), "raw", ["id"])
     return normalize.sanitize_response(items).select("id", "brand_name", "model", "heel_height", "weight", "price", "carbon_plate", "cushioning_type")
 
 

@@ -79,10 +79,10 @@ def to_bool(c: Column) -> Column:
             .when(n.isNotNull(), n != 0))
 
 
-def sanitize(c: Column, max_chars: int = 500) -> Column:
-    """Drop control characters, collapse blanks, cap the field length."""
-    clean = F.regexp_replace(c.cast("string"), r"[\x00-\x1F\x7F-\x9F]", "")
-    return F.nullif(F.substring(squeeze(clean), 1, max_chars), F.lit(""))
+def sanitize(c: Column, max_chars: int | None = None) -> Column:
+    """Drop control characters, collapse blanks; cut the field only if asked to."""
+    clean = squeeze(F.regexp_replace(c.cast("string"), r"[\x00-\x1F\x7F-\x9F]", ""))
+    return F.nullif(clean if max_chars is None else F.substring(clean, 1, max_chars), F.lit(""))
 
 
 def sheet_number(c: Column) -> Column:

@@ -154,19 +154,25 @@ def _use_and_surface(low: Column) -> Column:
 
 def waterproof_of(block: Column, low: Column | None = None) -> Column:
     low = _low(block) if low is None else low
-    named = rx.any_low(low, ["gore", "gtx", "water"])
-    # only the start of the mention matters: 'not ' or the word itself
-    mention = F.when(named, rx.pick(block, rules.WATERPROOF_MENTION, 0))
-    negated = F.lower(F.substring(mention, 1, 4)).rlike(f"^not[{rx.BLANK}]")
-    return (F.when(mention.isNotNull(), ~negated)
-            .when(F.contains(low, F.lit("water")) & rx.test(block, rules.WATERPROOF_NEGATION),
-                  F.lit(False)))
+    # Only the start of the first mention matters: 'not ' or the word itself.  Words
+    # that need another one behind them are looked for in front of its last place.
+    starts = [F.when(F.contains(low, F.lit(guard)), F.nullif(F.regexp_instr(
+        low if behind is None else F.regexp_extract(low, rx.java(rf"^([\s\S]*){behind}\b", ""), 1),
+        F.lit(rx.java(rf"\b(?:not\s+)?{word}", ""))), F.lit(0)))
+        for guard, word, behind in rules.WATERPROOF_WORDS]
+    first = F.least(*starts)
+    negated = F.substring(low, first, F.lit(4)).rlike(f"^not[{rx.BLANK}]")
+    negation = F.exists(F.split(low, r"\."), lambda s: rx.test(F.substring(
+        s, F.nullif(F.regexp_instr(s, F.lit(rx.java(rules.NEGATION_START, ""))), F.lit(0)), F.length(s)),
+        rules.WATERPROOF_END, ""))
+    return (F.when(first.isNotNull(), ~negated)
+            .when(F.contains(low, F.lit("water")) & F.coalesce(negation, F.lit(False)), F.lit(False)))
 
 
 def carbon_of(block: Column, low: Column | None = None) -> Column:
     low = _low(block) if low is None else low
-    return F.when(F.contains(low, F.lit("carbon")) & rx.test(block, rules.CARBON_MENTION),
-                  F.lit(True))
+    behind = F.substring(low, F.instr(low, "carbon") + 6, F.length(low))
+    return F.when(F.contains(low, F.lit("carbon")) & text.contains_any(behind, rules.CARBON_PARTS), F.lit(True))
 
 
 def extract_specs(blocks: DataFrame, profile: str = "full") -> DataFrame:
@@ -223,12 +229,45 @@ def _joined(parts: Column, start, size) -> Column:
 
 def match_contexts(content: Column, pattern: str, before: int, after: int,
                    flags: str = "i", min_match: int = 2) -> Column:
-    """array<struct(match, before, after)> with bounded text around each match.
+    """array<struct(match, before, after)> with bounded text around each match."""
+    marked = F.regexp_replace(_clean(content), rx.java(pattern, flags), f"{OPEN}$0{MID}")
+    return marked_contexts(marked, before, after, min_match)
+
+
+def mark_heights(content: Column, word: str) -> Column:
+    """The text with its height mentions marked: one a line, from the first two-digit
+    millimetres or `word` to the last of the other.
+
+    This is what the rule pattern finds, but by single scans per line: the pattern
+    would run from each word to the line end.  A line end between a number and its
+    unit ends the line.
+    """
+    mm = r"\d{2}\s*mm"
+
+    def mark(line):
+        number = F.regexp_instr(line, F.lit(rx.java(mm)))
+        named = F.regexp_instr(line, F.lit(rx.java(word)))
+        start = F.least(number, named)
+        rest = F.substring(line, start, F.length(line))
+        to = lambda p: F.regexp_extract(rest, f"(?is)^(.*{p})", 1)
+        body = F.when(number < named, to(word)).otherwise(to(mm))
+        return F.concat(F.substring(line, F.lit(1), start - 1), F.lit(OPEN), body, F.lit(MID),
+                        F.substring(rest, F.length(body) + 1, F.length(line)))
+    lines = F.split(_clean(content), r"(?<=[\n\r\x{2028}\x{2029}])")
+    return F.array_join(F.transform(lines, lambda x: F.when(
+        F.contains(F.lower(x), F.lit(word)) & rx.test(x, mm), mark(x)).otherwise(x)), "")
 
-    The text is split once at the matches.  A context reaches back over at most
+
+def marked_matches(marked: Column) -> Column:
+    return F.transform(text.tail(F.split(marked, OPEN)), lambda p: F.substring_index(p, MID, 1))
+
+
+def marked_contexts(marked: Column, before: int, after: int, min_match: int = 2) -> Column:
+    """Contexts of a marked text.
+
+    The text is split once at the marks.  A context reaches back over at most
     `before / min_match` parts, so the work is linear in the text.
     """
-    marked = F.regexp_replace(_clean(content), rx.java(pattern, flags), f"{OPEN}$0{MID}")
     kb, ka = before // min_match + 2, after // min_match + 2
 
     def one(parts, p, i):  # i is the zero-based index of the match, part i + 1 holds it
@@ -254,7 +293,7 @@ def mentions(content: Column) -> Column:
     """array<struct(heading, brand_model, price, block)> of unheaded texts.
 
     Brand + name + number or brand + known series, in text order; a mention owns
-    the text up to the next one, the last reaches 300 characters.
+    the text up to the next one, the last the rest of the text.
     """
     brands = "|".join(rf"{rx.literal(b)}\b" if len(b) <= 2 else rx.literal(b)
                       for b in rules.MENTION_BRANDS)
@@ -274,15 +313,13 @@ def mentions(content: Column) -> Column:
         name = rx.pick(tail, r"^\s+([A-Z][a-z]+)\s*\d+[a-z]*", 1, "")
         version = rx.pick(tail, r"^\s+(?:[A-Z][a-z]+)?\s*(\d+[a-z]*)", 1, "")
         model = F.concat_ws(" ", model, F.when(version.isNotNull(), name), version)
-        last = i + 2 == F.size(parts)
         around = F.concat(F.right(_joined(parts, F.greatest(F.lit(1), i + 1 - 48),
                                           F.least(i + 1, F.lit(49))), F.lit(100)),
                           match, F.substring(rest, 1, 200))
         return F.struct(
             match.alias("heading"), brand.alias("brand"), model.alias("model"),
             rx.pick(around, rules.MENTION_PRICE).try_cast("double").alias("price"),
-            F.concat(match, F.lit("\n"), text.trim(
-                F.when(last, F.substring(rest, 1, 300)).otherwise(rest))).alias("block"))
+            F.concat(match, F.lit("\n"), text.trim(rest)).alias("block"))
     found = text.let(F.split(marked, OPEN), lambda parts: F.transform(
         text.tail(parts), lambda p, i: one(parts, p, i)))
     return F.transform(F.filter(found, lambda m: valid_model_part(m["model"])),

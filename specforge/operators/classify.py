@@ -95,10 +95,11 @@ def _term_key(term: str) -> str:
     return term.lower().replace("-", "").replace(" ", "")
 
 
-def with_prefilter(df: DataFrame, content: str, prefix: str = "prefilter_") -> DataFrame:
+def with_prefilter(df: DataFrame, content: str, prefix: str = "prefilter_",
+                   most_hits: int | None = None) -> DataFrame:
     """Weighted keyword score with capped counts, anchor bonus and decision.
 
-    Adds score, negative, has_anchor, ok, pos_hits, neg_hits.
+    Adds score, negative, has_anchor, ok, pos_hits, neg_hits (all, or the first `most_hits`).
     """
     p = prefix
     low = F.col("_low")
@@ -128,6 +129,7 @@ def with_prefilter(df: DataFrame, content: str, prefix: str = "prefilter_") -> D
         F.when(F.col("_ev")[i] & unseen(*parts), F.lit(label)) for i, (parts, label) in
         enumerate([(("$",), "price indication"), (("mm",), "mm measurements"),
                    (("g", "oz"), "weight measurements")])]), lambda x: x.isNotNull())
+    first = lambda c: c if most_hits is None else F.slice(c, 1, most_hits)
     evidence = F.aggregate("_ev", F.lit(0.0), lambda acc, e: acc + e.cast("double"))
     df = df.withColumns({
         f"{p}negative": points(F.col("_neg")),
@@ -135,8 +137,8 @@ def with_prefilter(df: DataFrame, content: str, prefix: str = "prefilter_") -> D
                                 - points(F.col("_neg")))
         + F.when(F.col("_anchor"), F.lit(rules.ANCHOR_BONUS)).otherwise(F.lit(0.0)),
         f"{p}has_anchor": F.col("_anchor"),
-        f"{p}pos_hits": F.slice(F.concat(names(F.col("_pos")), labels), 1, 5),
-        f"{p}neg_hits": F.slice(names(F.col("_neg")), 1, 5),
+        f"{p}pos_hits": first(F.concat(names(F.col("_pos")), labels)),
+        f"{p}neg_hits": first(names(F.col("_neg"))),
         "_specific": F.exists("_pos", lambda r: r["specific"])})
     ok = ((F.col(f"{p}score") >= rules.SCORE_MIN)
           & (F.col(f"{p}negative") < rules.SCORE_NEGATIVE_MAX) & F.col("_specific"))

@@ -97,23 +97,32 @@ def column_profile(df: DataFrame, table: str, numeric: Sequence[str] = (),
     return df.agg(*aggs).select(F.inline(F.array(*[row(c) for c in cols])))
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], created: str, top: int = 20) -> DataFrame:
-    """The `top` keys held by more than one row, with count and time span."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"),
-                                  F.min(created).alias("first_created"),
-                                  F.max(created).alias("last_created"))
-            .filter("cnt > 1").orderBy(F.col("cnt").desc(), *keys).limit(top))
+def duplicate_keys(df: DataFrame, keys: Sequence[str], created: str,
+                   top: int | None = None) -> DataFrame:
+    """The keys held by more than one row, with count and time span; the `top` largest if given."""
+    groups = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"),
+                                    F.min(created).alias("first_created"),
+                                    F.max(created).alias("last_created")).filter("cnt > 1"))
+    return groups if top is None else groups.orderBy(F.col("cnt").desc(), *keys).limit(top)
 
 
-def duplicate_ids(df: DataFrame, keys: Sequence[str], row_id: str, created: str,
-                  top: int = 20) -> DataFrame:
-    """The row ids behind `duplicate_keys`, one per row: a key may hold very many.
+def duplicate_long(df: DataFrame, value: str, row_id: str) -> DataFrame:
+    """Long values held by more than one row: digest, count, first and last id.
 
-    The reported keys are at most `top` rows, so their side is broadcast.
+    Values are grouped by SHA-256 and length, so no shuffle carries them.
     """
+    digest = F.sha2(value, 256)
+    return (df.select(digest.alias("digest"), F.length(value).alias("chars"), row_id)
+            .groupBy("digest", "chars").agg(F.count(F.lit(1)).alias("cnt"), F.min(row_id).alias("first_id"),
+                                            F.max(row_id).alias("last_id")).filter("cnt > 1"))
+
+
+def duplicate_ids(df: DataFrame, keys: Sequence[str], row_id: str, created: str,
+                  top: int | None = None) -> DataFrame:
+    """The row ids behind `duplicate_keys`, one per row: a key may hold very many."""
     groups = duplicate_keys(df, keys, created, top).select(*keys, "cnt").alias("g")
     same = all_true([F.col(f"g.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys])
-    return (df.select(*keys, row_id).alias("d").join(F.broadcast(groups), same)
+    return (df.select(*keys, row_id).alias("d").join(groups, same)
             .select(*[F.col(f"d.{k}").alias(k) for k in keys], "cnt", F.col(f"d.{row_id}")))
 
 
@@ -121,9 +130,10 @@ REPORT_FIELDS = ["weight", "drop", "price", "heel_height", "forefoot_height", "p
                  "surface_type", "cushioning_type"]
 
 
-def run_report(df: DataFrame, doc: str, created: str, row_id: str, newest: int = 50) -> DataFrame:
-    """Per document of the newest rows: products, brands, coverage, issues."""
-    top = df.orderBy(F.col(created).desc(), F.col(row_id).desc()).limit(newest)
+def run_report(df: DataFrame, doc: str, created: str, row_id: str,
+               newest: int | None = None) -> DataFrame:
+    """Per document: products, brands, coverage, issues; of the newest rows only if asked to."""
+    top = df if newest is None else df.orderBy(F.col(created).desc(), F.col(row_id).desc()).limit(newest)
     g = top.groupBy(doc).agg(
         F.count(F.lit(1)).alias("products"),
         F.array_sort(F.collect_set("brand_name")).alias("brands"),
@@ -225,9 +235,10 @@ def errors_by_field(status: DataFrame) -> DataFrame:
             .orderBy(F.col("errors").desc(), "field"))
 
 
-def top_errors(status: DataFrame, order: Sequence[str], n: int = 20) -> DataFrame:
-    return (status.filter(F.col("status").isin("incorrect", "missing_extracted"))
-            .orderBy(*order, "field").limit(n))
+def top_errors(status: DataFrame, order: Sequence[str], n: int | None = None) -> DataFrame:
+    """Wrong fields; the first n of the given order if asked to."""
+    wrong = status.filter(F.col("status").isin("incorrect", "missing_extracted"))
+    return wrong if n is None else wrong.orderBy(*order, "field").limit(n)
 
 
 # --- linkage, outcomes, quality ----------------------------------------------------

@@ -107,9 +107,8 @@ def overlay(prior: DataFrame, responses: DataFrame, key: str) -> DataFrame:
 
 # --- context texts ------------------------------------------------------------------
 
-def comparison_context(title: Column, content: Column, max_chars: int | None = rules.CONTEXT_CHARS
-                       ) -> Column:
-    """Found comparisons, title and body as one text of limited length."""
+def comparison_context(title: Column, content: Column, max_chars: int | None = None) -> Column:
+    """Found comparisons, title and body as one text, cut only if asked to."""
     both = F.concat(title, F.lit("\n\n"), content)
     pairs = F.transform(comparisons(both), lambda p: F.concat(
         p["left"], F.lit(" vs "), p["right"]))
@@ -135,9 +134,11 @@ def request_text(title: Column, content: Column, scenario: Column, brand: Column
     return F.concat(head, instruction(scenario, brand, model), F.lit("\n\nContent: "), content)
 
 
-def candidate_lines(candidates: Column, fields, chars: int = rules.SNIPPET_CHARS) -> Column:
-    """'- field:' and one indented line per snippet, cut with an ellipsis."""
+def candidate_lines(candidates: Column, fields, chars: int | None = None) -> Column:
+    """'- field:' and one indented line per snippet, cut with an ellipsis if asked to."""
     def cut(s):
+        if chars is None:
+            return s
         return F.when(F.length(s) > chars, F.concat(F.substring(s, 1, chars), F.lit("..."))
                       ).otherwise(s)
     parts = [F.when(F.size(candidates[f]) >= 0, F.concat(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from specforge import rules
 from specforge.functions import regex as rx
 from specforge.functions import text, units
-from specforge.operators.blocks import match_contexts
+from specforge.operators.blocks import mark_heights, marked_contexts, marked_matches, match_contexts
 
 _WINDOW = "array<struct<start:bigint,end:bigint>>"
 
@@ -78,21 +78,16 @@ def window_texts(content: Column, windows: Column) -> Column:
         c, (w["start"] + 1).cast("int"), (w["end"] - w["start"]).cast("int"))))
 
 
-def total_chars(windows: Column) -> Column:
-    return F.aggregate(windows, F.lit(0).cast("bigint"),
-                       lambda acc, w: acc + (w["end"] - w["start"]))
-
-
 # --- values of all windows ----------------------------------------------------
 
 def _numbers(texts: Column, field: str, sub: str | None = None) -> Column:
     pattern, low, high = rules.VALUE_PATTERNS[field]
-    group = 0 if sub else 1
 
     def one(t):
-        hits = rx.pick_all(t, pattern, group)
         if sub:
-            hits = F.transform(hits, lambda h: F.regexp_extract(h, sub, 0))
+            hits = F.transform(marked_matches(mark_heights(t, field)), lambda h: F.regexp_extract(h, sub, 0))
+        else:
+            hits = rx.pick_all(t, pattern, 1)
         return F.transform(hits, lambda h: h.try_cast("double"))
     return F.filter(F.flatten(F.transform(texts, one)), lambda v: v.between(low, high))
 
@@ -133,7 +128,9 @@ def snippets(texts: Column) -> Column:
 
     def found(t, field):
         pattern, low, high = rules.VALUE_PATTERNS[field]
-        hits = F.transform(match_contexts(t, pattern, r, r), lambda h: F.struct(
+        around = (marked_contexts(mark_heights(t, field), r, r) if field in ("heel", "forefoot")
+                  else match_contexts(t, pattern, r, r))
+        hits = F.transform(around, lambda h: F.struct(
             F.concat(h["before"], h["match"], h["after"]).alias("s"),
             F.regexp_extract(h["match"], r"\d+(?:\.\d+)?", 0).try_cast("double").alias("v")))
         return F.transform(F.filter(hits, lambda x: x["v"].between(low, high)), lambda x: x["s"])
@@ -153,16 +150,19 @@ SNIPPET_FIELDS = ["price_snippets", "drop_snippets", "weight_snippets", "heel_sn
 def snippet_score(s: Column) -> Column:
     low = F.lower(s)
     points = [F.when(rx.test(s, p), n).otherwise(0) for p, n in rules.SNIPPET_SCORES]
+    number, word, n = rules.SNIPPET_HEIGHT
+    points.append(F.when(F.exists(F.split(s, r"[\n\r\x{2028}\x{2029}]"), lambda x: rx.test(x, word) & rx.test(x, number)),
+                         n).otherwise(0))
     anchors = [F.contains(low, F.lit(a)).cast("int") for a in rules.SNIPPET_ANCHORS]
     return text.sum_of(points + anchors)
 
 
-def top_snippets(all_snippets: Column, n: int = rules.SNIPPET_TOP_N) -> Column:
-    """The n best positive snippets, ties in their order."""
+def top_snippets(all_snippets: Column, n: int | None = None) -> Column:
+    """Positive snippets, best first, ties in their order; the n best if given."""
     scored = F.transform(all_snippets, lambda s, i: F.struct(
         (-snippet_score(s)).alias("k"), i.alias("i"), s.alias("s")))
     ranked = F.array_sort(F.filter(scored, lambda x: x["k"] < 0))
-    return F.transform(F.slice(ranked, 1, n), lambda x: x["s"])
+    return F.transform(ranked if n is None else F.slice(ranked, 1, n), lambda x: x["s"])
 
 
 def _cluster(s: Column, i: Column) -> Column:
@@ -176,7 +176,7 @@ def _cluster(s: Column, i: Column) -> Column:
     price = num(rules.VALUE_PATTERNS["price"][0], 1, 50, 500)
 
     def height(field):
-        hit = rx.pick(s, rules.VALUE_PATTERNS[field][0], 0)
+        hit = F.get(marked_matches(mark_heights(s, field)), F.lit(0))
         v = F.regexp_extract(hit, r"\d{2}", 0).try_cast("double")
         return F.when(v.between(5, 60), v)
     heel, fore = height("heel"), height("forefoot")
@@ -218,12 +218,14 @@ RESULT = ["mode", "reason", "single_reason", "price_usd", "drop_mm", "weight_g",
           "heel_mm", "forefoot_mm", "candidates"]
 
 
-def resolve_windows(df: DataFrame, texts: str) -> DataFrame:
+def resolve_windows(df: DataFrame, texts: str, most: int | None = None,
+                    chars: int | None = None) -> DataFrame:
     """Add the extraction outcome of a text's windows (columns of `RESULT`).
 
     One value per field is `single`; several with a unique drop and heel take
     the first weight; else the best snippet decides; else `ambiguous_multi`
-    with at most five 300-character candidates per field; nothing is `skipped`.
+    with its candidates per field (`most` of them, cut to `chars`, if given);
+    nothing is `skipped`.
     Snippets are cut only for texts that need them.
     """
     df = with_values(df, texts)
@@ -246,9 +248,11 @@ def resolve_windows(df: DataFrame, texts: str) -> DataFrame:
     def value(name, cluster):
         return F.when(s.isin("unique", "plain"), first[name]).when(
             s == "cluster", F.col(f"_best.cluster.{cluster}"))
+    def cut(c):
+        c = c if most is None else F.slice(c, 1, most)
+        return c if chars is None else F.transform(c, lambda x: F.substring(x, 1, chars))
     candidates = F.when(s == "open", F.struct(*[
-        F.transform(F.slice(F.col(f"_snip.{f}"), 1, 5),
-                    lambda x: F.substring(x, 1, rules.SNIPPET_CHARS)).alias(f)
+        cut(F.col(f"_snip.{f}")).alias(f)
         for f in SNIPPET_FIELDS]))
     return df.withColumns({
         "mode": F.when(s == "open", "ambiguous_multi").when(s == "none", "skipped")

@@ -20,15 +20,30 @@ OUTPUT = ["mode", "reason", "stage", "single_reason", "price_usd", "drop_mm", "w
 
 def article_specs(df: DataFrame, key: str, title: str, content: str, html: str,
                   min_content: int = rules.MIN_CONTENT_CHARS,
-                  max_html: int = rules.MAX_HTML_CHARS) -> DataFrame:
+                  max_html: int | None = None) -> DataFrame:
     """One result row per article.
 
-    Long content is used as it is, otherwise the page.  Cheap checks run first:
-    title, then page size; only pages that remain are parsed, in a branch of
-    their own, so Python never sees other rows.  Both branches then share one
-    prefilter and one extraction.  A comparison table with two or more models
-    wins over the text windows.
+    Content of `min_content` characters is used as it is, otherwise the page;
+    without a page, shorter content too.  Only pages that remain after the title
+    check (and a size limit, if one is given) are parsed, in the same pass over the
+    table.  A comparison table with two or more models wins over the text windows.
     """
+    base = choose_source(df, key, title, content, html, min_content, max_html)
+    meta = ["content_len", "html_chars", "source_used", "_route"]
+    page = F.when(F.col("_route") == "page", F.col("_html"))
+    parsed = pages.parse_pages(base.withColumn("_page", page).withColumn(
+        "_given", F.when(F.col("_route") == "content", F.col("_body")).when(
+            F.col("_route") == "large", pages.light_text(F.col("_html")))), [key, *meta, "_given"], "_page")
+    compared = tables.comparison(F.col("tables"))["models"]
+    rows = parsed.withColumn("_cmp", F.when(F.col("_route") == "page", compared)).select(
+        key, *meta, F.when(F.col("_route") == "page", F.col("body_text")).otherwise(F.col("_given")).alias("_text"),
+        F.when(F.size("_cmp") >= 2, F.col("_cmp")).cast(_MODELS).alias("models"))
+    return _extract(classify.with_prefilter(rows, "_text"), key)
+
+
+def choose_source(df: DataFrame, key: str, title: str, content: str, html: str,
+                  min_content: int = rules.MIN_CONTENT_CHARS, max_html: int | None = None) -> DataFrame:
+    """key, source_used, content_len, html_chars, and the texts and route for the next step."""
     body = text.trim(F.coalesce(F.col(content), F.lit("")))
     base = df.select(F.col(key), F.col(title).alias("_title"), body.alias("_body"),
                      F.col(html).alias("_html"))
@@ -36,23 +51,13 @@ def article_specs(df: DataFrame, key: str, title: str, content: str, html: str,
         "content_len": F.length("_body").cast("bigint"),
         "html_chars": F.coalesce(F.length("_html"), F.lit(0)).cast("bigint"),
         "_title_ok": classify.title_prefilter(F.col("_title"))["decision"] == "pass"})
-    use_content = F.col("content_len") >= min_content
+    use_content = (F.col("content_len") >= min_content) | text.is_blank(F.col("_html"))
     base = base.withColumns({
         "source_used": F.when(use_content, "content").otherwise("fetched_html"),
         "html_chars": F.when(use_content | ~F.col("_title_ok"), 0).otherwise(F.col("html_chars"))})
-    base = base.withColumn("_route", F.when(~F.col("_title_ok"), "title").when(
-        use_content, "content").when(F.col("html_chars") > max_html, "large").otherwise("page"))
-
-    meta = [key, "content_len", "html_chars", "source_used", "_route"]
-    direct = base.filter("_route <> 'page'").select(
-        *meta, F.when(F.col("_route") == "content", F.col("_body")).when(
-            F.col("_route") == "large", pages.light_text(F.col("_html"))).alias("_text"),
-        F.lit(None).cast(_MODELS).alias("models"))
-    parsed = pages.parse_pages(base.filter("_route = 'page'"), meta, "_html")
-    parsed = parsed.withColumn("_cmp", tables.comparison(F.col("tables"))["models"]).select(
-        *meta, F.col("body_text").alias("_text"),
-        F.when(F.size("_cmp") >= 2, F.col("_cmp")).cast(_MODELS).alias("models"))
-    return _extract(classify.with_prefilter(direct.unionByName(parsed), "_text"), key)
+    large = F.lit(False) if max_html is None else F.col("html_chars") > max_html
+    return base.withColumn("_route", F.when(~F.col("_title_ok"), "title").when(
+        use_content, "content").when(large, "large").otherwise("page"))
 
 
 def _extract(df: DataFrame, key: str) -> DataFrame:

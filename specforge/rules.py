@@ -322,6 +322,12 @@ WATERPROOF_MENTION = (r"\b(not\s+)?(?:gore[\s\S]*tex|gtx|waterproof"
                       r"|water[\s\S]*resistant)\b")
 WATERPROOF_NEGATION = r"\b(?:not|no|non)[^.]*?water(?:proof|resistant)"
 CARBON_MENTION = r"carbon[\s\S]*plate|carbon[\s\S]*fiber"
+CARBON_PARTS = ["plate", "fiber"]
+# The parts of WATERPROOF_MENTION: literal, word, what must follow somewhere behind it.
+WATERPROOF_WORDS = [("gore", "gore", "tex"), ("gtx", r"gtx\b", None), ("waterproof", r"waterproof\b", None),
+                    ("water", "water", "resistant")]
+NEGATION_START = r"\b(?:not|no|non)"
+WATERPROOF_END = "water(?:proof|resistant)"
 
 # --- fixed values: series names --------------------------------------------
 MENTION_SERIES = (
@@ -463,25 +469,22 @@ VALUE_PATTERNS = {  # field: (pattern, low, high)
     "forefoot": (r"\d{2}\s*mm.*forefoot|forefoot.*\d{2}\s*mm", 5, 60),
 }
 SNIPPET_RADIUS = 200
-SNIPPET_TOP_N = 8
 SNIPPET_SCORES = [(r"\b\d+\s*(?:g|grams|oz|ounces)\b", 2),
                   (r"\bdrop\s*[:\-]?\s*\d{1,2}\s*mm\b", 2),
-                  (r"\d+\s*mm.*(?:heel|forefoot)|(?:heel|forefoot).*\d+\s*mm", 2),
                   (r"\$\d+", 1)]
+SNIPPET_HEIGHT = (r"\d+\s*mm", "heel|forefoot", 2)  # both in one line
 SNIPPET_ANCHORS = ["stack", "drop", "heel", "forefoot", "weight"]
 CLUSTER_DROP = r"\bdrop\s*[:\-]?\s*(\d{1,2})\s*mm\b"
 MIN_CONTENT_CHARS = 2000
 MAX_HTML_CHARS = 600000
+LINE_TAGS = ("p div br li ul ol dl dt dd h1 h2 h3 h4 h5 h6 table tr td th section article header footer "
+             "nav aside main figure blockquote pre hr").split()
 
 # --- fixed values: comparison tables ---------------------------------------
 TABLE_KEYWORDS = ["weight", "heel drop", "drop", "stack", "heel", "forefoot",
                   "price", "retail price"]
 
 # --- fixed values: legacy title gate, prompts, resolver --------------------
-SNIPPET_KEYS = ["price_snippets", "weight_snippets", "drop_snippets",
-                "stack_snippets", "heel_snippets", "forefoot_snippets"]
-CONTEXT_CHARS = 4500
-SNIPPET_CHARS = 300
 TOKEN_PRICE_IN = 0.00015
 TOKEN_PRICE_OUT = 0.0006
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specforge import rules
 from specforge.functions import text
 
 
@@ -17,14 +18,16 @@ def light_text(html: Column, max_chars: int | None = None) -> Column:
 def parse_pages(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """(keep columns, body_text, tables array<array<array<string>>>), Arrow batches.
 
-    The parser class lives inside the task function, so executors need nothing
-    but the standard library.
+    Blocks, rows and cells end lines of the text.  The parser class lives inside the
+    task function, so executors need nothing but the standard library.
     """
+    blocks = rules.LINE_TAGS
     passed = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keep)
     schema = passed + "body_text string, tables array<array<array<string>>>"
 
     def run(batches):
         from html.parser import HTMLParser
+        lines = frozenset(blocks)
 
         class Reader(HTMLParser):
             """Collects body text and the cells of every table, nested ones too."""
@@ -35,6 +38,8 @@ def parse_pages(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame
                 self.skip = 0
 
             def handle_starttag(self, tag, attrs):
+                if tag in lines:
+                    self.text.append("\n")
                 if tag in ("script", "style", "head", "noscript"):
                     self.skip += 1
                 elif tag == "table":
@@ -48,6 +53,8 @@ def parse_pages(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame
                     self.open[-1][1].append(True)
 
             def handle_endtag(self, tag):
+                if tag in lines:
+                    self.text.append("\n")
                 if tag in ("script", "style", "head", "noscript"):
                     self.skip = max(0, self.skip - 1)
                 elif tag == "table" and self.open:
@@ -70,7 +77,7 @@ def parse_pages(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame
                 if page is not None:
                     reader.feed(page)
                     reader.close()
-                texts.append(" ".join("".join(reader.text).split()))
+                texts.append("\n".join(x for x in (" ".join(line.split()) for line in "".join(reader.text).split("\n")) if x))
                 tables.append([[[" ".join(c.split()) for c in r] for r in t if r]
                                for t in reader.tables])
             yield pdf[keep].assign(body_text=texts, tables=tables)

@@ -114,16 +114,6 @@ def date_chain(*candidates: Column, now: Column) -> Column:
                       now.cast("timestamp"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a source of few splits (one-row-group files).
-
-    Text work is CPU-bound.  A source that already has a split per core is left
-    alone, so large tables are never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
