@@ -410,7 +410,7 @@ def _flow_ctes() -> dict:
 
 @query("article_products", "E1,E3,E4,E6,E7,F1,F10,F12,N1,N2,N5,D1", "SELECT * FROM flow", _flow_ctes())
 def article_products(t):
-    df = products.article_products(t.articles)
+    df = products.article_products(t.articles, unheaded=False, fold=False)
     return df.select("doc_id", "block_no", "article_id", "brand_name", "model", "model_key", "heel_height", "forefoot_height", "drop",
                      "weight", "price", "carbon_plate", "waterproof", "primary_use", "surface_type", "date", "source_link")
 
@@ -421,7 +421,7 @@ _FLOW_FIELDS = ["heel_height", "forefoot_height", "drop", "weight", "price", "ca
 @query("coverage", "A8", f"""SELECT count(*) AS total_products, {d.r2(f"sum(2 + {' + '.join(f'cast({chr(34)}{c}{chr(34)} IS NOT NULL as int)' for c in _FLOW_FIELDS)}) * 100.0::double / (count(*) * 15.0::double)")} AS average_coverage,
  {', '.join(f'count("{c}") AS "{c}"' if c in _FLOW_FIELDS else f'0 AS "{c}"' for c in rules.SPEC_FIELDS)} FROM flow""", _flow_ctes())
 def coverage(t):
-    return profile.coverage(products.article_products(t.articles))
+    return profile.coverage(products.article_products(t.articles, unheaded=False, fold=False))
 
 
 @query("coverage_products", "A8", f"""SELECT count(*) AS total_products, {d.r2(f"sum(2 + {' + '.join(f'cast({chr(34)}{c}{chr(34)} IS NOT NULL as int)' for c in rules.SPEC_FIELDS)}) * 100.0::double / (count(*) * 15.0::double)")} AS average_coverage,
@@ -430,3 +430,11 @@ def coverage_products(t):
     return profile.coverage(t.products)
 
 
+
+
+@query("article_products_full", "E5,D6,J5,J6")
+def article_products_full(t):
+    """The main flow with mentions, folded names and responses (from `products`, by source)."""
+    given = t.products.select(C("source_id").alias("doc_id"), C("id").alias("position"), "brand_name", "model", *rules.SPEC_FIELDS)
+    df = products.article_products(t.articles, responses=given)
+    return df.select("article_id", "brand_name", "model", "model_key", *rules.NUMERIC_FIELDS)

@@ -187,7 +187,7 @@ def _source(t):
 @query("upsert_replace", "L1", """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus,
  o_totalprice + CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS o_totalprice FROM orders""")
 def upsert_replace(t):
-    return merge.upsert(_target(t), _source(t), ["o_orderkey"], "o_custkey")
+    return merge.upsert(_target(t), _source(t), "o_custkey", ["o_orderkey"])
 
 
 @query("upsert_outcome", "L1,A11", """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'created' ELSE 'updated' END AS outcome, count(*) AS n FROM orders
@@ -195,7 +195,7 @@ def upsert_replace(t):
  SELECT 'failed', count(*) FROM orders WHERE (o_orderkey % 5 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 7 = 0""")
 def upsert_outcome(t):
     src = _source(t).withColumn("o_orderkey", F.when(C("o_orderkey") % 7 != 0, C("o_orderkey")))
-    out = merge.upsert_outcome(_target(t), src, ["o_orderkey"], "o_custkey")
+    out = merge.upsert_outcome(_target(t), src, "o_custkey", ["o_orderkey"])
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -205,7 +205,7 @@ def upsert_outcome(t):
 def fill_nulls(t):
     cols = ["id", "weight", "cushioning_type", "waterproof"]
     return merge.fill_nulls(t.products.filter("id % 2 = 0").select(*cols),
-                            t.products.filter("id % 2 = 1").withColumn("id", C("id") - 1).select(*cols), ["id"])
+                            t.products.filter("id % 2 = 1").withColumn("id", C("id") - 1).select(*cols), "id", ["id"])
 
 
 @query("upsert_if_richer", "L3", f"""SELECT t.id, CASE WHEN s.id IS NULL THEN 'keep' WHEN {_RICHER} THEN 'update' ELSE 'skip' END AS outcome,
@@ -214,15 +214,15 @@ def fill_nulls(t):
 def upsert_if_richer(t):
     a = t.products.filter("id % 2 = 0")
     b = t.products.filter("id % 2 = 1").withColumn("id", C("id") - 1)
-    return merge.upsert_if_richer(a, b, ["id"], _SF).select("id", "outcome", "price")
+    return merge.upsert_if_richer(a, b, "id", ["id"], _SF).select("id", "outcome", "price")
 
 
-@query("stage_insert", "L4", """SELECT id, CASE WHEN EXISTS (SELECT 1 FROM products g WHERE g.id % 4 = 0 AND g.source_id = p.source_id AND g.brand_name = p.brand_name AND g.model = p.model) THEN 'skipped'
+@query("stage_insert", "L4", """SELECT id, CASE WHEN brand_name IS NULL OR model = '' THEN 'failed' WHEN EXISTS (SELECT 1 FROM products g WHERE g.id % 4 = 0 AND g.source_id = p.source_id AND g.brand_name = p.brand_name AND g.model = p.model) THEN 'skipped'
  WHEN id % 9 = 1 THEN 'failed' WHEN row_number() OVER (PARTITION BY source_id, brand_name, model, id % 9 = 1 ORDER BY id) = 1 THEN 'created' ELSE 'skipped' END AS outcome
- FROM products p WHERE id % 4 <> 0 AND brand_name IS NOT NULL""")
+ FROM products p WHERE id % 4 <> 0""")
 def stage_insert(t):
     cols = ["id", "source_id", "brand_name", "model"]
-    p = t.products.filter("brand_name is not null").select(*cols)
+    p = t.products.select(*cols)
     src = p.filter("id % 4 <> 0").withColumn("doc", F.when(C("id") % 9 == 1, 0).otherwise(C("id")))
     return merge.stage_insert(p.filter("id % 4 = 0"), src, "doc", "id").select("id", "outcome")
 
@@ -254,8 +254,7 @@ def approve_log(t):
 
 @query("brand_count_map", "A2", "SELECT brand_name, count(*) AS n FROM products WHERE brand_name IS NOT NULL GROUP BY 1")
 def brand_count_map(t):
-    m = merge.brand_count_map(t.products)
-    return m.select(F.explode("brand_counts").alias("brand_name", "n"))
+    return merge.brand_counts(t.products)
 
 
 @query("edit_rows", "L6", """SELECT id, CASE WHEN id % 6 = 0 THEN NULL ELSE price END AS price, CASE WHEN id % 3 = 0 THEN 'edited' ELSE model END AS model, brand_name,
@@ -273,6 +272,12 @@ def delete_rows(t):
     return merge.delete_ids(t.products, t.documents.select(C("doc_id").alias("id")), "id").select("id")
 
 
+@query("cleared_rows", "L7", "SELECT 0 AS n, count(*) AS before FROM products")
+def cleared_rows(t):
+    before = t.products.agg(F.count(F.lit(1)).alias("before"))
+    return merge.clear(t.products).agg(F.count(F.lit(1)).alias("n")).select("n", before.scalar().alias("before"))
+
+
 @query("rename_backfill", "L8", "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN 'new' || cast(id as varchar) END, 'old' || cast(id as varchar)) AS source_key FROM products")
 def rename_backfill(t):
     s = C("id").cast("string")

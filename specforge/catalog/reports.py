@@ -154,7 +154,7 @@ def errors_by_field(t):
     return profile.errors_by_field(_status(t))
 
 
-@query("top_errors", "A9", "SELECT id, field, status FROM st WHERE status IN ('incorrect', 'missing_extracted') ORDER BY id, field LIMIT 20", _ACC)
+@query("top_errors", "A9", "SELECT id, field, status FROM st WHERE status IN ('incorrect', 'missing_extracted')", _ACC)
 def top_errors(t):
     return profile.top_errors(_status(t), ["id"]).select("id", "field", "status")
 
@@ -169,7 +169,8 @@ def without_truth(t):
 def rule_accuracy(t):
     from specforge.functions import regex as rx
     hit = rx.test(C("text"), r"[.!?]\s+[A-Z]", "").cast("int").cast("string")
-    j = t.labels.join(t.documents, "doc_id").select("doc_id", hit.alias("quality"), C("quality").cast("string").alias("quality_correct"))
+    hits = t.documents.select("doc_id", hit.alias("hit"))
+    j = t.labels.join(hits, "doc_id").select("doc_id", C("hit").alias("quality"), C("quality").cast("string").alias("quality_correct"))
     st = profile.field_status(j, ["doc_id"], ["quality"])
     return profile.overall_accuracy(profile.accuracy(st))
 

@@ -1,7 +1,7 @@
 """Table maintenance and joins as whole-table rewrites (L*, J*, U*).
 
 Plain files know no update, so each operator returns the next version of a
-table; `sources.versions` writes it beside the old one.  Sources are reduced to
+table; `sources.exports` writes it beside the old one.  Sources are reduced to
 one row per key first, which keeps full joins free of hot keys; on one-sided
 joins adaptive execution splits a hot left key.
 """
@@ -9,6 +9,7 @@ joins adaptive execution splits a hot left key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,8 @@ from specforge.operators.dedup import first_per_key, is_richer
 ROW_KEY = ("source_id", "brand_name", "model")
 
 
-def one_per_key(df: DataFrame, keys: Sequence[str], position: str | None) -> DataFrame:
+def one_per_key(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """Last row per key, since a later upsert of the same key would win."""
-    if position is None:
-        return df
     return first_per_key(df, [F.col(k) for k in keys], [F.col(position).desc()])
 
 
@@ -34,8 +33,8 @@ def _required(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str] = ROW_KEY,
-           position: str | None = None) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, position: str,
+           keys: Sequence[str] = ROW_KEY) -> DataFrame:
     """Matched rows take the supplied columns, others are inserted.
 
     Columns the source lacks keep the target's value.
@@ -51,8 +50,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str] = ROW_KEY,
         else F.col(c) for c in target.columns])
 
 
-def upsert_outcome(target: DataFrame, source: DataFrame, keys: Sequence[str] = ROW_KEY,
-                   position: str | None = None) -> DataFrame:
+def upsert_outcome(target: DataFrame, source: DataFrame, position: str,
+                   keys: Sequence[str] = ROW_KEY) -> DataFrame:
     """Source rows with `outcome`: created, updated or failed (a key is missing)."""
     ok = text.sum_of([F.when(F.col(k).isNull() | (F.col(k).cast("string") == ""), 1)
                       .otherwise(0) for k in keys]) == 0
@@ -73,8 +72,8 @@ def created_or_updated(source: DataFrame, existing: DataFrame, source_id: str) -
             .withColumn("created", F.col("_have").isNull()).drop("_have", "_b", "_m"))
 
 
-def fill_nulls(target: DataFrame, source: DataFrame, keys: Sequence[str],
-               position: str | None = None) -> DataFrame:
+def fill_nulls(target: DataFrame, source: DataFrame, position: str,
+               keys: Sequence[str]) -> DataFrame:
     """Matched rows only gain values they lack; new keys are inserted."""
     src = one_per_key(source, keys, position)
     common = [c for c in target.columns if c in src.columns and c not in keys]
@@ -84,8 +83,8 @@ def fill_nulls(target: DataFrame, source: DataFrame, keys: Sequence[str],
         for c in target.columns])
 
 
-def upsert_if_richer(target: DataFrame, source: DataFrame, keys: Sequence[str],
-                     fields: Sequence[str], position: str | None = None) -> DataFrame:
+def upsert_if_richer(target: DataFrame, source: DataFrame, position: str, keys: Sequence[str],
+                     fields: Sequence[str]) -> DataFrame:
     """Full join with `outcome`: insert, update, skip or keep; next-version values."""
     src = one_per_key(source, keys, position)
     t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in fields],
@@ -107,18 +106,23 @@ def upsert_if_richer(target: DataFrame, source: DataFrame, keys: Sequence[str],
 
 def stage_insert(staging: DataFrame, source: DataFrame, doc_id: str, position: str,
                  keys: Sequence[str] = ROW_KEY) -> DataFrame:
-    """Source rows with `outcome`: created, skipped (key staged) or failed (bad document).
+    """Source rows with `outcome`: created, skipped (key staged) or failed (bad document
+    or a key is missing).
 
     Of a key that comes twice in the batch the first position is created.  Both
-    sides are reduced to one row per key before they meet the source.
+    sides are reduced to one row per key before they meet the source; rows without
+    a key do not take part in the joins.
     """
+    missing = [F.col(k).isNull() | (F.col(k).cast("string") == "") for k in keys]
+    keyed = ~reduce(lambda a, b: a | b, missing)
     bad = F.coalesce(F.col(doc_id) <= 0, F.lit(True))
     have = staging.select(*keys).distinct().withColumn("_have", F.lit(True))
-    first = source.filter(~bad).groupBy(*keys).agg(F.min(position).alias("_first"))
-    marked = source.join(have, list(keys), "left").join(first, list(keys), "left")
-    is_first = F.coalesce(F.col(position) == F.col("_first"), F.lit(True))
-    return marked.withColumn("outcome", F.when(F.col("_have"), "skipped").when(bad, "failed")
-                             .when(is_first, "created").otherwise("skipped")).drop("_have", "_first")
+    first = source.filter(keyed & ~bad).groupBy(*keys).agg(F.min(position).alias("_first"))
+    marked = source.filter(keyed).join(have, list(keys), "left").join(first, list(keys), "left")
+    outcome = (F.when(F.col("_have"), "skipped").when(bad, "failed")
+               .when(F.col(position) == F.col("_first"), "created").otherwise("skipped"))
+    return marked.withColumn("outcome", outcome).drop("_have", "_first").unionByName(
+        source.filter(~keyed).withColumn("outcome", F.lit("failed")))
 
 
 def approve(staging: DataFrame, results: DataFrame, selected: DataFrame, approved_at: Column,
@@ -128,7 +132,8 @@ def approve(staging: DataFrame, results: DataFrame, selected: DataFrame, approve
 
     If any selected key exists already, nothing moves and the log row says
     `conflict`.  `selected` has one column, `id`.  The decision is a scalar
-    subquery, so the whole call stays lazy.
+    subquery, so the whole call stays lazy.  Counts per brand are `brand_counts`
+    of the moved rows.
     """
     batch = staging.join(selected.select("id").distinct(), "id", "left_semi")
     clash = batch.join(results.select(*keys).distinct(), list(keys), "left_semi")
@@ -140,23 +145,25 @@ def approve(staging: DataFrame, results: DataFrame, selected: DataFrame, approve
     new_results = results.unionByName(moved, allowMissingColumns=True)
     gone = selected.select("id").distinct().filter(free.scalar())
     new_staging = staging.join(gone, "id", "left_anti")
-    counts = brand_count_map(batch)
-    size = results.agg(F.count(F.lit(1)).alias("n"))
-    log = batch.agg(F.count(F.lit(1)).alias("total_approved")).select(
+    # One pass over both tables: rows of the batch and of the results per key, then their sums.
+    rows = batch.select(*keys, F.lit(1).alias("b"), F.lit(0).alias("r")).unionAll(
+        results.select(*keys, F.lit(0).alias("b"), F.lit(1).alias("r")))
+    per_key = rows.groupBy(*keys).agg(F.sum("b").alias("b"), F.sum("r").alias("r"))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    taken = F.coalesce(F.bool_or(whole & (F.col("b") > 0) & (F.col("r") > 0)), F.lit(False))
+    sums = per_key.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("r"), F.lit(0)).alias("r"),
+                       taken.alias("clash"))
+    approved = F.when(F.col("clash"), 0).otherwise(F.col("b"))
+    log = sums.select(
         approved_at.alias("approved_at"), approved_by.alias("approved_by"),
-        F.when(free.scalar(), F.col("total_approved")).otherwise(0).alias("total_approved"),
-        F.when(free.scalar(), counts.scalar()).alias("brand_counts"),
-        (size.scalar() + F.when(free.scalar(), F.col("total_approved")).otherwise(0)
-         ).alias("total_in_results"),
-        F.when(free.scalar(), "moved").otherwise("conflict").alias("status"))
+        approved.alias("total_approved"), (F.col("r") + approved).alias("total_in_results"),
+        F.when(F.col("clash"), "conflict").otherwise("moved").alias("status"))
     return new_results, new_staging, log
 
 
-def brand_count_map(df: DataFrame) -> DataFrame:
-    """One row, one column: map brand -> rows, counted before it is gathered."""
-    counts = df.filter("brand_name is not null").groupBy("brand_name").count()
-    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("brand_name", "count")))).alias("brand_counts"))
+def brand_counts(df: DataFrame) -> DataFrame:
+    """brand_name, n: one row per brand."""
+    return df.filter("brand_name is not null").groupBy("brand_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def patch(df: DataFrame, patches: DataFrame, key: str, allowed: Sequence[str],

@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specforge import rules
-from specforge.operators import blocks, classify, dedup, normalize, titles
+from specforge.operators import blocks, classify, dedup, merge, normalize, titles
 
 
-def article_products(articles: DataFrame, doc: str = "doc_id") -> DataFrame:
+def article_products(articles: DataFrame, doc: str = "doc_id", unheaded: bool = True, fold: bool = True,
+                     responses: DataFrame | None = None) -> DataFrame:
     """Relevant articles -> blocks -> specs -> scope -> normal form -> output rows.
 
-    Everything up to the final rank-one deduplication is row-local: no shuffle
-    carries an article text.
+    Articles without headings are read by their mentions (`unheaded`), and rows of
+    one article whose names extend each other become one (`fold`).  `responses`
+    (document, position, names and spec fields) complete text rows and replace
+    those of articles that gave too few.
+
+    Everything up to the fold is row-local: no shuffle carries an article text.
+    Normalization comes before the deduplication.
     """
     df = articles.withColumn("_rel", classify.relevance(F.col("title"), F.col("content")))
     df = df.filter(F.col("_rel.keep")).withColumn(
@@ -22,13 +28,40 @@ def article_products(articles: DataFrame, doc: str = "doc_id") -> DataFrame:
     df = df.select(doc, "source_id", "date", "link", "content",
                    F.col("_an.scenario").alias("scenario"), F.col("_an.brand").alias("t_brand"),
                    F.col("_an.model").alias("t_model"))
-    found = blocks.extract_specs(blocks.explode_blocks(df, "content", meta))
+    cut = blocks.blocks_or_mentions if unheaded else blocks.explode_blocks
+    found = blocks.extract_specs(cut(df, "content", meta))
     found = found.select(*meta, "block_no", "brand_name", "model", *rules.SPEC_FIELDS)
     found = found.filter(F.col("brand_name").isNotNull() & F.col("model").isNotNull()
                          & classify.complete_spec()
                          & blocks.quality_name(F.col("brand_name"), F.col("model")))
+    if fold:
+        found = _folded(found, meta)
     found = found.filter(titles.in_scope(F.col("brand_name"), F.col("model"), F.col("scenario"),
                                          F.col("t_brand"), F.col("t_model")))
+    if responses is not None:
+        found = _with_responses(df.select(*meta), found, responses, doc)
     found = normalize.normalize_specs(normalize.post_process(found))
     rows = normalize.build_rows(found, doc, "source_id", "date", "link")
     return dedup.keep_first(rows, doc, "block_no")
+
+
+def _folded(found: DataFrame, meta: list[str]) -> DataFrame:
+    """Rows of one article with similar names as one, in block order."""
+    kinds = {f: found.schema[f].dataType.simpleString() for f in rules.SPEC_FIELDS}
+    texts = [f for f, k in kinds.items() if k == "string"]
+    flags = [f for f, k in kinds.items() if k == "boolean"]
+    numbers = [f for f in kinds if f not in texts + flags]
+    names = ["brand_name", "model", *numbers, *texts, *flags]
+    items = F.transform(F.sort_array(F.collect_list(F.struct("block_no", F.struct(*names).alias("m")))),
+                        lambda x: x["m"])
+    folded = dedup.fold_similar(F.col("_items"), numbers, flags, texts=texts)
+    return (found.groupBy(*meta).agg(items.alias("_items"))
+            .select(*meta, F.posexplode(folded).alias("_i", "_m"))
+            .select(*meta, (F.col("_i") + 1).alias("block_no"), *[F.col(f"_m.{c}").alias(c) for c in ("brand_name", "model", *rules.SPEC_FIELDS)]))
+
+
+def _with_responses(docs: DataFrame, found: DataFrame, responses: DataFrame, doc: str) -> DataFrame:
+    """Fill gaps of text rows from the responses, and take these where text gave too few rows."""
+    filled = merge.hybrid_merge(found, responses, doc, "position", "scenario")
+    given = responses.join(docs, doc).withColumnRenamed("position", "block_no")
+    return merge.choose_method(docs, filled, given.select(*found.columns), doc, "scenario").drop("method")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -92,7 +93,20 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.path}/v{v:012d}")
 
-    def write(self, df: DataFrame, version: int | None = None) -> int:
-        v = version if version is not None else self.current() + 1
+    def write(self, df: DataFrame) -> int:
+        """The next version; only what a job that died left there is written over."""
+        v = self.current() + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v{v:012d}")
         return v
+
+    def noted(self, run: str, batch: int) -> bool:
+        return self._fs.exists(self._path(f"{self.path}/{self._note(run, batch)}/_SUCCESS"))
+
+    def note(self, run: str, batch: int) -> None:
+        """Remember that a stream's batch is in the table."""
+        done = self.spark.createDataFrame([(run, batch, self.current())], "run string, batch bigint, version bigint")
+        done.coalesce(1).write.mode("overwrite").json(f"{self.path}/{self._note(run, batch)}")
+
+    @staticmethod
+    def _note(run: str, batch: int) -> str:
+        return f"batches/{hashlib.sha256(run.encode()).hexdigest()[:32]}-{batch:012d}"

@@ -20,20 +20,24 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
 
 
 def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], table: VersionedTable,
-           schema, checkpoint: str, keys: Sequence[str] = ROW_KEY, position: str | None = None):
+           schema, checkpoint: str, position: str, keys: Sequence[str] = ROW_KEY):
     """Run all available input through `transform` into the table, then stop.
 
-    Each micro-batch upserts into version batch + 1 of the table, counted from
-    the version before the first batch.  A batch that is run again after a lost
-    executor or driver rewrites the same version from the same predecessor, so
-    the result is the same.
+    Each micro-batch upserts the newest complete version into the next one and is
+    noted as done, by query and batch number, once that is complete.  A batch that
+    comes again is skipped if it is noted; if the driver died between the version
+    and the note, the same rows are upserted again, which changes nothing.  No
+    complete version is ever written over, whatever checkpoint the query starts from.
+    Each version is a whole table; use `merge` of a table format where there is one.
     """
     spark = table.spark
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        before = (spark.read.parquet(f"{table.path}/v{epoch:012d}") if epoch > 0
-                  else spark.createDataFrame([], schema))
-        table.write(upsert(before, transform(batch), keys, position), epoch + 1)
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        if table.noted(run, epoch):
+            return
+        table.write(upsert(table.read(schema), transform(batch), position, keys))
+        table.note(run, epoch)
 
     query = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from specforge import rules
 from specforge.operators import blocks, classify, dedup, fallback, tables, titles, windows
 from specforge.plans import article_specs, products
 from specforge.sources import pages
@@ -254,6 +255,48 @@ def test_article_specs(spark):
     assert rows[5]["prefilter_score"] is not None
 
 
+ARTICLE = "doc_id int, source_id string, title string, content string, date string, link string"
+
+
+def test_unheaded_articles_give_rows(spark):
+    text = ("Running shoes of the year. The Nike Pegasus 40 has a 10 mm drop and weighs 250 grams on the road. "
+            "We also ran in the Brooks Ghost 17, a road shoe with a 12 mm drop and 280 grams.")
+    df = spark.createDataFrame([(1, "s1", "Best running shoes", text, "2024-01-01", "u")], ARTICLE)
+    assert {r["model_key"] for r in products.article_products(df).collect()} == {"nike pegasus 40", "brooks ghost 17"}
+    assert products.article_products(df, unheaded=False).count() == 0
+
+
+def test_similar_names_become_one_row(spark):
+    block = "Best Running Shoes: {} ($140)\n{}\n\n"
+    text = (block.format("Nike Pegasus", "Weighing 10.2 ounces (289 grams) with a 9.5-millimeter drop and 37-millimeter stack height at the heel, for the road.")
+            + block.format("Nike Pegasus 40", "A road shoe with an 8-millimeter drop and 30-millimeter stack height at the heel."))
+    df = spark.createDataFrame([(1, "s1", "Best running shoes", text, "2024-01-01", "u")], ARTICLE)
+    rows = products.article_products(df).collect()
+    assert [r["model_key"] for r in rows] == ["nike pegasus 40"] and rows[0]["weight"] == 289.0
+    assert products.article_products(df, fold=False).count() == 2
+
+
+def test_responses_complete_and_replace(spark):
+    df = spark.createDataFrame([(1, "s1", "Best running shoes", ROUNDUP, "2024-01-01", "u"),
+                                (2, "s2", "Best running shoes", "Running shoes without any figures. " * 5, "2024-01-01", "u")], ARTICLE)
+    spec = ", ".join(f"{f} {'boolean' if f in rules.BOOLEAN_FIELDS else 'double' if f in rules.NUMERIC_FIELDS else 'string'}"
+                     for f in rules.SPEC_FIELDS)
+    values = lambda **v: tuple(v.get(f) for f in rules.SPEC_FIELDS)
+    given = spark.createDataFrame([(1, 1, "Nike", "Other 1", *values(drop=6.0)), (2, 1, "Hoka", "Mach 6", *values(drop=5.0, weight=230.0))],
+                                  f"doc_id int, position int, brand_name string, model string, {spec}")
+    got = {(r["article_id"], r["model_key"]) for r in products.article_products(df, responses=given).collect()}
+    assert ("2", "hoka mach 6") in got and ("1", "nike other 1") not in got and len(got) == 4
+
+
+def test_pages_and_contents_are_read_whole(spark):
+    spec = "This running shoe has a midsole, outsole, traction and grip. The drop: 8 mm, weight 250 g, price $130."
+    page = "<html><body><p>" + "filler words here " * 35_000 + "</p><p>" + spec + "</p></body></html>"
+    df = spark.createDataFrame([(1, "Ride", None, page), (2, "Ride", spec, None), (3, "Ride", spec, " ")], "id int, t string, c string, h string")
+    rows = {r["id"]: r for r in article_specs.article_specs(df, "id", "t", "c", "h").collect()}
+    assert len(page) > 600_000 and all(rows[i]["drop_mm"] == 8.0 for i in rows)
+    assert [rows[i]["source_used"] for i in (1, 2, 3)] == ["fetched_html", "content", "content"]
+
+
 def test_article_products(spark):
     df = spark.createDataFrame([(1, "s1", "Best running shoes", ROUNDUP, "2024-01-01", "u")],
                                "doc_id int, source_id string, title string, content string, date string, link string")

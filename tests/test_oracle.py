@@ -21,6 +21,8 @@ def test_query(spark, con, name):
     ok, note = oracle.compare(spark, con, name, catalog.QUERIES[name],
                               catalog.ORACLES.get(name), FOLDER)
     assert ok, note
+    if catalog.ORACLES.get(name) is None:
+        pytest.skip("runs; checked on fixtures only")
 
 
 def test_every_oracle_has_a_query():
