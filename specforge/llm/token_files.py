@@ -37,8 +37,8 @@ CHUNK_BYTES = 16 << 20   # text handled at once
 ROWS = 32                # texts given to the tokenizer at once
 JOINED = 256             # distinct words given to the tokenizer as one text
 MARKS = "^~`|#"          # words are told apart by the first of these that is one id
-# A word with marks behind its last letter or digit.
-CORE = r"^(?P<core>.*[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])(?P<rest>[.,!?;:]+)$"
+# A word with marks behind its last letter or digit (0130 is left out: in lower case it ends with a mark).
+CORE = r"^(?P<core>.*[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])(?P<rest>[.,!?;:]+)$"
 BLOCK_BYTES = 4 << 20    # coded bytes of a block, but for a longer document
 
 # Lengths of the four values of each control byte.
@@ -321,7 +321,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, doc: str = "doc_id
     tokens = ranked(spark.read.parquet(counts))
     shards = shuffle_parts(spark)
     (coded.mapInArrow(_pack_rows(tokens, bounds(coded, shards)), from_arrow_schema(PACKED))
-     .repartition(shards, "shard")
+     .repartitionById(shards, F.col("shard"))
      .sortWithinPartitions("shard", _order("doc_id"), "tie", "n", "control", "data")
      .mapInArrow(_blocks, from_arrow_schema(BLOCK))
      .write.option("compression", "none").parquet(f"{folder}/blocks"))
