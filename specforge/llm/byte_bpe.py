@@ -20,10 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from specforge.llm.common import batch_of, column, strings
+from specforge.llm.common import batch_of, chunks, column, strings
 
 # Texts above this many characters are cut before they are encoded.
 PIECE_CHARS = 1 << 16
+CHUNK_BYTES = 4 << 20   # text whose results are held at once
 
 # A cut is safe where a printable ASCII character or a letter or digit is followed
 # by an ASCII blank: in the split pattern a blank can only open a match or stand in
@@ -84,8 +85,9 @@ def _mapped(df: DataFrame, keep: list[str], text: str, path: str, pattern: str,
         encoding = load(path, pattern)
         for batch in batches:
             texts = strings(batch, text)
-            made = rows(encoding, (t.as_py() for t in texts))
-            yield batch_of(schema, [column(batch, f.name).cast(f.type) for f in kept] + made)
+            for a, b in chunks(texts, CHUNK_BYTES):
+                made = rows(encoding, (t.as_py() for t in texts.slice(a, b - a)))
+                yield batch_of(schema, [column(batch, f.name).slice(a, b - a).cast(f.type) for f in kept] + made)
 
     return source.mapInArrow(run, from_arrow_schema(schema))
 

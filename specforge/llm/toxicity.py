@@ -34,7 +34,7 @@ BITS = 18
 BUCKETS = 1 << BITS
 GRAMS = (3, 4, 5)
 PAD = 40              # empty words each mean has besides its own, so a few words in a short text weigh less
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 PRIME = np.uint32(16777619)
 OPEN, CLOSE = ord("<"), ord(">")
 
@@ -42,7 +42,7 @@ OPEN, CLOSE = ord("<"), ord(">")
 # --- features -------------------------------------------------------------------------
 
 def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words' bags in a row, and how many each word has.
+    """Buckets of all words' bags, and the word each belongs to.
 
     All n-grams of all words are hashed at once, as runs in one array of code
     points; runs over a word's end are left out.  Every word has its whole form.
@@ -57,8 +57,8 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inner[starts], inner[ends - 1] = False, False
     points[starts], points[ends - 1] = OPEN, CLOSE
     points[inner] = np.frombuffer(text, "<u4")
-    word = np.repeat(np.arange(len(size)), size)
-    left = ends[word] - np.arange(len(points))   # characters to the word's end
+    word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    left = (ends[word] - np.arange(len(points))).astype(np.int32)   # characters to the word's end
     found, owner = [], []
     for n in GRAMS:
         h = np.full(max(0, len(points) - n + 1), 2166136261 + n, dtype=np.uint32)
@@ -71,15 +71,13 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     whole = (points * (np.arange(len(points), dtype=np.uint32) - starts[word].astype(np.uint32) + np.uint32(1)) * PRIME)
     whole = np.add.reduceat(whole ^ (whole >> np.uint32(15)), starts, dtype=np.uint32) if len(starts) else whole[:0]
     found.append(_bucket(whole * PRIME))
-    owner.append(np.arange(len(size)))
-    owners = np.concatenate(owner)
-    order = np.argsort(owners, kind="stable")
-    return np.concatenate(found)[order], np.bincount(owners, minlength=len(size))
+    owner.append(np.arange(len(size), dtype=np.int32))
+    return np.concatenate(found), np.concatenate(owner)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint32(16))
-    return ((h * np.uint32(2654435769)) >> np.uint32(32 - BITS)).astype(np.int64)
+    return ((h * np.uint32(2654435769)) >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -97,8 +95,9 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     count = np.sqrt(np.bincount(which, minlength=len(words))) * full
     if not count.sum():
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    buckets, sizes = grams(words)
-    share = np.bincount(buckets, np.repeat(count / np.maximum(sizes, 1), sizes), minlength=BUCKETS) / (count.sum() + PAD)
+    buckets, owner = grams(words)
+    sizes = np.bincount(owner, minlength=len(words))
+    share = np.bincount(buckets, (count / np.maximum(sizes, 1))[owner], minlength=BUCKETS) / (count.sum() + PAD)
     used = np.flatnonzero(share)
     return used.astype(np.int32), share[used].astype(np.float32)
 
@@ -112,9 +111,9 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         words, which, bounds = split(texts)
-        buckets, sizes = grams(words)
-        sums = np.bincount(np.repeat(np.arange(len(words)), sizes), self.weight[buckets], minlength=len(words))
-        value = sums / np.maximum(sizes, 1)
+        buckets, owner = grams(words)
+        sums = np.bincount(owner, self.weight[buckets], minlength=len(words))
+        value = sums / np.maximum(np.bincount(owner, minlength=len(words)), 1)
         full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
         pairs = np.repeat(np.arange(len(texts)), np.diff(bounds)) * len(words) + which
         pairs, count = np.unique(pairs, return_counts=True)
@@ -230,7 +229,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: st
     def run(batches):
         for batch in batches:
             texts = strings(batch, read)
-            made = [shared.value.scores(texts.slice(a, b - a)) for a, b in chunks(texts, CHUNK_BYTES)]
-            yield batch_of(schema, [*batch.columns[:-1], np.concatenate(made) if made else []])
+            for a, b in chunks(texts, CHUNK_BYTES):
+                kept_columns = [c.slice(a, b - a) for c in batch.columns[:-1]]
+                yield batch_of(schema, [*kept_columns, shared.value.scores(texts.slice(a, b - a))])
 
     return source.mapInArrow(run, from_arrow_schema(schema))
