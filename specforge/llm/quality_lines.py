@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specforge.functions.text import let
-from specforge.llm.common import BLANKS, WORD
+from specforge.llm.common import BLANKS, WORD, fresh
 
 WINDOW = 5           # words of a repeated window
 MIN_WORDS = 10
@@ -110,9 +110,24 @@ def judge(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep(df: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
-    """Documents that stay, with the columns they came with and the text of their passing lines."""
-    out = measured(df, text).where("kept")
-    changed = {text: F.col("cleaned")}
+    """Documents that stay, with the columns they came with and the text of their passing lines.
+
+    The verdict is one expression under a generator, so that no filter repeats its work.
+    """
+    source = F.coalesce(F.col(text), F.lit(""))
+    cleaned = F.array_join(F.filter(F.split(source, "\n"), lambda l: F.rlike(l, F.lit(WORD)) & ~line_fails(l)), "\n")
+    none = F.array().cast("array<string>")
+
+    def verdict(m: Column) -> Column:
+        stays = ((m.n >= MIN_WORDS) & (100 * m.repeated <= MAX_REPEATED * m.n)
+                 & (F.regexp_count(m.cleaned, F.lit(WORD)) >= MIN_LEFT * m.n))
+        return F.when(stays, F.array(m.cleaned)).otherwise(none)
+
+    measures = let(_words(source), lambda w: F.struct(
+        F.size(w).alias("n"), repeat_words(w).alias("repeated"), cleaned.alias("cleaned")))
+    new = fresh(df, "cleaned")
+    out = df.select("*", F.explode(let(measures, verdict)).alias(new))
+    changed = {text: F.col(new)}
     if n_chars is not None:
-        changed[n_chars] = F.length("cleaned").cast(df.schema[n_chars].dataType)
+        changed[n_chars] = F.length(F.col(new)).cast(df.schema[n_chars].dataType)
     return out.withColumns(changed).select(*df.columns)
