@@ -55,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from specforge import rules
 from specforge.functions import text
 
-EPOCH = "1970-01-01 00:00:00"
-
-
 # --- high-water mark ------------------------------------------------------------
 
 def after_mark(df: DataFrame, created: str, mark: Column) -> DataFrame:
@@ -40,10 +37,6 @@ def next_state(outcomes: DataFrame, created: str, mark: Column) -> DataFrame:
         *[n(s).alias(f"n_{s.lower()}") for s in names])
 
 
-def reset_mark() -> Column:
-    return F.lit(EPOCH).cast("timestamp")
-
-
 # --- response items ---------------------------------------------------------------
 
 ITEM_KEYS = ["brand_name", "brand", "model", "model_name", "shoe_model", "heel_height",
