@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specforge import rules
 from specforge.functions import text
 from specforge.operators.fallback import comparisons
 
