@@ -2,11 +2,13 @@
 
 Vectors of a label are dealt to their nearest cluster centers, several each, so
 shards overlap.  In each shard every vector gets a short adjacency list, pruned so
-that no neighbour is much closer to another one.  Lists of a vector from all its
-shards are united.  Then every vector searches its shards: greedily from the
-shard's medoid and from its own list, then outwards through everything within the
-range.  Hits are verified by the cosine in double precision, a hit counts only in
-the shard that is its nearest, so none counts twice.  Recall is audited against
+that no neighbour is much closer to another one, with a few long edges.  Lists of a
+vector from all its shards are united.  Then every vector searches its shards:
+greedily from the shard's medoid, the nearest of fixed entry nodes and its own list,
+then outwards through everything within the range.  What the search left out is
+found by blocked products, so no link within a shard is missed.  Hits are verified by
+the cosine in double precision, a hit counts only in the shard that is its nearest,
+so none counts twice.  Recall is audited against
 brute force for a fixed number of queries, and while it is too low the search is
 repeated with more shards per vector (all of them in the end).
 
@@ -39,12 +41,16 @@ CUT = 8_192          # vectors a shard may have before it is cut by hash
 OVERLAP = 3          # centers of a vector at first
 CANDIDATES = 48      # nearest vectors that pruning chooses from
 DEGREE = 24          # neighbours kept
+LONG = 8             # candidates for long edges, anywhere in the shard
+ENTRIES = 64         # nodes where a search may enter
+ENTER = 4            # nearest of them where it does
 ALPHA = 1.2          # a neighbour goes if another is so many times closer to it
 BEAM = 32            # best vectors a greedy search keeps
 SLACK = 0.1          # below the threshold by so much, the range search still goes on
 AUDITED = 400        # queries of the audit
 RECALL = 0.99
 QUERIES = 512        # searches run side by side
+ROUNDING = 1e-9      # products so near the threshold are verified pair by pair
 
 
 # --- in a shard -----------------------------------------------------------------------
@@ -55,6 +61,19 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("kd,kd->k", a, b)
+
+
+def within(q: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs are within the range, as a matrix; decided like the search does."""
+    sims = q @ x.T
+    hit = sims >= threshold
+    a, b = np.nonzero(np.abs(sims - threshold) < ROUNDING)
+    hit[a, b] = cosines(q[a], x[b]) >= threshold
+    return hit
+
+
 def build(x: np.ndarray) -> list[np.ndarray]:
     """Pruned neighbours (positions) of every unit vector of a shard."""
     n = len(x)
@@ -62,18 +81,23 @@ def build(x: np.ndarray) -> list[np.ndarray]:
     if c <= 0:
         return [np.zeros(0, np.int64)] * n
     out: list[np.ndarray] = []
+    far = np.random.default_rng(0).integers(0, n, (n, LONG))
     for at in range(0, n, 256):
         sims = x[at:at + 256] @ x.T
         rows = np.arange(len(sims))
         sims[rows, at + rows] = -2
         near = np.argpartition(-sims, c - 1, axis=1)[:, :c] if c < n - 1 else np.argsort(-sims, axis=1)[:, :c]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
+        long = far[at:at + 256]
+        alive = np.concatenate([np.ones_like(near, dtype=bool),
+                                (long != (at + rows)[:, None]) & ~(long[:, :, None] == near[:, None, :]).any(2)], 1)
+        near = np.concatenate([near, long], 1)
         own = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, near, 1)))
         among = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("bcd,bed->bce", x[near], x[near])))
-        alive = np.ones_like(near, dtype=bool)
         kept = np.zeros_like(alive)
-        for k in range(c):
-            take = alive[:, k] & (kept.sum(1) < DEGREE)
+        for k in range(near.shape[1]):
+            # A tight group fills the degree, so long edges have room of their own.
+            take = alive[:, k] & ((kept.sum(1) < DEGREE) | (k >= c))
             kept[take, k] = True
             gone = ALPHA * among[:, k, :] <= own
             alive &= ~(gone & take[:, None])
@@ -101,6 +125,7 @@ class Search:
         self.x, self.table = x, table
         center = x.mean(0)
         self.medoid = int((x @ center).argmax())
+        self.entries = np.random.default_rng(1).permutation(len(x))[:ENTRIES]
 
     def _visit(self, q: np.ndarray, seen: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple:
         """New (row, node) pairs and their cosines."""
@@ -111,15 +136,16 @@ class Search:
         seen[row, node] = True
         sims = np.empty(len(row))
         for at in range(0, len(row), 1 << 15):
-            sims[at:at + (1 << 15)] = np.einsum("kd,kd->k", q[row[at:at + (1 << 15)]], self.x[node[at:at + (1 << 15)]])
+            sims[at:at + (1 << 15)] = cosines(q[row[at:at + (1 << 15)]], self.x[node[at:at + (1 << 15)]])
         return row, node, sims
 
     def __call__(self, q: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of all hits; `own` is a query's node in the shard, or -1."""
         rows = np.arange(len(q))
         seen = np.zeros((len(q), len(self.x)), dtype=bool)
-        found = [self._visit(q, seen, np.concatenate([rows, rows]),
-                             np.concatenate([np.full(len(q), self.medoid), own]))]
+        enter = self.entries[np.argsort(-(q @ self.x[self.entries].T), axis=1, kind="stable")[:, :ENTER]]
+        found = [self._visit(q, seen, np.concatenate([rows, rows, np.repeat(rows, enter.shape[1])]),
+                             np.concatenate([np.full(len(q), self.medoid), own, enter.ravel()]))]
         beam_id = np.full((len(q), BEAM), -1)
         beam_sim = np.full((len(q), BEAM), -9.0)
         beam_done = np.ones((len(q), BEAM), dtype=bool)
@@ -159,6 +185,14 @@ class Search:
             row, node = np.concatenate(new_row), np.concatenate(new_node)
         return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
+    def whole(self, q: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The hits of a walk and those it did not reach."""
+        row, node = self(q, own, threshold)
+        left = within(q, self.x, threshold)
+        left[row, node] = False
+        more = np.nonzero(left)
+        return np.concatenate([row, more[0]]), np.concatenate([node, more[1]])
+
 
 # --- on Spark -------------------------------------------------------------------------
 
@@ -242,6 +276,7 @@ def shard_lists(members: DataFrame) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("near", pa.list_(pa.int64()))])
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
         ids = group.column("node").to_numpy()
         return pa.table([group.column("node"), [ids[a] for a in build(_matrix(group))]], schema=schema)
 
@@ -272,7 +307,7 @@ def search(members: DataFrame, queries: DataFrame, threshold: float) -> DataFram
         place = np.where(ids[place] == wanted, place, -1)
         counts, left, right = [], [], []
         for a in range(0, len(wanted), QUERIES):
-            r, v = walk(q[a:a + QUERIES], place[a:a + QUERIES], threshold)
+            r, v = walk.whole(q[a:a + QUERIES], place[a:a + QUERIES], threshold)
             other = wanted[a + r] != ids[v]
             r, v = r[other], v[other]
             counts.append(np.bincount(r[home[v]], weight[v][home[v]], minlength=len(q[a:a + QUERIES])))

@@ -88,6 +88,38 @@ def test_graph_recall():
     assert sum((int(a), int(b)) in found for a, b in true) >= 0.9 * len(true)
 
 
+def two_groups(size, others, cosine, seed=5, dim=64):
+    """Two tight groups of distinct vectors at about a cosine to each other, and unrelated ones."""
+    rng = np.random.default_rng(seed)
+    a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    b = cosine * a + np.sqrt(1 - cosine ** 2) * b
+    x = np.concatenate([np.repeat([a, b], size, axis=0) + rng.normal(scale=0.002, size=(2 * size, dim)),
+                        rng.normal(size=(others, dim))])
+    return vector_graph.unit(x)
+
+
+@pytest.mark.parametrize("size,others,cosine", [(100, 0, 0.95), (100, 2000, 0.95), (300, 0, 0.94), (300, 2000, 0.94)])
+def test_tight_groups_reach_each_other(size, others, cosine):
+    x = two_groups(size, others, cosine)
+    walk = vector_graph.Search(x, vector_graph._table(vector_graph.build(x)))
+    true = {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.93)}
+    assert len(true) >= (2 * size) ** 2
+    for own in (np.arange(len(x)), np.full(len(x), -1)):
+        q, v = walk(x, own, 0.93)
+        assert len(true & set(zip(q.tolist(), v.tolist(), strict=True))) >= 0.99 * len(true)
+        q, v = walk.whole(x, own, 0.93)
+        assert len(q) == len(true) and set(zip(q.tolist(), v.tolist(), strict=True)) == true
+
+
+def test_tight_groups_link(spark, monkeypatch):
+    """In one cut, and in several cuts that hold a part of each group."""
+    rows = [(i, 1, v.astype(np.float32).tolist()) for i, v in enumerate(two_groups(200, 50, 0.94))]
+    df = spark.createDataFrame(rows, VECTORS)
+    assert answer(df) == naive_links(rows)
+    monkeypatch.setattr(vector_graph, "CUT", 150)
+    assert answer(df) == naive_links(rows)
+
+
 @pytest.mark.parametrize("name", ["op2_vector_graph", "op5_chat_formatting", "op8_url_rules"])
 def test_sql(spark, sf, name):
     ok, note = oracle.compare(spark, oracle.duck(sf), name, queries.QUERIES[name], queries.ORACLES[name], sf)
