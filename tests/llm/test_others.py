@@ -120,6 +120,31 @@ def test_tight_groups_link(spark, monkeypatch):
     assert answer(df) == naive_links(rows)
 
 
+def test_every_pass_is_audited(spark, monkeypatch):
+    """Also that of a label with a single center, and the last one."""
+    seen = []
+    real = vector_graph.audit
+    monkeypatch.setattr(vector_graph, "audit", lambda *a: seen.append(real(*a)) or seen[-1])
+    answer(spark.createDataFrame(made_vectors(160), VECTORS))
+    assert seen == [1.0]
+    monkeypatch.setattr(vector_graph, "audit", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        vector_graph.cluster(spark.createDataFrame(made_vectors(160), VECTORS))
+
+
+def test_audit_counts_queries(spark):
+    """A hot group with all its links does not hide pairs that were missed."""
+    hot = [(0, [1.0, 0.001 * i, 0.0]) for i in range(60)]
+    pairs = [(k, [0.0, 1.0, 0.001 * i]) for k in range(1, 11) for i in range(2)]
+    nodes = spark.createDataFrame([(i, lab, v, 1) for i, (lab, v) in enumerate(hot + pairs)],
+                                  "node bigint, label int, vector array<double>, weight bigint")
+    counts = spark.createDataFrame([(i, 59) for i in range(60)], "node bigint, n bigint")
+    assert 3540 / 3560 > vector_graph.RECALL
+    assert vector_graph.audit(nodes, counts, 0.93) == 60 / 80
+    both = counts.unionAll(spark.createDataFrame([(i, 1) for i in range(60, 80)], counts.schema))
+    assert vector_graph.audit(nodes, both, 0.93) == 1.0
+
+
 @pytest.mark.parametrize("name", ["op2_vector_graph", "op5_chat_formatting", "op8_url_rules"])
 def test_sql(spark, sf, name):
     ok, note = oracle.compare(spark, oracle.duck(sf), name, queries.QUERIES[name], queries.ORACLES[name], sf)
