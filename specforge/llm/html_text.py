@@ -46,6 +46,13 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "tr", "thead", "tbody", "tfoot", "caption", "summary", "legend"}
+# Their start tags close all such elements up to the border, whatever lies between.
+TABULAR = frozenset("tr td th thead tbody tfoot".split())
+FOREIGN = frozenset({"svg", "math"})
+# Elements of FOREIGN that hold HTML, and start tags that end FOREIGN.
+HTML_POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+                     "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button", "object", "template"})
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -68,6 +75,7 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html")
         self.open = [self.root]
+        self.foreign = False    # whether the page has svg or math
 
     def _close(self, tags, borders) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -80,11 +88,41 @@ class Builder(HTMLParser):
                 del self.open[k:]
                 return
 
+    def _close_all(self, tags, borders) -> None:
+        outermost = None
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in borders:
+                break
+            if self.open[k].tag in tags:
+                outermost = k
+        if outermost:
+            del self.open[outermost:]
+
+    def _foreign(self) -> int:
+        """The position of the open svg or math whose rules hold here, or 0."""
+        at = 0
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in HTML_POINTS:
+                break
+            if self.open[k].tag in FOREIGN:
+                at = k
+        return at
+
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
-        if tag in IMPLIED:
+        if tag in BREAKOUT and self.foreign and (at := self._foreign()):
+            del self.open[at:]
+        if tag in FOREIGN:
+            self.foreign = True
+        if tag in TABULAR:
+            self._close_all(*IMPLIED[tag])
+        elif tag in IMPLIED:
             self._close(*IMPLIED[tag])
+        if tag in ("td", "th"):
+            row = next((e.tag for e in reversed(self.open) if e.tag in ("tr", "table")), None)
+            if row == "table":
+                self.handle_starttag("tr", [])
         if tag in ENDS_P or tag in ("li", "dd", "dt"):
             self._close({"p"}, SCOPE | {"li", "dd", "dt"} if tag in ("li", "dd", "dt") else SCOPE)
         if tag not in UNSEEN and self.open[-1].tag == "head" and tag not in VOID:
@@ -100,6 +138,11 @@ class Builder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        # Only svg, math and what is in them can close themselves.
+        if self.foreign and tag not in VOID and self.open[-1].tag == tag:
+            e = self.open.pop()
+            if tag not in FOREIGN and not self._foreign():
+                self.open.append(e)
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -192,9 +235,9 @@ def render(root: Element) -> str:
                     out.end()
                 elif item.tag == "img" or item.tag in VOID and item.tag != "hr":
                     pass
-                elif item.tag in ("td", "th") and any(f[0].tag == "table" for f in stack):
+                elif item.tag in ("td", "th") and (row := _row(stack)) is not None:
                     cell = Page()
-                    results.setdefault(id(e), []).append(cell)
+                    results.setdefault(id(row), []).append(cell)
                     stack.append([item, 0, cell, None, kept])
                 else:
                     stack.append([item, 0, out, None, kept])
@@ -219,6 +262,17 @@ def render(root: Element) -> str:
     return "\n".join(page.lines).strip("\n")
 
 
+def _row(stack: list) -> Element | None:
+    """The nearest open row of the nearest table; forms and links may lie between."""
+    row = None
+    for f in reversed(stack):
+        if f[0].tag == "tr" and row is None:
+            row = f[0]
+        elif f[0].tag == "table":
+            return row
+    return None
+
+
 def _open(e: Element, out: Page, frame: list, stack: list) -> None:
     if e.tag in BLOCKS:
         nested = e.tag in ("ul", "ol", "menu") and any(f[0].tag == "li" for f in stack[:-1])
