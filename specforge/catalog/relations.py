@@ -85,6 +85,19 @@ def choose_method(t):
                                "source_id", "scenario").select("id", "method")
 
 
+@query("choose_method_all", "J6", """SELECT p.id, CASE WHEN txt THEN 'text' ELSE 'response' END AS method FROM (
+ SELECT *, count(*) FILTER (WHERE txt) OVER (PARTITION BY source_id) AS n FROM (
+ SELECT id, source_id, id % 2 = 0 AND source_id % 4 <> 1 OR id % 40 = 0 AS txt FROM products)) p
+ WHERE txt <> (n = 0 OR (source_id % 3 <> 0 AND n < 3))""")
+def choose_method_all(t):
+    """The choice over all rows: each is the text path's or a response; a quarter of the sources have few of the former."""
+    kind = F.when(C("source_id") % 3 == 0, "specific").when(C("source_id") % 3 == 1, "general").otherwise("brand-only")
+    docs = t.products.select("source_id").distinct().withColumn("scenario", kind)
+    rows = t.products.select("id", "source_id")
+    found = (C("id") % 2 == 0) & (C("source_id") % 4 != 1) | (C("id") % 40 == 0)
+    return merge.choose_method(docs, rows.filter(found), rows.filter(~found), "source_id", "scenario").select("id", "method")
+
+
 @query("model_brand_lookup", "J8", f"""SELECT id, {d.mapping('lower(m)', rules.MODEL_TO_BRAND)} AS brand FROM (SELECT id, model || CASE id % 4 WHEN 0 THEN '' ELSE '' END AS m0,
  CASE id % 5 WHEN 0 THEN 'Ghost 17' WHEN 1 THEN 'Mafate 5' ELSE model END AS m FROM products)""")
 def model_brand_lookup(t):

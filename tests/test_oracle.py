@@ -25,5 +25,14 @@ def test_query(spark, con, name):
         pytest.skip("runs; checked on fixtures only")
 
 
+def test_choose_method_all_takes_both_sides(spark):
+    """On a table where some sources have few text rows."""
+    folder = f"{oracle.BASE}/sf0.01"
+    ok, note = oracle.compare(spark, oracle.duck(folder), "choose_method_all", catalog.QUERIES["choose_method_all"],
+                              catalog.ORACLES["choose_method_all"], folder)
+    assert ok, note
+    assert {r.method for r in catalog.QUERIES["choose_method_all"](spark, folder).collect()} == {"text", "response"}
+
+
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
