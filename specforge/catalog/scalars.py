@@ -25,6 +25,13 @@ def norm_text(t):
         text.norm_str(extra).alias("additional"))
 
 
+@query("norm_text_whole", "P1", f"""
+SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, nullif({d.trim('text')}, '') AS t FROM documents)""")
+def norm_text_whole(t):
+    whole = text.norm_str(C("text"))
+    return t.documents.select("doc_id", F.length(whole).alias("n"), F.md5(whole).alias("digest"))
+
+
 _MESSY = "cast(l_quantity as int) || ' units, -' || cast(l_linenumber as string)"
 
 
