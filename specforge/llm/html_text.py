@@ -2,7 +2,8 @@
 
 A tree builder with implied end tags reads the tokens of the standard parser;
 visibility rules drop what a browser does not show (head matter, scripts, hidden
-and collapsed elements, comments); the renderer emits every visible text with
+and collapsed elements, comments) and, though it is shown, aria-hidden elements,
+MathML, text in svg, textarea contents and select options; the renderer emits every visible text with
 blank lines between blocks, list marks and numbers, kept line breaks in
 preformatted text, and table cells aligned to columns.
 
