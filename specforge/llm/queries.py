@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specforge.llm import (byte_bpe, chat, html_text, mixing, quality_lines, simhash, token_files, toxicity,
+from specforge.llm import (byte_bpe, chat, html_text, mixing, phrases, quality_lines, simhash, token_files, toxicity,
                            url_rules, vector_graph)
 from specforge.llm.common import table
 
@@ -117,3 +117,33 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_quality_lines(spark: SparkSession, folder: str) -> DataFrame:
     return quality_lines.judge(table(spark, folder, "documents"))
+
+
+@query(sql=f"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+rows AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM rows),
+grams AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS p, s FROM starts, range(1, 6) r(s) WHERE i + s - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, p, s, count(*) AS f FROM grams GROUP BY lang, p, s HAVING s = 1 OR count(*) >= 100),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE s = 1 GROUP BY lang),
+wide AS (SELECT lang, p, s, f, string_split(p, ' ') AS w FROM f WHERE s >= 2),
+inner_parts AS (
+  SELECT lang, f, array_to_string(w[i:i + m - 1], ' ') AS p FROM wide, range(1, 5) a(i), range(2, 5) b(m)
+  WHERE m < s AND i + m - 1 <= s),
+kept AS (SELECT * FROM wide c WHERE NOT EXISTS (
+  SELECT 1 FROM inner_parts b WHERE b.lang = c.lang AND b.p = c.p AND 100 * b.f >= 100 * c.f)),
+parts AS (
+  SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM kept, range(1, 5) x(k) WHERE k < s),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+  FROM parts c JOIN total USING (lang) JOIN f l ON l.lang = c.lang AND l.p = head JOIN f r ON r.lang = c.lang AND r.p = tail),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS cut FROM cuts),
+placed AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank,
+    p AS phrase, a, l, r, n, score::BIGINT AS score FROM best WHERE cut = 1)
+SELECT * FROM placed WHERE rank <= 2000""")
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
