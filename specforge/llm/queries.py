@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specforge.llm import (byte_bpe, chat, html_text, mixing, phrases, quality_lines, simhash, token_files, toxicity,
-                           url_rules, vector_graph)
+from specforge.llm import (alignment, byte_bpe, chat, exact, html_text, mixing, phrases, quality_lines, simhash,
+                           token_files, toxicity, url_rules, vector_graph)
 from specforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,23 @@ def op10_quality_lines(spark: SparkSession, folder: str) -> DataFrame:
     return quality_lines.judge(table(spark, folder, "documents"))
 
 
+@query(sql="""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm
+  FROM documents),
+g AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+    row_number() OVER w = 1 AS kept FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM g""")
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.deduplicate(table(spark, folder, "documents"))
+
+
+@query
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 @query(sql=f"""
 WITH texts AS (
   SELECT coalesce(lang, 'und') AS lang,
