@@ -68,6 +68,8 @@ class Bpe:
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(letters[c] for c in token)
 
+        self.names = pa.array([str(i) for i in range(len(self.bytes))], type=pa.large_string())
+
     def __call__(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
@@ -86,39 +88,51 @@ class Pieces:
         for piece in (self.model.id_to_piece(i) for i in range(self.model.get_piece_size())):
             if "▁" in piece.lstrip("▁"):
                 raise ValueError("a piece has a blank inside, so texts cannot be cut at blanks")
+        self.names = pa.array([str(i) for i in range(len(self.bytes))], type=pa.large_string())
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
-def encoded(side, segments: list[str], joins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encoded(side, segments: pa.Array, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all segments in a row, how many each has, and whether its bytes come back.
 
     `segments` come without their leading blank.  Those that may stand side by side
     (`joins`) go to the tokenizer many at once and are told apart by their bytes.
     """
     lengths = np.array([len(b) for b in side.bytes], dtype=np.int64)
-    ids = [np.zeros(0, np.int64)] * len(segments)
-    alone = list(np.flatnonzero(~joins))
+    bytes_of = side.bytes.__getitem__
+    texts = segments.to_pylist()
+    size = pc.binary_length(segments).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    n = np.zeros(len(texts), np.int64)
+    same = np.ones(len(texts), dtype=bool)
+    order, parts = [], []          # segments in the order of their ids
+    alone = [np.flatnonzero(~joins)]
     rows = np.flatnonzero(joins)
     groups = [rows[k:k + JOINED] for k in range(0, len(rows), JOINED)]
-    for group, got in zip(groups, side([" ".join(segments[k] for k in g) for g in groups]), strict=True):
-        got = np.array(got, dtype=np.int64)
-        ends = np.cumsum(lengths[got])
-        want = np.cumsum([1 + len(segments[k].encode()) for k in group])
+    whole = [" ".join([texts[k] for k in g]) for g in groups]
+    for group, text, got in zip(groups, whole, side(whole), strict=True):
+        ids = np.array(got, dtype=np.int64)
+        ends, want = np.cumsum(lengths[ids]), np.cumsum(size[group])
         cut = np.searchsorted(ends, want) + 1
-        if len(ends) and ends[-1] == want[-1] and (ends[cut - 1] == want).all():
-            for k, part in zip(group, np.split(got, cut[:-1]), strict=True):
-                ids[k] = part
+        if len(ends) and ends[-1] == want[-1] and (ends[cut - 1] == want).all() and b"".join(map(bytes_of, got)) == b" " + text.encode():
+            n[group] = np.diff(cut, prepend=0)
+            order.append(group)
+            parts.append(ids)
         else:
-            alone += list(group)
-    for at in range(0, len(alone), JOINED):
-        part = alone[at:at + JOINED]
-        for k, got in zip(part, side([segments[k] for k in part]), strict=True):
-            ids[k] = np.array(got, dtype=np.int64)
-    same = np.array([b"".join([side.bytes[i] for i in x.tolist()]) == b" " + s.encode() for x, s in zip(ids, segments, strict=True)],
-                    dtype=bool)
-    return np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array([len(x) for x in ids], dtype=np.int64), same
+            alone.append(group)
+    rest = np.concatenate(alone)
+    for at in range(0, len(rest), JOINED):
+        group = rest[at:at + JOINED]
+        for k, got in zip(group.tolist(), side([texts[k] for k in group]), strict=True):
+            n[k] = len(got)
+            same[k] = b"".join(map(bytes_of, got)) == b" " + texts[k].encode()
+            parts.append(np.array(got, dtype=np.int64))
+    order = np.concatenate([*order, rest])
+    start = np.zeros(len(texts), np.int64)
+    start[order] = np.cumsum(n[order]) - n[order]
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return ids[ranges(start, n)], n, same
 
 
 # --- alignment ------------------------------------------------------------------------
@@ -172,9 +186,8 @@ class Aligned:
     """What a batch's distinct segments give: tokens, groups, linked pairs."""
 
     def __init__(self, a, b, segments: Segments):
-        texts = segments.distinct.to_pylist()
-        ids_a, self.n_a, same_a = encoded(a, texts, segments.joins)
-        ids_b, self.n_b, same_b = encoded(b, texts, segments.joins)
+        ids_a, self.n_a, same_a = encoded(a, segments.distinct, segments.joins)
+        ids_b, self.n_b, same_b = encoded(b, segments.distinct, segments.joins)
         self.same = same_a & same_b
         # Both sides are laid out at the first occurrence of each segment; the others have no tokens.
         size = pc.binary_length(segments.distinct).to_numpy(zero_copy_only=False).astype(np.int64) + 1
@@ -188,7 +201,8 @@ class Aligned:
             of = np.repeat(np.arange(len(n)), n)
             length = np.array([len(x) for x in side.bytes], dtype=np.int64)[ids]
             before = np.cumsum(length) - length
-            begin = np.cumsum(np.bincount(of, length, len(n)).astype(np.int64)) - np.bincount(of, length, len(n)).astype(np.int64)
+            of_segment = np.bincount(of, length, len(n)).astype(np.int64)
+            begin = np.cumsum(of_segment) - of_segment
             at = start[of] + before - begin[of]
             kept = usable[of]
             return pd.DataFrame({"doc": doc[of], "start": at, "end": at + length, "of": of, "id": ids})[kept]
@@ -200,16 +214,20 @@ class Aligned:
         first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
         id_a, id_b = left["id"].to_numpy(), right["id"].to_numpy()
         segment = left["of"].to_numpy()[first_a] if count else np.zeros(0, np.int64)
-        self.n_groups = np.bincount(segment, minlength=len(texts))
-        self.n_links = np.bincount(segment, in_a * in_b, len(texts)).astype(np.int64)
+        self.n_groups = np.bincount(segment, minlength=len(self.same))
+        self.n_links = np.bincount(segment, in_a * in_b, len(self.same)).astype(np.int64)
         # All pairs of a group: each of its A tokens beside each of its B tokens.
         each_a = np.repeat(in_b, in_a)
         self.pairs = (np.repeat(id_a, each_a) << B_BITS) | id_b[ranges(np.repeat(first_b, in_a), each_a)]
-        text_a, text_b = [str(i) for i in id_a.tolist()], [str(i) for i in id_b.tolist()]
-        lines = [f"{','.join(text_a[i:i + n])}|{','.join(text_b[j:j + m])}"
-                 for i, n, j, m in zip(first_a.tolist(), in_a.tolist(), first_b.tolist(), in_b.tolist(), strict=True)]
-        bounds = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
-        self.lines = [";".join(lines[x:y]).encode() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        lines = pc.binary_join_element_wise(joined(a.names.take(pa.array(id_a)), in_a, ","),
+                                            joined(b.names.take(pa.array(id_b)), in_b, ","), pa.scalar("|", pa.large_string()))
+        self.lines = joined(lines, self.n_groups, ";")
+
+
+def joined(values: pa.Array, sizes: np.ndarray, separator: str) -> pa.Array:
+    """Strings in a row, joined in groups of the given sizes."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), pa.scalar(separator, values.type))
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -230,10 +248,8 @@ def _rows(a, b, docs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     kept = good[doc]
     doc, codes = doc[kept], segments.codes[kept]
     sums = [np.bincount(doc, x[codes], n).astype(np.int64) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
-    digests, cut = [], np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).tolist()
-    flat = codes.tolist()
-    for k in range(n):
-        digests.append(hashlib.sha256(b";".join([found.lines[c] for c in flat[cut[k]:cut[k + 1]]])).hexdigest() if good[k] else "")
+    lines = joined(found.lines.take(pa.array(codes)), np.bincount(doc, minlength=n), ";")
+    digests = [hashlib.sha256(line.as_buffer()).hexdigest() if ok else "" for ok, line in zip(good.tolist(), lines, strict=True)]
     first = np.cumsum(found.n_links) - found.n_links
     size = found.n_links[codes]
     key = (np.repeat(doc, size) << 32) | found.pairs[ranges(first[codes], size)]
