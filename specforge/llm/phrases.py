@@ -1,13 +1,14 @@
 """Phrase collocations by mergeable Misra-Gries summaries (operator 13).
 
 Phrases of one to five words are hashed per language; the top of the hash names a
-partition.  Every task sums its phrases and sends each partition one summary.  A
+partition.  Every task sums its phrases and sends each partition its summary.  A
 partition first learns its mass, the sum of all its counts, then merges the
 summaries with a capacity above the mass divided by the threshold: when there are
 more counters, the next largest is taken off all of them and those at zero go.
 What is taken off in all stays below the threshold, so every frequent phrase
 survives.  A second pass counts the phrases that a bitmap of the survivors lets
-through, by their words, so counts are exact whatever the hashes do.
+through, by their words, so counts are exact whatever the hashes do; it sends its
+counts by the same partitions, so one holds no more phrases than the capacity.
 
 Scores come from equality joins of the frequent phrases with their parts (a part is
 at least as frequent as the whole, so it is among them).
@@ -36,8 +37,9 @@ LONGEST = 5
 THRESHOLD = 100
 TOP = 2_000
 ROOM = 4                  # counters per threshold of mass
-CHUNK_BYTES = 8 << 20     # text handled at once
-ENTRIES = 4 << 20         # counters a task holds before it sends them
+LOW = 28                  # bits that tell phrases of a partition apart in the first pass
+CHUNK_BYTES = 4 << 20     # text handled at once
+ENTRIES = 2 << 20         # counters a task holds before it sends them
 PENDING = 1 << 20         # counters a partition takes in before it merges
 ENDS = r"[.,;:!?\n-\r]+"
 NO_LANG = "und"
@@ -93,7 +95,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _keys(h: np.ndarray, parts: int) -> np.ndarray:
     """Hashes as partition (upper half) and a number in it (lower half)."""
     part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return (part << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+    return (part << np.uint64(32)) | (h & np.uint64((1 << LOW) - 1))
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
@@ -125,19 +127,18 @@ def pruned(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndar
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Little-endian bytes, the lowest of all values first: the upper ones are mostly zero and compress."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """Compressed little-endian bytes, the lowest of all values first: the upper ones are mostly zero."""
+    return pa.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), "zstd", asbytes=True)
 
 
-def _from_planes(data: bytes, n: int) -> np.ndarray:
-    width = len(data) // n
-    raw = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T)
-    return raw.view(f"<u{width}").ravel()
+def _from_planes(data: bytes, n: int, width: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, n * width, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(f"<u{width}").ravel()
 
 
 SUMMARY = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("mass", pa.int64()), ("n", pa.int32()),
-                     ("keys", pa.binary()), ("counts", pa.binary())])
-SUMMARY_DDL = "part int, kind int, mass bigint, n int, keys binary, counts binary"
+                     ("width", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+SUMMARY_DDL = "part int, kind int, mass bigint, n int, width int, keys binary, counts binary"
 
 
 def summaries(docs: DataFrame, parts: int) -> DataFrame:
@@ -149,8 +150,8 @@ def summaries(docs: DataFrame, parts: int) -> DataFrame:
             a, b = bounds[p], bounds[p + 1]
             width = next(w for w in (1, 2, 4, 8) if counts[a:b].max() < 1 << 8 * w)
             steps = np.diff(keys[a:b].astype(np.uint32), prepend=np.uint32(0))
-            made += [(p, 0, int(counts[a:b].sum()), 0, None, None),
-                     (p, 1, 0, b - a, _planes(steps), _planes(counts[a:b].astype(f"<u{width}")))]
+            made += [(p, 0, int(counts[a:b].sum()), 0, 0, None, None),
+                     (p, 1, 0, b - a, width, _planes(steps), _planes(counts[a:b].astype(f"<u{width}")))]
         return batch_of(SUMMARY, list(map(list, zip(*made, strict=True))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +198,8 @@ def survivors(sums: DataFrame, parts: int, threshold: int, room: int = ROOM) ->
                     mass += r["mass"]
                     capacity = room * mass // threshold + 1
                     continue
-                keys = np.cumsum(_from_planes(r["keys"], r["n"]), dtype=np.uint64)
-                held.append((keys, _from_planes(r["counts"], r["n"]).astype(np.int64)))
+                keys = np.cumsum(_from_planes(r["keys"], r["n"], 4), dtype=np.uint64)
+                held.append((keys, _from_planes(r["counts"], r["n"], r["width"]).astype(np.int64)))
                 pending += r["n"]
                 if pending > max(PENDING, capacity):
                     merge()
@@ -211,9 +212,12 @@ def survivors(sums: DataFrame, parts: int, threshold: int, room: int = ROOM) ->
 # --- exact counts ---------------------------------------------------------------------
 
 COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
+DEALT = pa.schema([("part", pa.int32()), *(pa.field(c.name, pa.list_(c.type)) for c in COUNT)])
+DEALT_DDL = "part int, lang array<string>, phrase array<string>, size array<int>, f array<bigint>"
+PARTED = pa.schema([("part", pa.int32()), *COUNT])
 
 
-def _counted(w: Words, n: int, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+def _counted(w: Words, n: int, at: np.ndarray, h: np.ndarray, parts: int) -> pa.Table:
     """Phrases at the given places with their counts; equal hashes are held against the words."""
     _, first, group, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     place = at[first]
@@ -223,29 +227,74 @@ def _counted(w: Words, n: int, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     odd = np.flatnonzero(other)     # another phrase with the hash of the first one: a row of its own
     counts = np.concatenate([counts - np.bincount(group[odd], minlength=len(counts)), np.ones(len(odd), np.int64)])
     place = np.concatenate([place, at[odd]])
+    part = (_keys(np.concatenate([h[first], h[odd]]), parts) >> np.uint64(32)).astype(np.int32)
     words = [w.dictionary.take(pa.array(w.codes[place + k])) for k in range(n)]
     phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
-    return batch_of(COUNT, [w.langs.take(pa.array(w.lang[place])), phrase, np.full(len(place), n, np.int32), counts])
+    return pa.Table.from_batches([batch_of(PARTED, [part, w.langs.take(pa.array(w.lang[place])), phrase,
+                                                    np.full(len(place), n, np.int32), counts])])
+
+
+def _summed(tables: list[pa.Table], keys: list[str]) -> pa.Table:
+    sums = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("f", "sum")])
+    return sums.rename_columns([*keys, "f"])
 
 
 def phrase_counts(docs: DataFrame, parts: int, words: np.ndarray, threshold: int) -> DataFrame:
     """lang, phrase, size (words), f of all phrases with f of at least `threshold`, and
-    a row of size 0 with the number of words of each lang."""
+    a row of size 0 with the number of words of each lang.
+
+    A task sends each partition its phrases and counts as one row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(table: pa.Table) -> pa.RecordBatch:
+        table = table.sort_by("part").combine_chunks()
+        part = table.column("part").to_numpy()
+        some, first = np.unique(part, return_index=True)
+        offsets = pa.array(np.append(first, len(part)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, table.column(c.name).combine_chunks()) for c in COUNT]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists], schema=DEALT)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        keys = ["part", "lang", "phrase", "size"]
+        held: list[pa.Table] = []
+        pending = size = 0      # rows since the last sum, rows that it left
         for w in _each(batches):
             total = np.bincount(w.lang[w.is_word], minlength=len(w.langs))
-            yield batch_of(COUNT, [w.langs, [""] * len(total), np.zeros(len(total), np.int32), total])
+            none = np.zeros(len(total), np.int32)
+            held.append(pa.Table.from_batches([batch_of(PARTED, [none, w.langs, [""] * len(total), none, total])]))
             for n, at, h in w.phrases():
                 kept = passes(known, _keys(h, parts))
                 if kept.any():
-                    yield _counted(w, n, at[kept], h[kept])
+                    held.append(_counted(w, n, at[kept], h[kept], parts))
+                    pending += held[-1].num_rows
+            if pending > max(PENDING // 2, size):
+                held, pending = [_summed(held, keys)], 0
+                size = held[0].num_rows
+                if size > PENDING:
+                    yield dealt(held[0])
+                    held, size = [], 0
+        if held:
+            yield dealt(_summed(held, keys))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["lang", "phrase", "size"]
+        held: list[pa.Table] = []
+        pending = size = 0
+        for batch in batches:
+            held.append(pa.table({c.name: column(batch, c.name).flatten() for c in COUNT}))
+            pending += held[-1].num_rows
+            if pending > max(PENDING, size):
+                held, pending = [_summed(held, keys)], 0
+                size = held[0].num_rows
+        if held:
+            sums = _summed(held, keys)
+            kept = pc.or_(pc.greater_equal(sums.column("f"), threshold), pc.equal(sums.column("size"), 0))
+            yield from sums.filter(kept).cast(COUNT).to_batches()
 
-    return (docs.mapInArrow(run, "lang string, phrase string, size int, f bigint")
-            .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-            .where((F.col("f") >= threshold) | (F.col("size") == 0)))
+    return (docs.mapInArrow(count, DEALT_DDL).repartitionById(parts, F.col("part"))
+            .mapInArrow(total, "lang string, phrase string, size int, f bigint"))
 
 
 # --- scores ---------------------------------------------------------------------------

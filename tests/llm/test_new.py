@@ -222,4 +222,4 @@ def test_planes_come_back():
     import numpy as np
     for width in (1, 2, 4, 8):
         values = np.random.default_rng(width).integers(0, 1 << min(62, 8 * width), 1_000).astype(f"<u{width}")
-        assert (phrases._from_planes(phrases._planes(values), 1_000) == values).all()
+        assert (phrases._from_planes(phrases._planes(values), 1_000, width) == values).all()
