@@ -23,7 +23,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "article_products", "article_results", "block_specs", "relevance", "score_prefilter",
+    "article_products", "article_products_full", "article_results", "block_specs", "relevance", "score_prefilter",
     "title_analysis", "keyword_windows", "page_text", "parsed_pages", "normalize_specs",
     "model_key", "keep_first", "merge_first_filled", "merge_richer", "latest_per_key",
     "upsert_replace", "upsert_if_richer", "stage_insert", "matching_lines", "column_profile",

@@ -437,4 +437,10 @@ def article_products_full(t):
     """The main flow with mentions, folded names and responses (from `products`, by source)."""
     given = t.products.select(C("source_id").alias("doc_id"), C("id").alias("position"), "brand_name", "model", *rules.SPEC_FIELDS)
     df = products.article_products(t.articles, responses=given)
-    return df.select("article_id", "brand_name", "model", "model_key", *rules.NUMERIC_FIELDS)
+    return df.select("doc_id", "block_no", "article_id", "source_id", "brand_name", "model", "model_key", *rules.SPEC_FIELDS, "date", "source_link")
+
+
+@query("coverage_full", "A8,E5,D6,J5,J6")
+def coverage_full(t):
+    """Coverage of the whole flow, articles without headings included."""
+    return profile.coverage(products.article_products(t.articles))

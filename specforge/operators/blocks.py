@@ -55,13 +55,15 @@ def headings(content: Column) -> Column:
     return rows
 
 
-def explode_blocks(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
+def explode_blocks(df: DataFrame, content: str, keep: list[str], outer: bool = False) -> DataFrame:
     """One row per block: keep columns, block_no (1-based), heading, brand_model, price, block.
 
     The generator takes the expression itself: on a column the optimizer would
-    infer a filter and compute the array again for it.
+    infer a filter and compute the array again for it.  With `outer` a text without
+    blocks gives a row of nulls.
     """
-    return (df.select(*keep, F.posexplode(headings(F.col(content))).alias("_i", "_h"))
+    rows = F.posexplode_outer if outer else F.posexplode
+    return (df.select(*keep, rows(headings(F.col(content))).alias("_i", "_h"))
             .select(*keep, (F.col("_i") + 1).alias("block_no"), "_h.*")
             .withColumnRenamed("price", "heading_price"))
 
@@ -329,10 +331,11 @@ def mentions(content: Column) -> Column:
                            m["price"].alias("price"), m["block"].alias("block")))
 
 
-def blocks_or_mentions(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
-    """Headed blocks of a text, or its mentions when it has no heading."""
+def blocks_or_mentions(df: DataFrame, content: str, keep: list[str], outer: bool = False) -> DataFrame:
+    """Headed blocks of a text, or its mentions when it has no heading; `outer` as for blocks."""
+    explode = F.posexplode_outer if outer else F.posexplode
     rows = text.let(headings(F.col(content)), lambda heads: F.when(
         F.size(heads) > 0, heads).otherwise(mentions(F.col(content))))
-    return (df.select(*keep, F.posexplode(rows).alias("_i", "_h"))
+    return (df.select(*keep, explode(rows).alias("_i", "_h"))
             .select(*keep, (F.col("_i") + 1).alias("block_no"), "_h.*")
             .withColumnRenamed("price", "heading_price"))

@@ -277,6 +277,31 @@ def choose_method(docs: DataFrame, text_rows: DataFrame, response_rows: DataFram
             .unionByName(swap.withColumn("method", F.lit("response")), allowMissingColumns=True))
 
 
+# The same steps on the arrays of one document's row: `items` are structs of names and
+# values, `given` structs of a number and such a struct, in order.
+
+def numbered_items(items: Column) -> Column:
+    return F.transform(items, lambda m, i: F.struct((i + 1).cast("bigint").alias("no"), m.alias("m")))
+
+
+def filled_items(items: Column, given: Column, scenario: Column, fields: Sequence[str] = HYBRID_FIELDS) -> Column:
+    """Items of a document about one product, their gaps filled from the first given one of the same name."""
+    def same(a, b):
+        return (F.lower(a["brand_name"]) == F.lower(b["brand_name"])) & (F.lower(a["model"]) == F.lower(b["model"]))
+
+    def filled(m):
+        match = F.get(F.filter(given, lambda g: F.coalesce(same(g["m"], m), F.lit(False))), F.lit(0))
+        return text.let(match, lambda g: reduce(
+            lambda out, f: out.withField(f, F.coalesce(m[f], g["m"][f])), fields, m))
+    return F.when(scenario == "specific", F.transform(items, filled)).otherwise(items)
+
+
+def chosen_items(items: Column, given: Column, scenario: Column) -> Column:
+    """Numbered items, or what was given where there are too few of them (see `choose_method`)."""
+    few = (F.size(items) == 0) | (scenario.isin("brand-only", "general") & (F.size(items) < 3))
+    return F.when(few, given).otherwise(numbered_items(items))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """UNION ALL of row counts per table."""
     out = None
