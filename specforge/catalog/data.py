@@ -116,6 +116,11 @@ PRODUCTS = {
 DERIVED = {"articles": ("documents", ARTICLES), "products": ("orders", PRODUCTS)}
 
 
+def articles_of(documents: DataFrame) -> DataFrame:
+    """The articles of a frame of documents, also of a stream."""
+    return documents.selectExpr(*[f"{e} AS `{c}`" for c, e in ARTICLES.items()])
+
+
 class Tables:
     """Lazy access by attribute: `t.orders`, `t.articles`."""
 

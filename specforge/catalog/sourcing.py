@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from specforge import rules
 from specforge.catalog import duck as d
 from specforge.catalog import query
+from specforge.catalog.data import articles_of
 from specforge.operators import dedup, normalize
+from specforge.plans import products
 from specforge.sources import exports, loads, pages, records
-from specforge.streaming import ingest
+from specforge.streaming import ingest, partitions
 
 C = F.col
 L = F.lit
@@ -231,3 +233,44 @@ def stream_dedup(t):
     return t.spark.read.parquet(f"{base}/out")
 
 
+_DELAY = 10     # days
+
+
+@query("stream_late_rows", "T2", f"""SELECT count(CASE WHEN ts > m THEN 1 END) AS kept, count(CASE WHEN ts <= m THEN 1 END) AS dropped FROM events,
+ (SELECT max(ts) - INTERVAL {_DELAY} DAY AS m FROM events)""")
+def stream_late_rows(t):
+    """The newest day arrives first, then the other days within the delay, then all rows behind the watermark.
+
+    A batch tells late rows by the watermark of the batch before, so one lies between.
+    """
+    base = exports.shared_dir(t.spark)
+    events = t.events.withColumn("ts", C("ts").cast("timestamp"))
+    newest = events.agg(F.max("ts").alias("newest"))
+    age = C("newest") - C("ts")
+    dealt = events.join(F.broadcast(newest), F.lit(True))     # one row
+    day, delay = (F.expr(f"INTERVAL {n} DAYS") for n in (1, _DELAY))
+    for part in (age < day, (age >= day) & (age < delay), age >= delay):
+        dealt.where(part).drop("newest").write.mode("append").parquet(f"{base}/in")
+    stream = ingest.file_stream(t.spark, f"{base}/in", events.schema, max_files=1)
+    query = ingest.run_to_files(ingest.drop_late(stream, "ts", "event_id", f"{_DELAY} days").select("event_id"), f"{base}/out", f"{base}/cp")
+    kept = t.spark.read.schema("event_id bigint").parquet(f"{base}/out")
+    return kept.agg(F.count("*").alias("kept")).withColumn("dropped", L(ingest.rows_behind_mark(query)).cast("bigint"))
+
+
+def _stream_ctes():
+    from specforge.catalog.extraction import _flow_ctes
+    return _flow_ctes()
+
+
+@query("stream_articles", "T1,F1,E3,N2,L1", "SELECT * FROM flow", _stream_ctes())
+def stream_articles(t):
+    """Articles as a stream through relevance, specs and normal form into a partitioned table."""
+    base = exports.shared_dir(t.spark)
+    columns = "doc_id bigint, block_no int, article_id string, source_id string, brand_name string, model string, model_key string, " \
+              "heel_height double, forefoot_height double, drop double, weight double, price double, carbon_plate boolean, " \
+              "waterproof boolean, primary_use string, surface_type string, date string, source_link string"
+    table = partitions.PartitionedTable(t.spark, f"{base}/products", columns, "block_no")
+    stream = articles_of(ingest.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet"))
+    flow = lambda batch: products.article_products(batch, unheaded=False, fold=False).select(*table.schema.names[:-1])
+    partitions.ingest(stream, flow, table, f"{base}/checkpoint")
+    return table.read().drop("source_id")

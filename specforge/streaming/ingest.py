@@ -50,6 +50,23 @@ def drop_late(stream: DataFrame, created: str, key: str, delay: str) -> DataFram
     return stream.withWatermark(created, delay).dropDuplicatesWithinWatermark([key])
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str):
+    """Write all available input of a stream, then stop; the query, for its progress."""
+    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
+def rows_behind_mark(query) -> int:
+    """Rows that the stateful steps of a query left out because the watermark had passed them.
+
+    Counted per micro-batch by Spark; a query keeps its last batches
+    (`spark.sql.streaming.numRecentProgressUpdates`).
+    """
+    return sum(step["numRowsDroppedByWatermark"] for p in query.recentProgress for step in p["stateOperators"])
+
+
 def late_counts(df: DataFrame, created: str, mark) -> DataFrame:
     """Batch form of the late-row rule: one row (accepted, late, new_mark)."""
     late = F.col(created) <= mark
