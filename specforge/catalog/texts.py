@@ -288,10 +288,12 @@ _DISC = """SELECT an.*, a.title, a.content, p.id AS p_id, p.brand_name AS p_bran
  WHEN scenario = 'general' THEN coalesce(contains(lower(title), lower(p_brand)) AND hits >= 2, false) ELSE true END""",
        _analysis_ctes() | {"scoped": _DISC})
 def title_scope_strict(t):
-    an = t.articles.select("doc_id", "title", "content", titles.analyze_title(C("title")).alias("a"))
+    an = t.articles.select("doc_id", "title", titles.analyze_title(C("title")).alias("a"))
     p = t.products.select(C("id").alias("p_id"), C("source_id").alias("doc_id"), "brand_name", C("model").alias("p_model"))
-    return an.join(p, "doc_id").filter(titles.in_scope_strict(
-        C("brand_name"), C("p_model"), C("title"), C("content"), C("a.scenario"), C("a.brand"))).select("doc_id", "p_id")
+    hits = titles.mention_hits(t.articles, p, "doc_id", "content", "p_model")
+    return an.join(p, "doc_id").join(hits, "doc_id", "left").filter(titles.in_scope_strict(
+        C("brand_name"), C("title"), C("a.scenario"), C("a.brand"),
+        F.coalesce(titles.hit_count(C("p_model"), C("hits")), F.lit(0)))).select("doc_id", "p_id")
 
 
 _SIG = f"list_filter(regexp_split_to_array(lower(model), {d.s('[' + rx.BLANK + ']+')}), lambda w: length(w) > 2 AND w NOT IN {d.in_list(rules.MENTION_WORD_STOP)})"
@@ -301,8 +303,10 @@ _SIG = f"list_filter(regexp_split_to_array(lower(model), {d.s('[' + rx.BLANK + '
  ELSE false END AS mentioned FROM products JOIN articles ON products.source_id = articles.doc_id""")
 def model_mentioned(t):
     a = t.articles.select(C("doc_id").alias("source_id"), "content")
-    return t.products.select("id", "source_id", "model").join(a, "source_id").select(
-        "id", titles.model_mentioned(C("model"), C("content")).alias("mentioned"))
+    rows = t.products.select("id", "source_id", "model")
+    hits = titles.mention_hits(a, rows, "source_id", "content", "model")
+    return rows.join(a.select("source_id"), "source_id").join(hits, "source_id", "left").select(
+        "id", F.coalesce(titles.model_hit(C("model"), C("hits")), F.lit(False)).alias("mentioned"))
 
 
 @query("frequent_phrase", "E10", f"""SELECT doc_id, arg_min(phrase, first_pos) AS phrase, max(n) AS n FROM (

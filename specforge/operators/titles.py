@@ -118,19 +118,21 @@ def in_scope(brand: Column, model: Column, scenario: Column, want_brand: Column,
 
 def word_mentions(model: Column, content: Column) -> Column:
     """Occurrences in the content of the model words longer than two letters."""
-    words = F.filter(F.split(F.lower(model), f"[{rx.BLANK}]+"), lambda w: F.length(w) > 2)
+    words = model_words(model)
     # occurrences by length difference: no pattern built from data
     return text.let(F.lower(content), lambda low: F.aggregate(
         words, F.lit(0).cast("bigint"), lambda acc, w: acc + F.floor(
             (F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w))))
 
 
-def in_scope_strict(brand: Column, model: Column, title: Column, content: Column,
-                    scenario: Column, want_brand: Column) -> Column:
-    """Stricter: a general title must name the brand and the text the model twice."""
+def in_scope_strict(brand: Column, title: Column, scenario: Column, want_brand: Column, mentions: Column) -> Column:
+    """Stricter: a general title must name the brand and the text the model twice.
+
+    `mentions` is the number of places of the model words, from `word_mentions` on a
+    row that holds the text or from `hit_count` where the text is elsewhere.
+    """
     same = F.coalesce(F.lower(brand) == F.lower(want_brand), F.lit(False))
-    discussed = F.contains(F.lower(title), F.lower(brand)) & (
-        word_mentions(model, content) >= 2)
+    discussed = F.contains(F.lower(title), F.lower(brand)) & (mentions >= 2)
     return (F.when(scenario.isin("specific", "brand-only") & want_brand.isNotNull(), same)
             .when(scenario == "general", F.coalesce(discussed, F.lit(False)))
             .otherwise(F.lit(True)))
@@ -138,11 +140,61 @@ def in_scope_strict(brand: Column, model: Column, title: Column, content: Column
 
 def model_mentioned(model: Column, content: Column, ratio: float = 0.7) -> Column:
     """At least `ratio` of the significant model words occur in the content."""
-    words = F.filter(F.split(F.lower(model), f"[{rx.BLANK}]+"),
-                     lambda w: (F.length(w) > 2) & ~w.isin(rules.MENTION_WORD_STOP))
-    hit = text.let(F.lower(content), lambda low: F.filter(words, lambda w: F.contains(low, w)))
-    return F.when(F.size(words) > 0, F.size(hit) / F.size(words) >= ratio
-                  ).otherwise(F.lit(False))
+    hit = lambda words: text.let(F.lower(content), lambda low: F.filter(words, lambda w: F.contains(low, w)))
+    return _mentioned(model, hit, ratio)
+
+
+def _mentioned(model: Column, hit, ratio: float) -> Column:
+    words = F.filter(model_words(model), lambda w: ~w.isin(rules.MENTION_WORD_STOP))
+    return F.when(F.size(words) > 0, F.size(hit(words)) / F.size(words) >= ratio).otherwise(F.lit(False))
+
+
+# Texts stay where they are: an article gives its distinct words with their counts, the
+# rows that ask about it their distinct model words, and one row of each meets per article.
+
+def model_words(model: Column) -> Column:
+    """Lower-case words longer than two letters."""
+    return F.filter(F.split(F.lower(model), f"[{rx.BLANK}]+"), lambda w: F.length(w) > 2)
+
+
+def content_words(content: Column) -> Column:
+    """array<struct(word, n)>: the distinct lower-case words of a text, ascending."""
+    words = F.sort_array(F.filter(F.split(F.lower(content), f"[{rx.BLANK}]+"), lambda w: w != ""))
+
+    def counted(s: Column, first: Column) -> Column:
+        return F.transform(first, lambda i, k: F.struct(
+            F.get(s, i).alias("word"), (F.coalesce(F.get(first, k + 1), F.size(s)) - i).alias("n")))
+    return text.let(words, lambda s: F.when(F.size(s) == 0, F.array().cast("array<struct<word: string, n: int>>")).otherwise(
+        text.let(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))),
+                 lambda first: counted(s, first))))
+
+
+def mention_hits(articles: DataFrame, rows: DataFrame, doc: str, content: str, model: str) -> DataFrame:
+    """doc and `hits`, array<struct(word, n)>: how often the text of an article holds each
+    model word that some row asks about, counted as `word_mentions` does.
+
+    No join and no shuffle carries a text, and each article's words travel once, however
+    many rows ask.  A model word has no blanks, so each of its places lies in one word.
+    The words asked about one article are as many as there are distinct model words.
+    """
+    asked = (rows.select(doc, F.explode(model_words(F.col(model))).alias("_w")).distinct()
+             .groupBy(doc).agg(F.collect_list("_w").alias("_asked")))
+    given = articles.select(doc, content_words(F.col(content)).alias("_given"))
+    places = lambda x, w: F.floor((F.length(x["word"]) - F.length(F.replace(x["word"], w, F.lit("")))) / F.length(w)) * x["n"]
+    hits = F.transform("_asked", lambda w: F.struct(w.alias("word"), F.aggregate(
+        F.filter("_given", lambda x: F.contains(x["word"], w)), F.lit(0).cast("bigint"), lambda acc, x: acc + places(x, w)).alias("n")))
+    return given.join(asked, doc).select(doc, F.filter(hits, lambda h: h["n"] > 0).alias("hits"))
+
+
+def hit_count(model: Column, hits: Column) -> Column:
+    """`word_mentions` from the hits of the row's article; a word that stands twice counts twice."""
+    return F.aggregate(model_words(model), F.lit(0).cast("bigint"), lambda acc, w: acc + F.coalesce(
+        F.get(F.filter(hits, lambda h: h["word"] == w), F.lit(0))["n"], F.lit(0).cast("bigint")))
+
+
+def model_hit(model: Column, hits: Column, ratio: float = 0.7) -> Column:
+    """`model_mentioned` from the hits of the row's article."""
+    return _mentioned(model, lambda words: F.filter(words, lambda w: F.exists(hits, lambda h: h["word"] == w)), ratio)
 
 
 # --- brand and model from a free title --------------------------------------
