@@ -35,6 +35,7 @@ from specforge.llm.common import batch_of, chunks, column, shuffle_parts, string
 
 CHUNK_BYTES = 16 << 20   # text handled at once
 ROWS = 32                # texts given to the tokenizer at once
+SLICE_BYTES = 4 << 20    # ids counted or coded at once
 JOINED = 256             # distinct words given to the tokenizer as one text
 MARKS = "^~`|#"          # words are told apart by the first of these that is one id
 # A word with marks behind its last letter or digit (0130 is left out: in lower case it ends with a mark).
@@ -49,13 +50,26 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of 32-bit values, padded to groups of four."""
-    v = np.zeros(-len(values) % 4 + len(values), dtype="<u4")
-    v[:len(values)] = values
+    control, data = pack_all(values, np.array([len(values)]))
+    return control[0], data[0]
+
+
+def pack_all(values: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of documents of the given sizes, each padded to groups of four."""
+    padded = -(-sizes // 4) * 4
+    starts = np.cumsum(padded) - padded
+    v = np.zeros(int(padded.sum()), dtype="<u4")
+    v[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(values))] = values
     size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     four = (size - 1).reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8).tobytes()
     used = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    data = v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    groups = np.concatenate([starts, [len(v)]]) // 4
+    ends = np.concatenate([[0], np.cumsum(four.sum(1, dtype=np.int64) + 4)])[groups].tolist()
+    groups = groups.tolist()
+    return ([control[x:y] for x, y in zip(groups[:-1], groups[1:], strict=True)],
+            [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
 
 
 def unpack(control: bytes, data: bytes) -> np.ndarray:
@@ -209,6 +223,14 @@ def encode_table(df: DataFrame, path: str, end_id: int, doc: str, text: str) ->
 
 # --- writing --------------------------------------------------------------------------
 
+def _slices(rows: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of some rows at once, and how many each row has; a longer row stands alone."""
+    for a, b in chunks(rows, SLICE_BYTES):
+        part = rows.slice(a, b - a)
+        sizes = pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        yield np.frombuffer(b"".join(part.to_pylist()), "<u4"), sizes
+
+
 def id_counts(coded: DataFrame) -> DataFrame:
     """How often each id occurs: one row per id and task, then the sum."""
     schema = pa.schema([("token", pa.int64()), ("count", pa.int64())])
@@ -216,8 +238,8 @@ def id_counts(coded: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for row in column(batch, "ids"):
-                seen = np.bincount(np.frombuffer(row.as_buffer(), "<u4"))
+            for ids, _ in _slices(column(batch, "ids")):
+                seen = np.bincount(ids)
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
                 total[:len(seen)] += seen
@@ -258,15 +280,13 @@ def _pack_rows(tokens: np.ndarray, ends: list[int]) -> Callable:
         rank = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, dtype=np.uint32)
         rank[tokens] = np.arange(len(tokens), dtype=np.uint32)
         for batch in batches:
-            docs = column(batch, "doc_id")
-            ids = [np.frombuffer(x.as_buffer(), "<u4") for x in column(batch, "ids")]
-            made = [pack(rank[x]) for x in ids]
-            tie = np.array([zlib.crc32(x) for x in ids], dtype=np.int64)
+            docs, rows = column(batch, "doc_id"), column(batch, "ids")
+            made = [x for ids, sizes in _slices(rows) for x in zip(sizes.tolist(), *pack_all(rank[ids], sizes), strict=True)]
+            tie = np.array([zlib.crc32(x.as_buffer()) for x in rows], dtype=np.int64)
             key = pc.fill_null(docs, -1 << 63).to_numpy(zero_copy_only=False)
             first, last = np.searchsorted(ends, key, "left"), np.searchsorted(ends, key, "right")
             shard = first + (tie * (last - first + 1) >> 32)
-            yield batch_of(PACKED, [shard.astype(np.int32), docs, tie, [len(x) for x in ids],
-                                    [m[0] for m in made], [m[1] for m in made]])
+            yield batch_of(PACKED, [shard.astype(np.int32), docs, tie, *([m[k] for m in made] for k in range(3))])
     return run
 
 
@@ -317,7 +337,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, doc: str = "doc_id
     encode_table(df, path, end_id, doc, text).write.option("compression", "zstd").parquet(raw)
     coded = spark.read.schema("doc_id bigint, ids binary").parquet(raw)
     counts = f"{folder}/ranks"
-    id_counts(coded).coalesce(1).write.parquet(counts)
+    id_counts(coded).repartition(1).write.parquet(counts)      # summed in parallel; one row per vocabulary entry
     tokens = ranked(spark.read.parquet(counts))
     shards = shuffle_parts(spark)
     (coded.mapInArrow(_pack_rows(tokens, bounds(coded, shards)), from_arrow_schema(PACKED))
