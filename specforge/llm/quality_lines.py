@@ -1,8 +1,9 @@
 """Line-first quality rules (operator 10), DataFrame expressions only.
 
-Rules judge each line: marks (symbols in place of punctuation, no closing mark),
-navigation (separators), shouting and boilerplate phrases.  Failing lines go; a
-document that loses too many of its words with them is rejected, as is one that
+Rules judge each line: symbols in place of punctuation, navigation (separators),
+shouting and boilerplate phrases.  A long line without a closing mark fails only if its
+paragraph (lines up to a blank one) does not end in one either, so hard-wrapped prose
+stays.  Failing lines go, and one blank line stays between paragraphs; a document that loses too many of its words with them is rejected, as is one that
 fails the base rules (too few words, too much of it in repeated 5-word windows).
 
 Everything stays inside the document's row: no text is shuffled or exploded.
@@ -12,6 +13,9 @@ equal lines are judged alike.  Existing columns of the added names are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +34,8 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 SEPARATORS = "[|»›•·→]"
 DOUBLED = "[!?]{2,}"
-CLOSED = r"[.!?:;…。！？।؟][^\p{L}\p{N}]*$"
+CLOSED = r"^[^\p{L}\p{N}.!?:;…。！？।؟]*[.!?:;…。！？।؟]"     # in the reversed text
+PARAGRAPH = r"\n[ \t\n\x0B\f\r]*\n"
 
 # Fixed phrases of page furniture, lower case.
 BOILERPLATE = ("enable javascript", "accept cookies", "use of cookies", "uses cookies", "cookie policy",
@@ -70,17 +75,48 @@ def repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(windows(w), count)))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word goes."""
+def _closed(text: Column) -> Column:
+    """Whether no letter or digit follows the last closing mark; read from the end."""
+    return F.rlike(F.reverse(text), F.lit(CLOSED))
+
+
+def _phrases(low: Column) -> Column:
+    return F.rlike(low, F.lit("|".join(BOILERPLATE)))
+
+
+def _marked(line: Column, phrases: Column) -> Column:
+    """Whether a line fails by itself; `phrases` tells whether to look for boilerplate in it."""
     n = F.regexp_count(line, F.lit(WORD))
-    marks = F.regexp_count(line, F.lit(SYMBOLS)) + F.regexp_count(line, F.lit(DOUBLED))
+    marks = F.regexp_count(line, F.lit(f"{SYMBOLS}|{DOUBLED}"))
     navigation = F.regexp_count(line, F.lit(SEPARATORS))
     capitals = F.regexp_count(line, F.lit(r"\p{Lu}"))
     letters = F.regexp_count(line, F.lit(r"\p{L}"))
-    phrases = F.rlike(F.lower(line), F.lit("|".join(BOILERPLATE)))
-    return ((marks >= F.greatest(SHARE * n, F.lit(2))) | (navigation >= F.greatest(SHARE * n, F.lit(2)))
-            | ((n >= 5) & (capitals > SHOUT * letters))
-            | ((n >= LONG_LINE) & ~F.rlike(line, F.lit(CLOSED))) | phrases)
+    least = F.greatest(SHARE * n, F.lit(2))
+    return ((marks >= least) | (navigation >= least) | ((n >= 5) & (capitals > 0) & (capitals > SHOUT * letters))
+            | (phrases & _phrases(F.lower(line))))
+
+
+def _open(line: Column) -> Column:
+    return (F.regexp_count(line, F.lit(WORD)) >= LONG_LINE) & ~_closed(line)
+
+
+def line_fails(line: Column) -> Column:
+    """Whether a line that has a word and stands alone goes."""
+    return _marked(line, F.lit(True)) | _open(line)
+
+
+def clean(text: Column) -> Column:
+    """The lines of a text that pass, with a blank line between paragraphs."""
+    def paragraph(p: Column, phrases: Column) -> Column:
+        lines = F.filter(F.split(p, "\n"), lambda l: F.rlike(l, F.lit(WORD)) & ~_marked(l, phrases))
+        return let(lines, lambda kept: F.array_join(
+            F.when(_closed(F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(""))), kept)
+            .otherwise(F.filter(kept, lambda l: ~_open(l))), "\n"))
+
+    # Most texts have no phrase at all: then no line is searched for one.
+    some = F.exists(F.array(F.lower(text)), lambda low: reduce(or_, (F.contains(low, F.lit(x)) for x in BOILERPLATE)))
+    return let(some, lambda phrases: F.array_join(F.filter(
+        F.transform(F.split(text, PARAGRAPH), lambda p: paragraph(p, phrases)), lambda p: p != ""), "\n\n"))
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
@@ -95,7 +131,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": F.regexp_count(source, F.lit(SYMBOLS)).cast("bigint"),
         "n_dup_lines": let(lines, lambda l: F.size(l) - F.size(F.array_distinct(l))).cast("bigint"),
         "n_repeat_words": repeat_words(words).cast("bigint"),
-        "cleaned": F.array_join(F.filter(lines, lambda l: ~line_fails(l)), "\n"),
+        "cleaned": clean(source),
     })
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                          | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
@@ -115,7 +151,7 @@ def keep(df: DataFrame, text: str = "text", n_chars: str | None = None) -> DataF
     The verdict is one expression under a generator, so that no filter repeats its work.
     """
     source = F.coalesce(F.col(text), F.lit(""))
-    cleaned = F.array_join(F.filter(F.split(source, "\n"), lambda l: F.rlike(l, F.lit(WORD)) & ~line_fails(l)), "\n")
+    cleaned = clean(source)
     none = F.array().cast("array<string>")
 
     def verdict(m: Column) -> Column:

@@ -217,6 +217,35 @@ def test_documents_lose_lines_or_go(spark):
     assert [(r.doc_id, r.text) for r in quality_lines.keep(df).collect()] == [(1, good)]
 
 
+WRAPPED = ("The council met on Tuesday to talk about the bridge that had been closed since the\n"
+           "spring floods, and after a long evening of reports, questions and replies from all\n"
+           "sides of the room it agreed to let the repairs go on through the winter, so that the\n"
+           "road may be opened again before the first visitors of the summer come to the valley.")
+SECOND = ("Nobody spoke of money until the clerk read out what the neighbouring towns had paid\n"
+          "for smaller works, and then the hall grew quiet for a while.")
+OPENED = "a line of many words that goes on and on without any mark at its end"
+
+
+def test_wrapped_prose_and_paragraphs_stay(spark):
+    rows = [(1, WRAPPED, WRAPPED), (2, f"{WRAPPED}\n \n\n{SECOND}", f"{WRAPPED}\n\n{SECOND}"),
+            (3, f"{WRAPPED}\nHome | News | Sport | About", WRAPPED), (4, f"{OPENED}\n{OPENED}", None),
+            (5, f"{WRAPPED}\n\nShort title\n{OPENED}\n\n{LINES[0][0]}", f"{WRAPPED}\n\nShort title\n\n{LINES[0][0]}"),
+            (6, f"Use of COOKIES here is fine.\n{WRAPPED}", WRAPPED)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in quality_lines.keep(df).collect()}
+    assert got == {i: want for i, _, want in rows if want is not None}
+    kept = {r.doc_id: r.kept for r in quality_lines.judge(df).collect()}
+    assert kept == {i: want is not None for i, _, want in rows}
+
+
+def test_long_runs_of_marks_take_linear_time(spark):
+    import time
+    df = spark.createDataFrame([(1, "word " * 20 + "." * 400_000 + " end"), (2, ("\n" + " " * 50) * 20_000)], "doc_id bigint, text string")
+    start = time.time()
+    assert quality_lines.judge(df).count() == 2 and len(quality_lines.judge(df).collect()) == 2
+    assert time.time() - start < 60
+
+
 def test_op10(spark, sf):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = queries.QUERIES["op10_quality_lines"](spark, sf).collect()
