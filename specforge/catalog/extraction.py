@@ -10,7 +10,7 @@ from specforge.catalog import query
 from specforge.functions import text
 from specforge.functions import regex as rx
 from specforge.operators import blocks, dedup, fallback, normalize, profile, tables, windows
-from specforge.plans import article_specs, products
+from specforge.plans import article_specs, candidates, products
 from specforge.sources import pages
 
 C = F.col
@@ -377,6 +377,12 @@ def compose_values(t):
     return normalize.compose_values(found.join(fb, "doc_id")).select("doc_id", "block_no", "heel_height", "forefoot_height", "drop", "weight", "price")
 
 
+@query("article_candidates", "N7,E2,E8")
+def article_candidates(t):
+    """Candidates of all articles with their real scores, ranked and composed."""
+    return candidates.article_candidates(t.articles)
+
+
 @query("similar_fold", "D6")
 def similar_fold(t):
     heads = F.transform(blocks.headings(C("content")), lambda h: F.struct(

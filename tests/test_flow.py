@@ -122,3 +122,29 @@ def test_fold_on_random_names(spark):
     for r, (_, m) in zip(sorted(got), rows):
         want = twins.fold([dict(zip(fields, x)) for x in m], kinds)
         assert [{f: e[f] for f in fields} for e in r.f] == want
+
+
+def test_candidates(spark, articles):
+    """Rank, provenance and composed values against plain Python over all articles."""
+    from specforge.functions import keys as keyfn
+    from specforge.operators import fallback
+    from specforge.plans import candidates
+    base = fallback.with_fallback_heights(titles.brand_model_from_title(articles, "title"), "content")
+    base = base.select("doc_id", "title_bm", titles.analyze_title(F.col("title"))["scenario"].alias("scenario"), "fb_heel", "fb_forefoot", "fb_drop",
+                       fallback.fallback_weight(F.col("content")).alias("fb_weight"), fallback.weird_price(F.col("content")).alias("odd_price"),
+                       fallback.fallback_price(F.col("content"))["price_usd"].alias("fb_price"),
+                       keyfn.refine_model(F.trim("title_bm.brand"), F.col("title_bm.model")).alias("t_model"))
+    specs = blocks.extract_specs(blocks.explode_blocks(articles, "content", ["doc_id"])).withColumn(
+        "refined", keyfn.refine_model(F.col("brand_name"), F.col("model"))).orderBy("doc_id", "block_no").collect()
+    flat = lambda c: " ".join(w for w in "".join(x if x.isalnum() and x.isascii() else " " for x in c.lower()).split())
+    want = []
+    for r in base.collect():
+        found = [(s.brand_name, s.refined or s.model, {f: s[f] for f in rules.SPEC_FIELDS}) for s in specs if s.doc_id == r.doc_id]
+        t_brand = (r.title_bm.brand or "").strip() or None
+        got = twins.ranked_candidates(found, t_brand, r.t_model or None, r.title_bm.confidence, r.scenario == "specific",
+                                      lambda b, m: f"{flat(b)} {flat(m)}")
+        want += [(r.doc_id, k, origin, b, m, score, rich, *twins.composed(v, r.asDict()).values())
+                 for k, (b, m, origin, score, rich, v) in enumerate(got, 1)]
+    done = candidates.article_candidates(articles).select("doc_id", "rank", "origin", "brand_name", "model", "score", "richness", *rules.SPEC_FIELDS)
+    assert sorted(map(tuple, done.collect()), key=repr) == sorted(want, key=repr)
+    assert {w[2] for w in want} == {"text", "title", "title-single", "title-only"}

@@ -102,3 +102,49 @@ def chosen(rows, given, scenario):
     if not rows or (scenario in ("brand-only", "general") and len(rows) < 3):
         return given
     return list(enumerate(rows, 1))
+
+
+# --- candidates of one article (N7) ---------------------------------------------------------
+
+def key_words(c):
+    return {w for w in re.sub("[^a-z0-9]+", " ", (c or "").lower()).split() if w not in rules.MODEL_TOKEN_STOP}
+
+
+def title_score(brand, model, t_brand, t_model):
+    flat = lambda c: re.sub("[^a-z0-9]+", " ", c.lower()).strip()
+    score = 2 if t_brand is not None and flat(brand) == flat(t_brand) else 0
+    return score if t_model is None else score + min(2, len(key_words(model) & key_words(t_model)))
+
+
+def ranked_candidates(found, t_brand, t_model, confidence, single, key):
+    """`found`: (brand, model, values) of the blocks in order; `key` gives a name's key."""
+    rich = lambda v: sum(x is not None for x in v.values())
+    titled = t_brand is not None and t_model is not None
+    empty = dict.fromkeys(rules.SPEC_FIELDS)
+    cands = [(b, m, v, "text") for b, m, v in found]
+    if single and titled:
+        same = [v for b, m, v in found if key(b, m) == key(t_brand, t_model)]
+        best = max(same, key=rich) if same else empty       # the first of the richest
+        cands = [(t_brand, t_model, best, "title-single" if same else "title-only")]
+    elif titled and confidence >= 0.8:
+        cands.append((t_brand, t_model, empty, "title"))
+    cands = [c for c in cands if c[0] is not None and c[1] is not None]
+    cands.sort(key=lambda c: (-title_score(c[0], c[1], t_brand, t_model), -rich(c[2]), c[3] == "title"))
+    out, seen = [], set()
+    for b, m, v, origin in cands:
+        if key(b, m) not in seen:
+            seen.add(key(b, m))
+            out.append((b, m, origin, title_score(b, m, t_brand, t_model), rich(v), v))
+    return out
+
+
+def composed(v, fb):
+    """Gaps filled from the whole text; prices by precedence, each only if plausible."""
+    r2 = lambda x: None if x is None else int(x * 100 + 0.5) / 100
+    pick = lambda *xs: next((x for x in xs if x is not None), None)
+    low, high = rules.BOUNDS["price"]
+    heel, fore = pick(v["heel_height"], fb["fb_heel"]), pick(v["forefoot_height"], fb["fb_forefoot"])
+    apart = None if heel is None or fore is None else r2(heel - fore) if heel >= fore else -r2(fore - heel)
+    prices = [r2(x) for x in (v["price"], fb["fb_price"], fb["odd_price"]) if x is not None and low <= x <= high]
+    return v | {"heel_height": heel, "forefoot_height": fore, "drop": pick(v["drop"], fb["fb_drop"], apart),
+                "weight": pick(v["weight"], fb["fb_weight"]), "price": pick(*prices)}
