@@ -10,7 +10,7 @@ from specforge.catalog import query
 from specforge.catalog.data import articles_of
 from specforge.operators import dedup, normalize
 from specforge.plans import products
-from specforge.sources import exports, loads, pages, records
+from specforge.sources import exports, loads, pages, records, runs
 from specforge.streaming import ingest, partitions
 
 C = F.col
@@ -274,3 +274,39 @@ def stream_articles(t):
     flow = lambda batch: products.article_products(batch, unheaded=False, fold=False).select(*table.schema.names[:-1])
     partitions.ingest(stream, flow, table, f"{base}/checkpoint")
     return table.read().drop("source_id")
+
+
+# --- a load as one version -------------------------------------------------------------------
+
+_NEW = "id % 3 <> 0"
+_FIRST = "DATE '1998-01-01'"
+_RUN = f"""SELECT *, CASE WHEN coalesce(trim(model), '') = '' THEN 'NO_CONTENT' WHEN brand_name IS NULL THEN 'CONVERTER_EMPTY'
+ WHEN coalesce(weight, heel_height) IS NULL THEN 'CORE_EMPTY' ELSE 'OK' END AS outcome FROM products WHERE {_NEW}"""
+
+
+_N = lambda o: f"count(CASE WHEN seen AND NOT late AND outcome = '{o}' THEN 1 END) AS n_{o.lower()}"
+
+
+@query("load_run", "S7,S8,S15,A11", f"""SELECT strftime(max(CASE WHEN seen AND NOT late THEN created_at END), '%Y-%m-%d') AS last_created_at,
+ count(CASE WHEN seen AND late THEN 1 END) AS n_late, {', '.join(map(_N, ('OK', 'NO_CONTENT', 'CONVERTER_EMPTY', 'CORE_EMPTY')))},
+ count(CASE WHEN outcome = 'OK' THEN 1 END) AS target_rows, round(sum(CASE WHEN outcome = 'OK' THEN coalesce(price, 0) END), 2) AS target_price,
+ count(CASE WHEN outcome = 'OK' THEN 1 END) AS synced
+ FROM (SELECT *, NOT (early AND outcome = 'OK') AS seen, coalesce(created_at <= m, false) AS late FROM (
+  SELECT *, created_at < {_FIRST} AS early, max(CASE WHEN created_at < {_FIRST} THEN created_at END) OVER () AS m FROM ({_RUN})))""")
+def load_run(t):
+    """Two runs: rows up to a day first, then all; the second sees the first's rejected rows as late and its accepted ones as synced."""
+    base = exports.shared_dir(t.spark)
+    table = exports.VersionedTable(t.spark, f"{base}/products")
+    source = t.products.withColumn("status", F.when(C("id") % 3 != 0, "New").otherwise("Held"))
+    target = source.drop("status").limit(0)
+    how = {"key": "id", "position": "id", "status": "status", "created": "created_at", "content": C("model"),
+           "converted": C("brand_name").isNotNull(), "core": F.coalesce("weight", "heel_height").isNotNull()}
+    runs.load_new(table, source.where(f"created_at < {_FIRST}"), target, **how)
+    later = source.where(f"created_at >= {_FIRST}").unionByName(runs.part(table, "source"))
+    runs.load_new(table, later, target, **how)
+    exports.write_report(runs.part(table, "report"), f"{base}/report")
+    report = t.spark.read.json(f"{base}/report").select(
+        F.substring("last_created_at", 1, 10).alias("last_created_at"), "n_ok", "n_late", "n_no_content", "n_converter_empty", "n_core_empty")
+    rows = runs.part(table, "rows").agg(F.count("*").alias("target_rows"), F.round(F.sum(F.coalesce("price", L(0))), 2).alias("target_price"))
+    synced = runs.part(table, "source").agg(F.count_if(C("status") == "Synced").alias("synced"))
+    return report.join(rows, L(True)).join(synced, L(True))      # one row each
