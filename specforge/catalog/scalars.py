@@ -14,15 +14,14 @@ C = F.col
 
 
 @query("norm_text", "P1", f"""
-SELECT doc_id, nullif({d.trim('split_part(text, chr(10), 1)')}, '') AS first_line,
+SELECT doc_id, nullif({d.trim('text')}, '') AS body,
   nullif({d.trim("CASE doc_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN ' x ' || source END")}, '') AS additional
 FROM documents""")
 def norm_text(t):
     extra = F.when(C("doc_id") % 3 == 0, "  ").when(
         C("doc_id") % 3 == 1, F.concat(F.lit(" x "), C("source")))
     return t.documents.select(
-        "doc_id", text.norm_str(F.split_part("text", F.lit("\n"), F.lit(1))).alias("first_line"),
-        text.norm_str(extra).alias("additional"))
+        "doc_id", text.norm_str(C("text")).alias("body"), text.norm_str(extra).alias("additional"))
 
 
 @query("norm_text_whole", "P1", f"""

@@ -343,6 +343,16 @@ def request_texts(t):
         C("title"), C("content"), C("a.scenario"), C("a.brand"), C("a.model"))).alias("digest"))
 
 
+@query("snippet_prompts", "E20", """SELECT doc_id, length(p) AS chars, md5(p) AS digest FROM (SELECT doc_id, '- price_snippets:' || chr(10) || coalesce(array_to_string(list_transform(list_filter(string_split(content, chr(10)), lambda w: contains(w, '$')), lambda w: '  * ' || CASE WHEN length(w) > 300 THEN substr(w, 1, 300) || '...' ELSE w END || chr(10)), ''), '')
+ || '- drop_snippets:' || chr(10) || coalesce(array_to_string(list_transform(list_filter(string_split(content, chr(10)), lambda w: contains(w, ' mm')), lambda w: '  * ' || CASE WHEN length(w) > 300 THEN substr(w, 1, 300) || '...' ELSE w END || chr(10)), ''), '') AS p FROM articles)""")
+def snippet_prompts(t):
+    """The lines of an article that name a price or a length, as the snippet part of a request."""
+    of = lambda word: F.filter(F.split("content", "\n"), lambda x: F.contains(x, F.lit(word)))
+    found = F.struct(of("$").alias("price_snippets"), of(" mm").alias("drop_snippets"))
+    prompt = resolve.candidate_lines(found, ["price_snippets", "drop_snippets"], chars=300)
+    return t.articles.select("doc_id", prompt.alias("p")).select("doc_id", F.length("p").alias("chars"), F.md5("p").alias("digest"))
+
+
 @query("comparison_context", "E20")
 def comparison_context(t):
     c = resolve.comparison_context(C("title"), C("content"))
