@@ -210,11 +210,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs
 
     What reaches the driver is at most one number per bucket and sampled document.
     """
-    sample = training_rows(docs, labels, (toxic_docs, clean_docs), doc, text, label).toArrow().sort_by(
-        [("id", "ascending"), ("toxic", "ascending")])
-    bags = [(np.array(b.values), np.array(s.values)) for b, s in
-            zip(sample.column("buckets"), sample.column("shares"), strict=True)]
-    return fit(bags, np.array(sample.column("toxic").to_pylist(), dtype=np.int64).clip(0, 1))
+    sample = training_rows(docs, labels, (toxic_docs, clean_docs), doc, text, label).toArrow()
+    order = pc.sort_indices(sample.select(["id", "toxic"]), sort_keys=[("id", "ascending"), ("toxic", "ascending")]).to_pylist()
+    toxic = sample.column("toxic").to_numpy()[order].astype(np.int64).clip(0, 1)
+    # Views of the sample in that order: it is in memory once.
+    bags = [(b.values.to_numpy(), s.values.to_numpy()) for b, s in zip(sample.column("buckets"), sample.column("shares"), strict=True)]
+    return fit([bags[i] for i in order], toxic)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text",
