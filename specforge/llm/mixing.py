@@ -6,7 +6,7 @@ document is taken when its hash lies below its source's threshold.  Nothing is
 sorted but the buckets; hot sources are summed in the map tasks.
 
 A document is taken `floor(target / source size)` times, and once more below the
-threshold.  Targets: the total is shared by weight, a target stops at the ceiling,
+threshold, unless it has no words.  Targets: the total is shared by weight, a target stops at the ceiling,
 the excess goes to the others by weight until none is above.
 
 Null source: a source of its own, last in the order of weights.  Null text: size
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specforge.llm.common import fresh, n_words, stored
+from specforge.llm.common import WORD, fresh, n_words, stored
 
 BITS = 12          # hash bits a level of buckets tells apart
 LEVELS = 3
@@ -135,6 +135,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     h, own, times = (fresh(docs, name) for name in ("h", "own", "times"))
     own_plan = plan.select("source", F.struct("whole", "below").alias(own))
     rows = attach(docs.withColumn(h, row_hash(doc, text)), own_plan, source, few)
-    n = copies(F.col(h), F.col(own)["whole"], F.col(own)["below"]).cast("int")
+    # A text without words adds nothing below the threshold.
+    n = F.when(F.coalesce(F.col(text).rlike(WORD), F.lit(False)), copies(F.col(h), F.col(own)["whole"], F.col(own)["below"])) \
+        .otherwise(F.col(own)["whole"]).cast("int")
     return (rows.withColumn(times, n).where(F.col(times) > 0)
             .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns))

@@ -8,12 +8,14 @@ numpy; a misspelling the model has not seen shares most n-grams with the word.
 
 The model is linear after training, so each n-gram has one number, and scoring is
 a lookup per distinct word of a batch.  The fit uses at most `toxic_docs` and
-`clean_docs` labelled documents (smallest id hashes first); scoring covers every row.
+`clean_docs` labelled documents (smallest id hashes first), and of them as many as
+`entries` n-grams have room for; scoring covers every row.
 
 Null and empty texts are scored by the outputs' offsets alone.  Labels that are
 null, or whose document is missing, teach nothing; several labels of a document
 count as toxic if one does.  Without labels of both kinds every score is the
-share of toxic ones (0 without any).  Repeated rows get equal scores.
+share of toxic ones (0 without any).  Repeated rows get equal scores; of rows with
+one id and different texts the fit reads one (smallest text hash).
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from specforge.llm.common import batch_of, chunks, column, fresh, strings
+from specforge.llm.common import batch_of, chunks, column, fresh, stored, strings
 
 BITS = 18
 BUCKETS = 1 << BITS
 GRAMS = (3, 4, 5)
 PAD = 40              # empty words each mean has besides its own, so a few words in a short text weigh less
+ENTRIES = 128 << 20   # n-grams of the sample: 1 GB; a document of 3,000 characters has at most 12,000
 CHUNK_BYTES = 2 << 20
 PRIME = np.uint32(16777619)
 OPEN, CLOSE = ord("<"), ord(">")
@@ -177,9 +180,10 @@ def fold(doc: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sizes: tuple[int, int], doc: str, text: str,
+def training_rows(docs: DataFrame, labels: DataFrame, sizes: tuple[int, int], entries: int, doc: str, text: str,
                   label: str) -> DataFrame:
-    """toxic, buckets, shares of the sample: the smallest id hashes of either label.
+    """id, toxic, buckets, shares of the sample: the smallest id hashes of either label,
+    one text per id, while their n-grams number at most `entries`.
 
     Only ids are ordered (a top-k); at most the sum of `sizes` rows are broadcast.
     """
@@ -189,7 +193,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sizes: tuple[int, int], do
     order = [F.xxhash64("id"), F.col("id")]
     chosen = known.where("toxic > 0").orderBy(*order).limit(sizes[0]).unionAll(
         known.where("toxic <= 0").orderBy(*order).limit(sizes[1]))
-    rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    found = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    once = stored(found.groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    # A character opens an n-gram of each length and one word; a bag has no more than all buckets.
+    most = F.least(F.lit(BUCKETS), (len(GRAMS) + 1) * F.coalesce(F.length("text"), F.lit(0)))
+    upto = F.sum(most).over(Window.partitionBy(F.col("toxic") > 0).orderBy(*order))
+    share = F.when(F.col("toxic") > 0, sizes[0]).otherwise(sizes[1]) / sum(sizes)
+    room = (once.select("id", "toxic", upto.alias("upto")).where(F.col("upto") <= entries * share).select("id"))
+    rows = once.join(F.broadcast(room), "id", "left_semi")
     schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("buckets", pa.list_(pa.int32())),
                         ("shares", pa.list_(pa.float32()))])
 
@@ -205,12 +216,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sizes: tuple[int, int], do
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs: int = 4000, doc: str = "doc_id",
-          text: str = "text", label: str = "toxic") -> Model:
+          text: str = "text", label: str = "toxic", entries: int = ENTRIES) -> Model:
     """Fit on a bounded sample of the labelled documents outside fold 0.
 
-    What reaches the driver is at most one number per bucket and sampled document.
+    What reaches the driver is at most `entries` n-grams of 8 bytes.
     """
-    sample = training_rows(docs, labels, (toxic_docs, clean_docs), doc, text, label).toArrow()
+    sample = training_rows(docs, labels, (toxic_docs, clean_docs), entries, doc, text, label).toArrow()
     order = pc.sort_indices(sample.select(["id", "toxic"]), sort_keys=[("id", "ascending"), ("toxic", "ascending")]).to_pylist()
     toxic = sample.column("toxic").to_numpy()[order].astype(np.int64).clip(0, 1)
     # Views of the sample in that order: it is in memory once.

@@ -164,6 +164,16 @@ def test_mixing_many_sources_by_shuffle(spark, monkeypatch):
     assert sorted(tuple(r) for r in mixing.decide(df).collect()) == sorted(tuple(r) for r in got)
 
 
+def test_mixing_gives_texts_without_words_no_extra_copy(spark):
+    rows = [(i, "a", " ".join(["w"] * 5)) for i in range(20)] + [(100 + i, "a", t) for i, t in enumerate(["", " \n", None] * 40)]
+    df = spark.createDataFrame(rows + [(1000, "b", "w")], "doc_id bigint, source string, text string")
+    taken = Counter(r.doc_id for r in mixing.mix(df).collect())
+    size = {r.doc_id: (r.size, r.source_size, r.target) for r in mixing.decide(df).collect()}
+    for i, n in taken.items():
+        if not size[i][0]:
+            assert n == int(size[i][2] // size[i][1])
+
+
 def test_op6(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = queries.QUERIES["op6_mixing"](spark, sf).collect()
@@ -325,6 +335,36 @@ def test_toxicity_edges(spark, docs, nothing):
     assert all(r.score < 0.5 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_sample_is_bounded(spark):
+    """One text per id, whatever is repeated, and no more n-grams than there is room for."""
+    docs, labels = toxic_frame(spark)
+    again = docs.unionAll(docs).unionAll(docs.withColumn("text", F.concat(F.lit("zz "), "text")))
+
+    def sample(frame, entries):
+        rows = toxicity.training_rows(frame, labels, (20, 30), entries, "doc_id", "text", "toxic").collect()
+        assert len({r.id for r in rows}) == len(rows)
+        return {r.id: (r.toxic, list(r.buckets)) for r in rows}
+
+    one = sample(docs, toxicity.ENTRIES)
+    assert len(one) == 50 and len(sample(again, toxicity.ENTRIES)) == 50
+    assert sample(docs.unionAll(docs), toxicity.ENTRIES) == one
+    few = sample(docs, 8_000)
+    assert 0 < len(few) < 50 and few.items() <= one.items() and {t for t, _ in few.values()} == {0, 1}
+    assert sum(len(b) for _, b in few.values()) <= 8_000
+
+
+def test_op9_on_held_out_labels(spark, sf):
+    """Documents whose labels the fit did not see: a toxic one scores above a clean one."""
+    sf = f"{sf.rsplit('/', 1)[0]}/sf0.01"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None}
+    rows = [(r.score, truth[r.doc_id]) for r in queries.QUERIES["op9_toxicity"](spark, sf).collect()
+            if r.held_out and r.doc_id in truth]
+    bad, good = [s for s, t in rows if t], [s for s, t in rows if not t]
+    if len(bad) < 5:
+        pytest.skip("too few toxic documents are held out")
+    assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.9
+
+
 def test_op9(spark, sf):
     ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries.QUERIES["op9_toxicity"](spark, sf).collect()
