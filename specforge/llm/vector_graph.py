@@ -5,13 +5,13 @@ shards overlap.  In each shard every vector gets a short adjacency list, pruned
 that no neighbour is much closer to another one, with a few long edges.  Lists of a
 vector from all its shards are united.  Then every vector searches its shards:
 greedily from the shard's medoid, the nearest of fixed entry nodes and its own list,
-then outwards through everything within the range.  What the search left out is
-found by blocked products, so no link within a shard is missed.  Hits are verified by
+then outwards through everything within the range.  Hits are verified by
 the cosine in double precision, a hit counts only in the shard that is its nearest,
 so none counts twice.  Recall is audited against
 brute force for a fixed number of queries in every pass, over all links and per
-query; while it is too low the search is repeated with more shards per vector.  The
-last pass has all of them, so it misses nothing; should its audit differ, it fails.
+query; while it is too low the search is repeated with more shards per vector.  Once
+a vector has all shards of its label, labels of queries that still miss links are
+repaired by blocked products, and logged; should the audit then differ, it fails.
 
 Equal vectors are folded first and weigh in the counts.  A shard with too many
 vectors is cut by hash; each vector searches all its cuts, so no cut is missed.
@@ -25,6 +25,7 @@ component and is never kept.  Repeated rows count as vectors of their own.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from specforge.llm.components import components, forest
 
 THRESHOLD = 0.93
 SAMPLE = 20_000      # vectors that the centers are fitted on
-SHARD = 4_096        # vectors a center should have
+SHARD = 2_048        # vectors a center should have
 CUT = 8_192          # vectors a shard may have before it is cut by hash
 OVERLAP = 3          # centers of a vector at first
 CANDIDATES = 48      # nearest vectors that pruning chooses from
@@ -46,7 +47,7 @@ LONG = 8             # candidates for long edges, anywhere in the shard
 ENTRIES = 64         # nodes where a search may enter
 ENTER = 4            # nearest of them where it does
 ALPHA = 1.2          # a neighbour goes if another is so many times closer to it
-BEAM = 32            # best vectors a greedy search keeps
+BEAM = 16            # best vectors a greedy search keeps
 SLACK = 0.1          # below the threshold by so much, the range search still goes on
 AUDITED = 400        # queries of the audit
 RECALL = 0.99
@@ -106,40 +107,40 @@ def build(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _table(lists: list[np.ndarray]) -> np.ndarray:
-    """Adjacency as one array, reverse links included, short rows filled with -1."""
+def _table(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency with reverse links: neighbours of all nodes in a row, and their bounds."""
     n = len(lists)
     a = np.repeat(np.arange(n), [len(x) for x in lists])
     b = np.concatenate(lists) if n else np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
-    a, b = np.divmod(pairs, max(1, n))
-    size = np.bincount(a, minlength=n)
-    table = np.full((n, max(1, size.max(initial=0))), -1, dtype=np.int64)
-    table[a, np.arange(len(a)) - (np.cumsum(size) - size)[a]] = b
-    return table
+    a, b = np.divmod(np.unique(np.concatenate([a * n + b, b * n + a])), max(1, n))
+    return b, np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
 
 
 class Search:
     """Range searches over a shard's graph, many queries side by side."""
 
-    def __init__(self, x: np.ndarray, table: np.ndarray):
-        self.x, self.table = x, table
+    def __init__(self, x: np.ndarray, table: tuple[np.ndarray, np.ndarray]):
+        self.x, (self.near, self.bounds) = x, table
         center = x.mean(0)
         self.medoid = int((x @ center).argmax())
         self.entries = np.random.default_rng(1).permutation(len(x))[:ENTRIES]
 
     def _visit(self, q: np.ndarray, seen: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple:
         """New (row, node) pairs and their cosines."""
-        code = np.unique((row * len(self.x) + node)[node >= 0])
-        row, node = np.divmod(code, len(self.x))
-        new = ~seen[row, node]
-        row, node = row[new], node[new]
+        new = (node >= 0) & ~seen[row, node]
+        row, node = np.divmod(np.unique(row[new] * len(self.x) + node[new]), len(self.x))
         seen[row, node] = True
         sims = np.empty(len(row))
         for at in range(0, len(row), 1 << 15):
             sims[at:at + (1 << 15)] = cosines(q[row[at:at + (1 << 15)]], self.x[node[at:at + (1 << 15)]])
         return row, node, sims
 
+    def _expand(self, q: np.ndarray, seen: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple:
+        """Visit the neighbours of (row, node) pairs."""
+        size = self.bounds[node + 1] - self.bounds[node]
+        first = self.bounds[node] - (np.cumsum(size) - size)
+        return self._visit(q, seen, np.repeat(row, size), self.near[np.repeat(first, size) + np.arange(size.sum())])
+
     def __call__(self, q: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of all hits; `own` is a query's node in the shard, or -1."""
         rows = np.arange(len(q))
@@ -169,8 +170,7 @@ class Search:
                 break
             r, k = np.nonzero(todo)
             beam_done[r, k] = True
-            nodes = self.table[beam_id[r, k]]
-            found.append(self._visit(q, seen, np.repeat(r, nodes.shape[1]), nodes.ravel()))
+            found.append(self._expand(q, seen, r, beam_id[r, k]))
         row, node, sims = (np.concatenate([f[k] for f in found]) for k in range(3))
         hits = [(row[sims >= threshold], node[sims >= threshold])]
         row, node = row[sims >= threshold - SLACK], node[sims >= threshold - SLACK]
@@ -178,8 +178,7 @@ class Search:
             # Everything within the range is expanded, a slice at a time.
             new_row, new_node = [], []
             for at in range(0, len(row), 1 << 13):
-                nodes = self.table[node[at:at + (1 << 13)]]
-                r, v, s = self._visit(q, seen, np.repeat(row[at:at + (1 << 13)], nodes.shape[1]), nodes.ravel())
+                r, v, s = self._expand(q, seen, row[at:at + (1 << 13)], node[at:at + (1 << 13)])
                 hits.append((r[s >= threshold], v[s >= threshold]))
                 new_row.append(r[s >= threshold - SLACK])
                 new_node.append(v[s >= threshold - SLACK])
@@ -187,7 +186,7 @@ class Search:
         return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
     def whole(self, q: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """The hits of a walk and those it did not reach."""
+        """The hits of a walk and those it did not reach: the repair."""
         row, node = self(q, own, threshold)
         left = within(q, self.x, threshold)
         left[row, node] = False
@@ -284,10 +283,11 @@ def shard_lists(members: DataFrame) -> DataFrame:
     return members.groupBy("label", "dim", "center", "cut").applyInArrow(run, "node bigint, near array<bigint>")
 
 
-def search(members: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+def search(members: DataFrame, queries: DataFrame, threshold: float, repaired: frozenset = frozenset()) -> DataFrame:
     """Counts per query and shard (node, n), and links (u, v) that span the hits' components.
 
-    Queries of a cut come in slices of a bounded number, each beside the cut's members.
+    Hits are those of the walk; in the labels (and lengths) of `repaired` also those it
+    does not reach.  Queries of a cut come in slices of a bounded number, each beside the cut's members.
     """
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
@@ -306,9 +306,10 @@ def search(members: DataFrame, queries: DataFrame, threshold: float) -> DataFram
         wanted, q = asked.column("node").to_numpy(), _matrix(asked)
         place = np.searchsorted(ids, wanted).clip(max=len(ids) - 1)
         place = np.where(ids[place] == wanted, place, -1)
+        find = walk.whole if (key[0].as_py(), key[1].as_py()) in repaired else walk
         counts, left, right = [], [], []
         for a in range(0, len(wanted), QUERIES):
-            r, v = walk.whole(q[a:a + QUERIES], place[a:a + QUERIES], threshold)
+            r, v = find(q[a:a + QUERIES], place[a:a + QUERIES], threshold)
             other = wanted[a + r] != ids[v]
             r, v = r[other], v[other]
             counts.append(np.bincount(r[home[v]], weight[v][home[v]], minlength=len(q[a:a + QUERIES])))
@@ -328,9 +329,10 @@ def search(members: DataFrame, queries: DataFrame, threshold: float) -> DataFram
             .applyInArrow(run, "node bigint, n bigint, u bigint, v bigint"))
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """The least of three shares for a fixed number of vectors chosen by hash: true links
-    that were found, the mean of that share per vector that has links, vectors that miss none."""
+def tally(nodes: DataFrame, counts: DataFrame, threshold: float) -> list[tuple]:
+    """(label, length, true links, links found) of those of a fixed number of vectors,
+    chosen by hash, that have links; the true ones by brute force over all vectors."""
+    nodes = nodes.withColumn("label", F.col("label").cast("string"))
     asked = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDITED).select("node", "label", "vector").collect()
     groups: dict = {}
     for r in asked:
@@ -359,10 +361,17 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
                 .groupBy("node").agg(F.sum("n").alias("n")).collect())
     ids = nodes.sparkSession.createDataFrame([(r.node,) for r in asked] or [(-1,)], "node bigint")
     found = dict(counts.join(F.broadcast(ids), "node", "left_semi").select("node", "n").collect())
-    if not true:
+    return [(*key, true[k], found.get(k, 0)) for key, (ids, _) in shared.value.items() for k in ids.tolist() if k in true]
+
+
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """The least of three shares for the vectors of `tally`: true links that were
+    found, the mean of that share per vector, vectors that miss none."""
+    rows = tally(nodes, counts, threshold)
+    if not rows:
         return 1.0
-    links = sum(found.get(k, 0) for k in true) / sum(true.values())
-    shares = [found.get(k, 0) / n for k, n in true.items()]
+    shares = [found / n for *_, n, found in rows]
+    links = sum(found for *_, found in rows) / sum(n for *_, n, _ in rows)
     return min(links, sum(shares) / len(shares), sum(x >= 1 for x in shares) / len(shares))
 
 
@@ -375,7 +384,7 @@ def cluster(df: DataFrame, threshold: float = THRESHOLD, vec: str = "vec_id", ve
     nodes = distinct_vectors(good)
     fitted = centers(nodes)
     most = max((len(c) for c in fitted.values()), default=1)
-    overlap = min(OVERLAP, most)
+    overlap, repaired = min(OVERLAP, most), frozenset()
     while True:
         dealt = stored(deal(nodes, fitted, overlap))
         shard = ["label", "dim", "center"]
@@ -390,15 +399,20 @@ def cluster(df: DataFrame, threshold: float = THRESHOLD, vec: str = "vec_id", ve
         every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
         stores = members.join(lists, "node").withColumn("slice", every)
         asks = members.select(*shard, "node", "vector", "cuts", F.col("cut").alias("slice")).withColumn("cut", every)
-        found = stored(search(stores, asks.toDF(*asks.columns), threshold))
+        found = stored(search(stores, asks.toDF(*asks.columns), threshold, repaired))
         counts = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
         recall = audit(nodes, counts, threshold)
         if recall >= RECALL:
             break
-        if overlap >= most:
-            # Every vector has searched all shards of its label by products.
+        if overlap < most:
+            overlap = min(most, 2 * overlap)
+            continue
+        # Every vector has searched all shards of its label, so the walks missed something.
+        short = {(label, dim) for label, dim, n, hits in tally(nodes, counts, threshold) if hits < n} - repaired
+        if not short:
             raise RuntimeError(f"recall {recall:.4f} of {RECALL} with every shard searched")
-        overlap = min(most, 2 * overlap)
+        logging.getLogger(__name__).warning("recall %.4f: %d labels repaired by products", recall, len(short))
+        repaired |= short
     label_of = components(found.where("u is not null").select("u", "v"))
     named = (nodes.join(label_of, "node", "left").join(counts, "node", "left")
              .select("label", "vector", "node", "least", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),

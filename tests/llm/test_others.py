@@ -132,6 +132,22 @@ def test_every_pass_is_audited(spark, monkeypatch):
         vector_graph.cluster(spark.createDataFrame(made_vectors(160), VECTORS))
 
 
+def test_hits_come_from_the_graph(spark, monkeypatch):
+    """Without neighbours the walks miss links; the audit sees it and only then products repair the label."""
+    rows = made_vectors(1200, seed=2)
+    df = spark.createDataFrame(rows, VECTORS)
+    want = naive_links(rows)
+    asked = []
+    real_search, real_audit = vector_graph.search, vector_graph.audit
+    monkeypatch.setattr(vector_graph, "search", lambda *a: asked.append(a[3]) or real_search(*a))
+    assert answer(df) == want and asked == [frozenset()]
+    monkeypatch.setattr(vector_graph, "build", lambda x: [np.zeros(0, np.int64)] * len(x))
+    asked.clear()
+    assert answer(df) == want and asked == [frozenset(), frozenset({("0", 8), ("1", 8)})]
+    monkeypatch.setattr(vector_graph, "audit", lambda *a: min(1.0, 1.0 + real_audit(*a)))
+    assert answer(df) != want
+
+
 def test_audit_counts_queries(spark):
     """A hot group with all its links does not hide pairs that were missed."""
     hot = [(0, [1.0, 0.001 * i, 0.0]) for i in range(60)]
