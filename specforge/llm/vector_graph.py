@@ -47,7 +47,7 @@ LONG = 8             # candidates for long edges, anywhere in the shard
 ENTRIES = 64         # nodes where a search may enter
 ENTER = 4            # nearest of them where it does
 ALPHA = 1.2          # a neighbour goes if another is so many times closer to it
-BEAM = 16            # best vectors a greedy search keeps
+BEAM = 8             # best vectors a greedy search keeps
 SLACK = 0.1          # below the threshold by so much, the range search still goes on
 AUDITED = 400        # queries of the audit
 RECALL = 0.99
