@@ -416,6 +416,30 @@ def keyset_page(t):
     return search.keyset_page(t.orders, "o_orderkey", 500, 40, C("o_orderstatus") != "F").select("o_orderkey")
 
 
+@query("seek_ordered", "Q5", """SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50""")
+def seek_ordered(t):
+    return _third_page(lambda at: search.seek_page(t.orders, _BY_DATE, 25, at), _BY_DATE).select("o_orderkey", "o_orderdate")
+
+
+@query("seek_search", "Q1", """SELECT id, brand_name, weight FROM products WHERE surface_type IN ('road', 'trail') ORDER BY weight ASC NULLS FIRST, id LIMIT 40 OFFSET 80""")
+def seek_search(t):
+    p = SearchParams(surface=("road", "trail"), sort="weight_asc", page_size=40)
+    return _third_page(lambda at: search.search_seek(t.products, p, at), search.seek_order(p, "id")).select("id", "brand_name", "weight")
+
+
+_BY_DATE = [("o_orderdate", "desc"), ("o_orderkey", "asc")]
+
+
+def _third_page(page, order):
+    """Two cursors, one row each, lead to the third page; behind the last page there is nothing."""
+    at = None
+    for _ in range(2):
+        at = search.next_cursor(page(at), order)
+        if at is None:
+            return page(None).limit(0)
+    return page(at)
+
+
 @query("newest_rows", "Q7", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
 def newest_rows(t):
     return search.newest(t.orders, "o_orderdate", "o_orderkey", 50).select("o_orderkey")

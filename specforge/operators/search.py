@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -128,6 +129,64 @@ def keyset_page(df: DataFrame, key: str, cursor, size: int,
     return df.orderBy(key).limit(size)
 
 
+def seek_page(df: DataFrame, order: Sequence[tuple[str, str]], size: int, cursor: dict | None = None) -> DataFrame:
+    """The next `size` rows behind a compound cursor; `order` lists (column, "asc" or "desc").
+
+    Nulls come first in ascending and last in descending columns, as in `search`.
+    The last column of the order must tell rows apart, or rows that tie with the
+    cursor are passed over.  Every task keeps one page, whatever the depth; the
+    bound on the first column stands alone, so that it reaches the file scan.
+    """
+    if cursor is not None:
+        df = df.filter(_behind(df, order, cursor))
+    return df.orderBy(*[F.col(c).asc_nulls_first() if way == "asc" else F.col(c).desc_nulls_last()
+                        for c, way in order]).limit(size)
+
+
+def _behind(df: DataFrame, order: Sequence[tuple[str, str]], cursor: dict) -> Column:
+    """Rows whose sort key comes after the cursor's."""
+    def after(name: str, way: str) -> Column:
+        c, v = F.col(name), cursor[name]
+        if v is None:
+            return c.isNotNull() if way == "asc" else F.lit(False)
+        v = F.lit(v).cast(df.schema[name].dataType)
+        return F.coalesce(c > v, F.lit(False)) if way == "asc" else (c < v) | c.isNull()
+
+    for _, way in order:
+        if way not in ("asc", "desc"):
+            raise ValueError(f"order: {way}")
+    behind = F.lit(False)
+    for name, way in reversed(order):
+        v = cursor[name]
+        same = F.col(name).isNull() if v is None else F.coalesce(
+            F.col(name) == F.lit(v).cast(df.schema[name].dataType), F.lit(False))
+        behind = after(name, way) | (same & behind)
+    name, way = order[0]
+    if cursor[name] is None:
+        return behind if way == "asc" else F.col(name).isNull() & behind
+    v = F.lit(cursor[name]).cast(df.schema[name].dataType)
+    return (F.col(name) >= v if way == "asc" else (F.col(name) <= v) | F.col(name).isNull()) & behind
+
+
+def next_cursor(page: DataFrame, order: Sequence[tuple[str, str]]) -> dict | None:
+    """Sort values of a page's last row; null where the page is empty.  One row reaches the driver."""
+    turned = [F.col(c).desc_nulls_last() if way == "asc" else F.col(c).asc_nulls_first() for c, way in order]
+    row = page.select(*[c for c, _ in order]).orderBy(*turned).first()
+    return None if row is None else row.asDict()
+
+
+def seek_order(p: SearchParams, tie: str) -> list[tuple[str, str]]:
+    """The order of a search as `seek_page` takes it."""
+    field, _, way = p.sort.rpartition("_")
+    return [(field, way), (tie, "asc")]
+
+
+def search_seek(df: DataFrame, p: SearchParams, cursor: dict | None = None, tie: str = "id",
+                strict_ranges: bool = False) -> DataFrame:
+    """The page of a search behind a cursor; `p.page` is not used."""
+    return seek_page(matching(df, p, strict_ranges), seek_order(p, tie), p.page_size, cursor)
+
+
 def newest(df: DataFrame, created: str, tie: str, k: int) -> DataFrame:
     return df.orderBy(F.col(created).desc(), F.col(tie).desc()).limit(k)
 
