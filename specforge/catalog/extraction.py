@@ -11,7 +11,7 @@ from specforge.functions import text
 from specforge.functions import regex as rx
 from specforge.operators import blocks, dedup, fallback, normalize, profile, tables, windows
 from specforge.plans import article_specs, candidates, products
-from specforge.sources import pages
+from specforge.sources import grids, pages
 
 C = F.col
 J = lambda c: F.array_join(c, "|")
@@ -259,6 +259,40 @@ def comparison_tables(t):
         "p_partkey", "model_no", "m.model_name", "m.weight_g", "m.heel_mm", "m.forefoot_mm", "m.drop_mm", "m.price_usd", "confidence", "labels")
 
 
+def _spanned(t):
+    """Every page with a table of spanning cells and a nested one behind its own html."""
+    k = C("page_id")
+    n = lambda base, mod: (F.lit(base) + k % mod).cast("string")
+    table = F.concat(
+        F.lit('<table><thead><tr><th>Spec<th colspan="2">Pace '), k.cast("string"), F.lit("</thead><tr><td rowspan=2>Weight<td>"),
+        n(200, 90), F.lit(" g</td><td>"), n(210, 70), F.lit(" g<tr><td colspan=2>see <table><tr><td>in "), n(0, 7),
+        F.lit("</table> note</tr><tbody><tr><td>Drop<td colspan=2>"), n(4, 9), F.lit(" mm<tr><td>Retail price<td>$"), n(90, 50), F.lit("<td>"),
+        F.lit("n/a</table>"))
+    return grids.page_grids(t.pages.select("page_id", F.concat(F.coalesce(C("html"), F.lit("")), table).alias("html")), ["page_id"])
+
+
+_ID = "cast(page_id AS varchar)"
+
+
+@query("page_grids", "S10,E16", f"""SELECT page_id, 0 AS table_no, 0 AS depth, 3 AS columns, 'Spec|Pace ' || {_ID} || '|Pace ' || {_ID} || chr(10) ||
+ 'Weight|' || (200 + page_id % 90) || ' g|' || (210 + page_id % 70) || ' g' || chr(10) || 'Weight|see note|see note' || chr(10) ||
+ 'Drop|' || (4 + page_id % 9) || ' mm|' || (4 + page_id % 9) || ' mm' || chr(10) || 'Retail price|$' || (90 + page_id % 50) || '|n/a' AS cells FROM pages
+ UNION ALL SELECT page_id, 1, 1, 1, 'in ' || (page_id % 7) FROM pages""")
+def page_grids(t):
+    df = _spanned(t).select("page_id", F.posexplode("grids").alias("table_no", "g"))
+    return df.select("page_id", "table_no", "g.depth", F.size(F.get("g.cells", F.lit(0))).alias("columns"),
+                     F.array_join(F.transform("g.cells", J), "\n").alias("cells"))
+
+
+@query("grid_comparisons", "E16,S10", f"""SELECT page_id, i AS model_no, 'Pace ' || {_ID} AS model_name,
+ cast(CASE i WHEN 0 THEN 200 + page_id % 90 ELSE 210 + page_id % 70 END AS double) AS weight_g, cast(4 + page_id % 9 AS double) AS drop_mm,
+ CASE i WHEN 0 THEN cast(90 + page_id % 50 AS double) END AS price_usd, 0.6::double AS confidence FROM pages, (SELECT unnest([0, 1]) AS i)""")
+def grid_comparisons(t):
+    df = _spanned(t).withColumn("c", tables.comparison(F.transform("grids", lambda g: g["cells"])))
+    return df.select("page_id", "c.confidence", F.posexplode("c.models").alias("model_no", "m")).select(
+        "page_id", "model_no", "m.model_name", "m.weight_g", "m.drop_mm", "m.price_usd", "confidence")
+
+
 # --- article results ----------------------------------------------------------------
 
 def _article_inputs(t):
