@@ -1,21 +1,26 @@
 """Layout-aware text of HTML pages (operator 7).
 
 A tree builder with implied end tags reads the tokens of the standard parser;
-visibility rules drop what a browser does not show (head matter, scripts, hidden
-and collapsed elements, comments) and, though it is shown, aria-hidden elements,
-MathML, text in svg, textarea contents and select options; the renderer emits every visible text with
-blank lines between blocks, list marks and numbers, kept line breaks in
-preformatted text, and table cells aligned to columns.
+visibility rules drop what a browser does not show (head matter, scripts, hidden and
+collapsed elements, closed dialogs and details, definitions in svg, comments) and,
+though it is shown, aria-hidden elements, textarea contents and select options; the
+renderer emits every other visible text with blank lines between blocks, list marks
+and numbers, kept line breaks in preformatted text, values of buttons and text
+fields, and table cells aligned to columns, spans included.
 
 Null html gives null; empty or broken html gives the text that can be read.
-Nesting is followed without recursion.  Repeated rows give equal texts, empty
-tables an empty result; extra columns are carried through, one of the result's
-name is replaced.
+Nesting is followed without recursion, and an open element is found by its name, so
+time is linear in the page at any depth.  Lists are indented up to INDENTS levels,
+columns padded up to PADDED characters, and in tables within more than NESTED tables
+cells stand below each other, so that layout stays linear too; text is never cut.  Repeated rows give equal texts, empty tables an empty result; extra
+columns are carried through, one of the result's name is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,8 +33,15 @@ from specforge.llm.common import batch_of, column, fresh
 
 # --- fixed values: element classes of the HTML standard -------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object svg math canvas audio video "
+UNSEEN = frozenset("head title script style template noscript iframe object canvas audio video "
                    "datalist select option textarea noframes".split())
+# Unseen in svg or math; of svg itself only these elements show text.
+FOREIGN_UNSEEN = frozenset("defs symbol clippath mask pattern marker metadata desc lineargradient radialgradient filter "
+                           "annotation annotation-xml".split())
+SVG_TEXT = frozenset({"text", "foreignobject"})
+# Inputs that show their value, and parts of formulas that stand apart.
+VALUED = frozenset("text search email url tel number button submit reset".split())
+APART = frozenset("mfrac mroot mtable mtr".split())
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary "
                    "table ul caption tr thead tbody tfoot legend center".split())
@@ -46,7 +58,7 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "tr", "thead", "tbody", "tfoot", "caption", "summary", "legend"}
+ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "tr", "thead", "tbody", "tfoot", "caption", "legend"}
 # Their start tags close all such elements up to the border, whatever lies between.
 TABULAR = frozenset("tr td th thead tbody tfoot".split())
 FOREIGN = frozenset({"svg", "math"})
@@ -55,18 +67,34 @@ HTML_POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mte
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
                      "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button", "object", "template"})
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+# --------------------------------------------------------------------------------------
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+LISTS = frozenset({"ul", "ol", "menu"})
+INDENTS, PADDED, NESTED = 32, 80, 16
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Element:
-    __slots__ = ("tag", "items", "start", "seen")
+    """`seen` is false where nothing inside shows, `shown` null where visibility is inherited."""
+
+    __slots__ = ("tag", "items", "start", "seen", "shown", "closed", "wide", "high")
 
     def __init__(self, tag: str, start: int = 1, seen: bool = True):
         self.tag, self.start, self.seen = tag, start, seen
+        self.shown: bool | None = None
+        self.closed, self.wide, self.high = False, 1, 1
         self.items: list[Element | str] = []
 
 
+def _number(value: str | None, least: int, most: int) -> int:
+    """A span attribute; one where it is no number or below the least."""
+    value = (value or "").strip()
+    if not re.fullmatch(r"[0-9]{1,9}", value):
+        return 1
+    return min(int(value), most) if int(value) >= least else 1
+
+
 class Builder(HTMLParser):
     """Tokens to a tree; end tags that the standard lets out are supplied."""
 
@@ -76,91 +104,105 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html")
         self.open = [self.root]
+        # Positions in `open` below the root, by tag, ascending.
+        self.places: dict[str, list[int]] = defaultdict(list)
         self.foreign = False    # whether the page has svg or math
 
+    def _push(self, e: Element) -> None:
+        self.places[e.tag].append(len(self.open))
+        self.open.append(e)
+
+    def _cut(self, k: int) -> None:
+        """Close the open elements from position k on."""
+        while len(self.open) > k:
+            self.places[self.open.pop().tag].pop()
+
+    def _last(self, tags) -> int:
+        """The position of the innermost open element of these tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def _close(self, tags, borders) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in borders:
-                return
-            if self.open[k].tag in tags:
-                # The outermost such element below the border.
-                while k > 1 and self.open[k - 1].tag in tags:
-                    k -= 1
-                del self.open[k:]
-                return
+        k = self._last(tags)
+        if k and k > self._last(borders):
+            # The outermost such element that directly holds the others.
+            while k > 1 and self.open[k - 1].tag in tags:
+                k -= 1
+            self._cut(k)
 
     def _close_all(self, tags, borders) -> None:
-        outermost = None
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in borders:
-                break
-            if self.open[k].tag in tags:
-                outermost = k
-        if outermost:
-            del self.open[outermost:]
+        border = self._last(borders)
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, border)) < len(p)]
+        if found:
+            self._cut(min(found))
 
     def _foreign(self) -> int:
         """The position of the open svg or math whose rules hold here, or 0."""
-        at = 0
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in HTML_POINTS:
-                break
-            if self.open[k].tag in FOREIGN:
-                at = k
-        return at
+        border = self._last(HTML_POINTS)
+        return min((p[k] for t in FOREIGN if (p := self.places.get(t)) and (k := bisect_right(p, border)) < len(p)), default=0)
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
         if tag in BREAKOUT and self.foreign and (at := self._foreign()):
-            del self.open[at:]
+            self._cut(at)
         if tag in FOREIGN:
             self.foreign = True
         if tag in TABULAR:
             self._close_all(*IMPLIED[tag])
         elif tag in IMPLIED:
             self._close(*IMPLIED[tag])
-        if tag in ("td", "th"):
-            row = next((e.tag for e in reversed(self.open) if e.tag in ("tr", "table")), None)
-            if row == "table":
-                self.handle_starttag("tr", [])
+        if tag in ("td", "th") and self._last({"table"}) > self._last({"tr"}):
+            self.handle_starttag("tr", [])
         if tag in ENDS_P or tag in ("li", "dd", "dt"):
             self._close({"p"}, SCOPE | {"li", "dd", "dt"} if tag in ("li", "dd", "dt") else SCOPE)
         if tag not in UNSEEN and self.open[-1].tag == "head" and tag not in VOID:
-            self.open.pop()
-        values = dict(attrs)
-        seen = not (tag in UNSEEN or "hidden" in values or values.get("aria-hidden") == "true"
-                    or (tag == "input") or HIDDEN_STYLE.search(values.get("style") or ""))
-        start = values.get("start") or "1"
-        e = Element(tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, bool(seen))
+            self._cut(len(self.open) - 1)
+        e = self._element(tag, dict(attrs))
         self.open[-1].items.append(e)
         if tag not in VOID:
-            self.open.append(e)
+            self._push(e)
+
+    def _element(self, tag: str, values: dict) -> Element:
+        style = {k.lower(): v.lower() for k, v in STYLE.findall(values.get("style") or "")}
+        inner = self.foreign and tag in FOREIGN_UNSEEN and self._last(FOREIGN)
+        unseen = (tag in UNSEEN or inner or "hidden" in values or values.get("aria-hidden") == "true"
+                  or style.get("display") == "none" or tag == "dialog" and "open" not in values)
+        start = values.get("start") or "1"
+        e = Element(tag, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1, not unseen)
+        e.shown = {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(style.get("visibility"))
+        e.closed = tag == "details" and "open" not in values
+        if tag in ("td", "th"):
+            e.wide = _number(values.get("colspan"), 1, MOST_COLUMNS)
+            e.high = _number(values.get("rowspan"), 0, MOST_ROWS)
+        elif tag == "input" and (values.get("type") or "text").lower() in VALUED and values.get("value"):
+            e.items.append(values["value"])
+        return e
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         # Only svg, math and what is in them can close themselves.
         if self.foreign and tag not in VOID and self.open[-1].tag == tag:
-            e = self.open.pop()
+            e = self.open[-1]
+            self._cut(len(self.open) - 1)
             if tag not in FOREIGN and not self._foreign():
-                self.open.append(e)
+                self._push(e)
 
     def handle_endtag(self, tag):
         if tag in VOID:
             if tag == "br":
                 self.open[-1].items.append(Element("br"))
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            # A stray end tag does not leave the table cell it stands in.
-            if self.open[k].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "thead", "tbody", "tfoot", "table", "body"):
-                return
+        k = self._last({tag})
+        if not k:
+            return
+        # A stray end tag does not leave the table cell it stands in.
+        if tag not in ("td", "th", "tr", "thead", "tbody", "tfoot", "table", "body") and self._last(("td", "th", "table")) > k:
+            return
+        self._cut(k)
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self.open[-1].items.append(data)
 
 
@@ -213,113 +255,175 @@ class Page:
         self.blank = self.blank or spaced
 
 
+class Frame:
+    """An element being rendered, with what it inherits from those around it."""
+
+    __slots__ = ("e", "at", "out", "state", "kept", "shown", "art", "drawn", "owner", "item", "depth", "row", "table", "tables", "summary")
+
+    def __init__(self, e: Element, out: Page, up: Frame | None = None):
+        self.e, self.at, self.out, self.state, self.summary = e, 0, out, None, False
+        self.kept = e.tag == "pre" or up is not None and up.kept
+        self.shown = e.shown if e.shown is not None else up is None or up.shown
+        # Whether bare text is not drawn: in svg, outside its text elements.
+        self.art = e.tag == "svg" or up is not None and up.art and e.tag not in SVG_TEXT
+        self.tables = 0 if up is None else up.tables + (e.tag == "table")
+        # Set apart like a block: text elements of svg, cells that are not aligned.
+        self.drawn = up is not None and (e.tag == "text" and up.art or e.tag in ("td", "th") and up.tables > NESTED)
+        # The list, row and table it stands in, and whether a list item is open around it.
+        self.owner = up and (up if up.e.tag in LISTS else up.owner)
+        self.item = up is not None and (up.item or up.e.tag == "li")
+        self.depth = 0 if up is None else up.depth + (up.e.tag in LISTS)
+        self.row = None if e.tag == "table" or self.tables > NESTED else e if e.tag == "tr" else up and up.row
+        self.table = up and (up if up.e.tag == "table" else up.table)
+
+
 def render(root: Element) -> str:
     """The visible text of a tree."""
     page = Page()
-    # (element, position, page, list number); tables get pages for their cells.
-    stack: list[list] = [[root, 0, page, None, False]]
+    stack = [Frame(root, page)]
     results: dict[int, list] = {}
     while stack:
         frame = stack[-1]
-        e, at, out, state, kept = frame
-        if at == 0:
-            _open(e, out, frame, stack)
-            kept, state = frame[4], frame[3]
-        if at < len(e.items):
-            frame[1] = at + 1
-            item = e.items[at]
+        e, out = frame.e, frame.out
+        if frame.at == 0:
+            _open(frame)
+        if frame.at < len(e.items):
+            item = e.items[frame.at]
+            frame.at += 1
             if isinstance(item, str):
-                if e.tag not in ("table", "tr", "thead", "tbody", "tfoot", "ul", "ol") or item.strip():
-                    out.text(item, kept)
-            elif item.seen:
-                if item.tag == "br":
-                    out.end()
-                elif item.tag == "img" or item.tag in VOID and item.tag != "hr":
-                    pass
-                elif item.tag in ("td", "th") and (row := _row(stack)) is not None:
-                    cell = Page()
-                    results.setdefault(id(row), []).append(cell)
-                    stack.append([item, 0, cell, None, kept])
-                else:
-                    stack.append([item, 0, out, None, kept])
+                if frame.shown and not frame.art and not e.closed and (
+                        e.tag not in ("table", "tr", "thead", "tbody", "tfoot", "ul", "ol") or item.strip()):
+                    out.text(item, frame.kept)
+                continue
+            if not item.seen:
+                continue
+            if e.closed:
+                # Of closed details the first summary shows.
+                if item.tag != "summary" or frame.summary:
+                    continue
+                frame.summary = True
+            if item.tag == "br":
+                out.end()
+            elif item.tag in VOID and item.tag != "hr":
+                if item.items and (frame.shown if item.shown is None else item.shown):
+                    out.text(f" {item.items[0]} ", False)
+            elif item.tag in ("td", "th") and frame.row is not None:
+                cell = Page()
+                results.setdefault(id(frame.row), []).append((item, cell))
+                stack.append(Frame(item, cell, frame))
+            else:
+                stack.append(Frame(item, out, frame))
             continue
         stack.pop()
         if e.tag == "tr" and id(e) in results:
-            table = next((f for f in reversed(stack) if f[0].tag == "table"), None)
             row = []
-            for cell in results.pop(id(e)):
+            for item, cell in results.pop(id(e)):
                 cell.end()
-                row.append([x for x in cell.lines if x] or [""])
-            if table is None:
+                row.append((item.wide, item.high, [x for x in cell.lines if x] or [""]))
+            if frame.table is None:
                 out.end()
-                for lines in row:
+                for _, _, lines in row:
                     out.lines += lines
             else:
-                table[3].append(row)
+                frame.table.state.append(row)
+        elif e.tag in ("thead", "tbody", "tfoot") and frame.table is not None:
+            frame.table.state.append(None)
         elif e.tag == "table":
-            _table(frame[3] or [], out)
-        _close(e, out, frame)
+            _table(frame.state or [], out)
+        _close(frame)
+        if stack and stack[-1].e.tag in APART and out.line:
+            out.space = True
     page.end()
     return "\n".join(page.lines).strip("\n")
 
 
-def _row(stack: list) -> Element | None:
-    """The nearest open row of the nearest table; forms and links may lie between."""
-    row = None
-    for f in reversed(stack):
-        if f[0].tag == "tr" and row is None:
-            row = f[0]
-        elif f[0].tag == "table":
-            return row
-    return None
-
-
-def _open(e: Element, out: Page, frame: list, stack: list) -> None:
-    if e.tag in BLOCKS:
-        nested = e.tag in ("ul", "ol", "menu") and any(f[0].tag == "li" for f in stack[:-1])
-        out.end(e.tag in SPACED and not nested)
-    if e.tag in ("ul", "ol", "menu"):
-        frame[3] = (out.prefix, e.start)
-        out.prefix += "  " if any(f[0].tag in ("ul", "ol", "menu") for f in stack[:-1]) else ""
+def _open(frame: Frame) -> None:
+    e, out = frame.e, frame.out
+    if e.tag in BLOCKS or frame.drawn:
+        out.end(e.tag in SPACED and not (e.tag in LISTS and frame.item))
+    if e.tag in ("thead", "tbody", "tfoot") and frame.table is not None:
+        frame.table.state.append(None)
+    if e.tag in LISTS:
+        frame.state = (out.prefix, e.start)
+        out.prefix += "  " if 0 < frame.depth <= INDENTS else ""
     elif e.tag == "li":
-        owner = next((f for f in reversed(stack[:-1]) if f[0].tag in ("ul", "ol", "menu")), None)
-        if owner is not None and owner[0].tag == "ol":
-            out.mark = f"{owner[3][1]}. "
-            owner[3] = (owner[3][0], owner[3][1] + 1)
+        owner = frame.owner
+        if owner is not None and owner.e.tag == "ol":
+            out.mark = f"{owner.state[1]}. "
+            owner.state = (owner.state[0], owner.state[1] + 1)
         else:
             out.mark = "- "
-    elif e.tag == "pre":
-        frame[4] = True
     elif e.tag == "table":
-        frame[3] = []
-    elif e.tag == "hr":
-        out.end()
+        frame.state = []
 
 
-def _close(e: Element, out: Page, frame: list) -> None:
-    if e.tag in ("ul", "ol", "menu"):
-        out.end(frame[3][0] == "" and out.prefix == "")
-        out.prefix = frame[3][0]
-    elif e.tag in BLOCKS:
+def _close(frame: Frame) -> None:
+    e, out = frame.e, frame.out
+    if e.tag in LISTS:
+        out.end(frame.state[0] == "" and out.prefix == "")
+        out.prefix = frame.state[0]
+    elif e.tag in BLOCKS or frame.drawn:
         out.end(e.tag in SPACED)
     if e.tag == "li":
         out.mark = ""
 
 
-def _table(rows: list[list[list[str]]], out: Page) -> None:
+def _places(rows: list) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of (column, end column, lines); cells that reach down push later ones to the right.
+
+    A null row ends a group of rows and with it all spans over rows.
+    """
+    out: list = []
+    down: dict[int, tuple[int, float]] = {}     # start column: end column, last row
+    for row in rows:
+        if row is None:
+            down = {}
+            continue
+        at, placed, n = 0, [], len(out)
+        for wide, high, lines in row:
+            while at in down and down[at][1] >= n:
+                at = down[at][0]
+            placed.append((at, at + wide, lines))
+            if high != 1:
+                down[at] = (at + wide, n + high - 1 if high else float("inf"))
+            at += wide
+        out.append(placed)
+    return out
+
+
+def _table(rows: list, out: Page) -> None:
     """Cells as columns of equal width, two blanks apart; a cell's lines below each other."""
     out.end()
-    if not rows:
+    placed = [row for row in _places(rows) if row]
+    if not placed:
         return
     if out.blank and out.lines:
         out.lines.append("")
     out.blank = False
-    widths = [max((len(line) for r in rows if k < len(r) for line in r[k]), default=0)
-              for k in range(max(map(len, rows)))]
-    for row in rows:
-        for line in range(max(len(cell) for cell in row)):
-            cells = [(cell[line] if line < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)]
-            out.lines.append((out.prefix + "  ".join(cells)).rstrip())
+    starts = sorted({at for row in placed for at, _, _ in row})
+    widths = [0] * len(starts)
+    cells = [(bisect_left(starts, at), bisect_left(starts, end), min(PADDED, max(map(len, lines))))
+             for row in placed for at, end, lines in row]
+    for k, end, wide in cells:
+        if end <= k + 1:
+            widths[k] = max(widths[k], wide)
+    for k, end, wide in cells:
+        # What a spanning cell needs beyond its columns widens the last of them.
+        if end > k + 1:
+            widths[end - 1] += max(0, wide - sum(widths[k:end]) - 2 * (end - 1 - k))
+    offsets, total = {}, 0
+    for at, wide in zip(starts, widths, strict=True):
+        offsets[at] = total
+        total += wide + 2
+    for row in placed:
+        for line in range(max(len(lines) for _, _, lines in row)):
+            parts, length = [], 0
+            for at, _, lines in row:
+                if line < len(lines) and lines[line]:
+                    gap = max(offsets[at] - length, 2 if length else 0)
+                    parts += [" " * gap, lines[line]]
+                    length += gap + len(lines[line])
+            out.lines.append((out.prefix + "".join(parts)).rstrip())
 
 
 def page_text(html: str) -> str:

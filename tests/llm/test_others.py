@@ -289,6 +289,50 @@ def test_every_cell_and_what_follows_closed_elements(html, text):
     assert text is None or got == text
 
 
+SHOWN = [
+    # visibility is inherited, and may be set back inside; a later declaration counts
+    ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d", "b\nd"),
+    ("<p style='visibility:collapse'>a<i>b</i></p>c", "c"), ("<p style='display:none;display:block'>a", "a"),
+    ("<p style='content-visibility:hidden'>a", "a"),
+    # closed and open details and dialogs
+    ("<details><p>no<summary>a</summary>no<summary>no</summary></details>b", "a\nb"),
+    ("<details open><summary>a</summary>b</details>", "a\nb"), ("<dialog>no</dialog><dialog open>a</dialog>", "a"),
+    # values of buttons and text fields
+    ("<p>a<input type=submit value='Send it'>b<input type=hidden value=no><input value=c>", "a Send it b c"),
+    # formulas and text in drawings
+    ("<p>a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> b", "a x=1 2 b"),
+    ("<p>a<svg><title>no</title>no<defs><text>no</text></defs><text>b <tspan>c</tspan></text><text>d</text></svg>e", "a\nb c\nd\ne"),
+    ("<svg><foreignObject><p>a</p></foreignObject></svg><text>b</text>c", "a\n\nbc"),
+    # cells over columns and rows
+    ("<table><tr><th colspan=2>head<th>x<tr><td>a<td>b<td>c</table>", "head  x\na  b  c"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td colspan=2>a long head<tr><td>a<td>b<td>c</table>", "a long head\na  b         c"),
+    ("<table><tr><td colspan=0>a<td rowspan=x>b</table>", "a  b"),
+    # a wide cell pushes what follows it and does not pad other rows beyond the bound
+    (f"<table><tr><td>{'w' * 300}<td>x<tr><td>y<td>z</table>", "w" * 300 + "  x\ny" + " " * 81 + "z"),
+]
+
+
+@pytest.mark.parametrize("html,text", SHOWN)
+def test_shown_and_unseen(html, text):
+    assert html_text.page_text(html) == text
+
+
+@pytest.mark.parametrize("part", ["<div>word ", "<ul><li>word ", "<table><tr><td>word ", "<p><b>word ", "<button><p>word ", "<svg><g><text>word ",
+                                  "<object></b>", "<dl><dd>word ", "<details open><div>word ", "<li><p>word "])
+def test_deep_pages_take_linear_time(part):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert html_text.page_text(part * n).count("word") in (0, n)
+        return time.perf_counter() - start
+    seconds(500)
+    assert seconds(20_000) < 8 * min(seconds(5_000), seconds(5_000)) + 0.5
+    assert seconds(20_000) < 5
+
+
 def test_deep_and_long_pages():
     assert html_text.page_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert html_text.page_text("<p>word " * 20_000).count("word") == 20_000
