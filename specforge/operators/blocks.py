@@ -251,7 +251,7 @@ def mark_heights(content: Column, word: str) -> Column:
         named = F.regexp_instr(line, F.lit(rx.java(word)))
         start = F.least(number, named)
         rest = F.substring(line, start, F.length(line))
-        to = lambda p: F.regexp_extract(rest, f"(?is)^(.*{p})", 1)
+        to = lambda p: F.regexp_extract(rest, f"(?is)^(.*{rx.java(p, '')})", 1)
         body = F.when(number < named, to(word)).otherwise(to(mm))
         return F.concat(F.substring(line, F.lit(1), start - 1), F.lit(OPEN), body, F.lit(MID),
                         F.substring(rest, F.length(body) + 1, F.length(line)))
