@@ -208,7 +208,7 @@ def fetch_by_ids(t):
 def stream_ingest(t):
     schema = "source_id bigint, id bigint, price double"
     base = exports.shared_dir(t.spark)
-    stream = ingest.file_stream(t.spark, t.folder, t.orders.schema, "orders.parquet")
+    stream = ingest.table_stream(t.spark, f"{t.folder}/orders.parquet", t.orders.schema)
     table = exports.VersionedTable(t.spark, f"{base}/table")
     shape = lambda b: b.select(C("o_custkey").alias("source_id"), C("o_orderkey").alias("id"), C("o_totalprice").alias("price"))
     ingest.ingest(stream, shape, table, schema, f"{base}/checkpoint", "id", ["source_id"])
@@ -224,7 +224,7 @@ def late_counts(t):
 @query("stream_dedup", "T2", "SELECT event_id, user_id FROM events")
 def stream_dedup(t):
     base = exports.shared_dir(t.spark)
-    stream = ingest.file_stream(t.spark, t.folder, t.events.schema, "events.parquet").withColumn("ts", C("ts").cast("timestamp"))
+    stream = ingest.table_stream(t.spark, f"{t.folder}/events.parquet", t.events.schema).withColumn("ts", C("ts").cast("timestamp"))
     stream = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))  # every event comes twice
     kept = ingest.drop_late(stream, "ts", "event_id", "30 days").select("event_id", "user_id")
     q = (kept.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
@@ -270,7 +270,7 @@ def stream_articles(t):
               "heel_height double, forefoot_height double, drop double, weight double, price double, carbon_plate boolean, " \
               "waterproof boolean, primary_use string, surface_type string, date string, source_link string"
     table = partitions.PartitionedTable(t.spark, f"{base}/products", columns, "block_no")
-    stream = articles_of(ingest.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet"))
+    stream = articles_of(ingest.table_stream(t.spark, f"{t.folder}/documents.parquet", t.documents.schema))
     flow = lambda batch: products.article_products(batch, unheaded=False, fold=False).select(*table.schema.names[:-1])
     partitions.ingest(stream, flow, table, f"{base}/checkpoint")
     return table.read().drop("source_id")

@@ -19,6 +19,14 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of part files.
+
+    The path is given as a pattern of itself: a file stream takes a plain path for a folder.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], table: VersionedTable,
            schema, checkpoint: str, position: str, keys: Sequence[str] = ROW_KEY):
     """Run all available input through `transform` into the table, then stop.
