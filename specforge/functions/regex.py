@@ -92,6 +92,14 @@ def pick(c: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
     return F.nullif(F.regexp_extract(c, java(pattern, flags), group), F.lit(""))
 
 
+def pick_num(c: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
+    """First match's group as a number; the empty text of no match is no number.
+
+    `pick` compares its value with '', which inside a lambda scans the text twice.
+    """
+    return F.regexp_extract(c, java(pattern, flags), group).try_cast("double")
+
+
 def pick_all(c: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
     return F.regexp_extract_all(c, F.lit(java(pattern, flags)), F.lit(group))
 

@@ -247,17 +247,23 @@ def mark_heights(content: Column, word: str) -> Column:
     mm = r"\d{2}\s*mm"
 
     def mark(line):
-        number = F.regexp_instr(line, F.lit(rx.java(mm)))
-        named = F.regexp_instr(line, F.lit(rx.java(word)))
-        start = F.least(number, named)
-        rest = F.substring(line, start, F.length(line))
-        to = lambda p: F.regexp_extract(rest, f"(?is)^(.*{rx.java(p, '')})", 1)
-        body = F.when(number < named, to(word)).otherwise(to(mm))
-        return F.concat(F.substring(line, F.lit(1), start - 1), F.lit(OPEN), body, F.lit(MID),
-                        F.substring(rest, F.length(body) + 1, F.length(line)))
-    lines = F.split(_clean(content), r"(?<=[\n\r\x{2028}\x{2029}])")
-    return F.array_join(F.transform(lines, lambda x: F.when(
-        F.contains(F.lower(x), F.lit(word)) & rx.test(x, mm), mark(x)).otherwise(x)), "")
+        def cut(at, rest):
+            to = lambda p: F.regexp_extract(rest, f"(?is)^(.*{rx.java(p, '')})", 1)
+            body = F.when(at["number"] < at["named"], to(word)).otherwise(to(mm))
+            return text.let(body, lambda b: F.concat(
+                F.substring(line, F.lit(1), F.least(at["number"], at["named"]) - 1), F.lit(OPEN), b, F.lit(MID),
+                F.substring(rest, F.length(b) + 1, F.length(line))))
+        places = F.struct(F.regexp_instr(line, F.lit(rx.java(mm))).alias("number"),
+                          F.regexp_instr(line, F.lit(rx.java(word))).alias("named"))
+        return text.let(places, lambda at: text.let(
+            F.substring(line, F.least(at["number"], at["named"]), F.length(line)), lambda rest: cut(at, rest)))
+
+    def by_line(clean):
+        lines = F.split(clean, r"(?<=[\n\r\x{2028}\x{2029}])")
+        marked = F.array_join(F.transform(lines, lambda x: F.when(
+            F.contains(F.lower(x), F.lit(word)) & rx.test(x, mm), mark(x)).otherwise(x)), "")
+        return F.when(F.contains(F.lower(clean), F.lit(word)), marked).otherwise(clean)
+    return text.let(_clean(content), by_line)
 
 
 def marked_matches(marked: Column) -> Column:
@@ -268,18 +274,26 @@ def marked_contexts(marked: Column, before: int, after: int, min_match: int = 2)
     """Contexts of a marked text.
 
     The text is split once at the marks.  A context reaches back over at most
-    `before / min_match` parts, so the work is linear in the text.
+    `before / min_match` parts, so the work is linear in the text; mostly the nearest
+    parts are long enough and only they are joined.
     """
     kb, ka = before // min_match + 2, after // min_match + 2
+    near = 3
+
+    def reach(join, size, most):
+        return F.when(F.lit(most <= near), join(most)).otherwise(text.let(join(near), lambda x: F.when(
+            F.length(x) >= size, x).otherwise(join(most))))
 
     def one(parts, p, i):  # i is the zero-based index of the match, part i + 1 holds it
-        match = F.substring_index(p, MID, 1)
-        lo = F.greatest(F.lit(1), i + 2 - kb)
-        left = _joined(parts, lo, i + 2 - lo)
-        right = F.concat(F.substring_index(p, MID, -1),
-                         _joined(parts, i + 3, F.lit(ka)))
-        return F.struct(match.alias("match"), F.right(left, F.lit(before)).alias("before"),
-                        F.substring(right, 1, after).alias("after"))
+        def back(k):
+            lo = F.greatest(F.lit(1), i + 2 - k)
+            return _joined(parts, lo, i + 2 - lo)
+
+        def ahead(k):
+            return F.concat(F.substring_index(p, MID, -1), _joined(parts, i + 3, F.lit(k)))
+        return F.struct(F.substring_index(p, MID, 1).alias("match"),
+                        F.right(reach(back, before, kb), F.lit(before)).alias("before"),
+                        F.substring(reach(ahead, after, ka), 1, after).alias("after"))
     return text.let(F.split(marked, OPEN), lambda parts: F.transform(
         text.tail(parts), lambda p, i: one(parts, p, i)))
 

@@ -148,13 +148,13 @@ SNIPPET_FIELDS = ["price_snippets", "drop_snippets", "weight_snippets", "heel_sn
 
 
 def snippet_score(s: Column) -> Column:
-    low = F.lower(s)
     points = [F.when(rx.test(s, p), n).otherwise(0) for p, n in rules.SNIPPET_SCORES]
     number, word, n = rules.SNIPPET_HEIGHT
     points.append(F.when(F.exists(F.split(s, r"[\n\r\x{2028}\x{2029}]"), lambda x: rx.test(x, word) & rx.test(x, number)),
                          n).otherwise(0))
-    anchors = [F.contains(low, F.lit(a)).cast("int") for a in rules.SNIPPET_ANCHORS]
-    return text.sum_of(points + anchors)
+    anchors = text.let(F.lower(s), lambda low: text.sum_of(
+        [F.contains(low, F.lit(a)).cast("int") for a in rules.SNIPPET_ANCHORS]))
+    return text.sum_of([*points, anchors])
 
 
 def top_snippets(all_snippets: Column, n: int | None = None) -> Column:
@@ -166,29 +166,32 @@ def top_snippets(all_snippets: Column, n: int | None = None) -> Column:
 
 
 def _cluster(s: Column, i: Column) -> Column:
-    def num(pattern, group, low, high):
-        v = rx.pick(s, pattern, group).try_cast("double")
-        return F.when(v.between(low, high), v)
-    grams = num(r"(\d{2,4})\s*(?:g|grams)\b", 1, 50, 1000)
-    oz = units.oz_to_grams(num(r"(\d{1,2}(?:\.\d)?)\s*(?:oz|ounces)\b", 1, 3, 30),
-                           rules.OZ_TO_GRAMS_TEXT)
-    drop = num(rules.CLUSTER_DROP, 1, 0, 25)
-    price = num(rules.VALUE_PATTERNS["price"][0], 1, 50, 500)
-
+    """Values and score of a snippet; each pattern runs once (a lambda shares nothing by itself)."""
     def height(field):
         hit = F.get(marked_matches(mark_heights(s, field)), F.lit(0))
-        v = F.regexp_extract(hit, r"\d{2}", 0).try_cast("double")
-        return F.when(v.between(5, 60), v)
-    heel, fore = height("heel"), height("forefoot")
+        return F.regexp_extract(hit, r"\d{2}", 0).try_cast("double")
+    read = {"grams": (rx.pick_num(s, r"(\d{2,4})\s*(?:g|grams)\b"), 50, 1000),
+            "oz": (rx.pick_num(s, r"(\d{1,2}(?:\.\d)?)\s*(?:oz|ounces)\b"), 3, 30),
+            "drop": (rx.pick_num(s, rules.CLUSTER_DROP), 0, 25),
+            "heel": (height("heel"), 5, 60), "fore": (height("forefoot"), 5, 60),
+            "price": (rx.pick_num(s, rules.VALUE_PATTERNS["price"][0]), 50, 500)}
+    found = F.struct(*[v.alias(k) for k, (v, _, _) in read.items()])
+    return text.let(found, lambda f: text.let(
+        F.struct(*[F.when(f[k].between(low, high), f[k]).alias(k) for k, (_, low, high) in read.items()]),
+        lambda v: _scored(v, i)))
+
+
+def _scored(v: Column, i: Column) -> Column:
+    oz = units.oz_to_grams(v["oz"], rules.OZ_TO_GRAMS_TEXT)
     points = lambda c, n: F.when(c.isNotNull(), n).otherwise(0)
-    score = text.sum_of([points(grams, 2), points(oz, 2), points(drop, 2),
-                         points(heel, 2), points(fore, 2), points(price, 1)])
-    weight = F.coalesce(oz, grams)
-    groups = text.sum_of([points(weight, 1), points(drop, 1),
-                          points(F.coalesce(heel, fore), 1), points(price, 1)])
+    score = text.sum_of([points(v["grams"], 2), points(oz, 2), points(v["drop"], 2),
+                         points(v["heel"], 2), points(v["fore"], 2), points(v["price"], 1)])
+    weight = F.coalesce(oz, v["grams"])
+    groups = text.sum_of([points(weight, 1), points(v["drop"], 1),
+                          points(F.coalesce(v["heel"], v["fore"]), 1), points(v["price"], 1)])
     return F.struct(score.alias("score"), i.alias("source"), groups.alias("groups"),
-                    weight.alias("weight_g"), drop.alias("drop_mm"), heel.alias("heel_mm"),
-                    fore.alias("forefoot_mm"), price.alias("price_usd"))
+                    weight.alias("weight_g"), v["drop"].alias("drop_mm"), v["heel"].alias("heel_mm"),
+                    v["fore"].alias("forefoot_mm"), v["price"].alias("price_usd"))
 
 
 def best_cluster(top: Column) -> Column:
