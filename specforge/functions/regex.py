@@ -176,3 +176,8 @@ def any_low(low: Column, patterns) -> Column:
 def pick_low(low: Column, c: Column, pattern: str, group: int = 1) -> Column:
     """`pick`, skipped where the pattern's literal is absent."""
     return guard(low, pattern, pick(c, pattern, group))
+
+
+def pick_num_low(low: Column, c: Column, pattern: str, group: int = 1) -> Column:
+    """`pick_num`, skipped where the pattern's literal is absent."""
+    return guard(low, pattern, pick_num(c, pattern, group))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,10 @@ OPEN, MID, MID2, CLOSE = "\x01", "\x02", "\x03", "\x04"
 
 
 def _clean(c: Column) -> Column:
-    return F.translate(c, OPEN + MID + MID2 + CLOSE, "    ")
+    # Few texts hold a mark, and a search for one is many times cheaper than the copy.
+    marks = OPEN + MID + MID2 + CLOSE
+    held = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(m)) for m in marks])
+    return text.let(c, lambda t: F.when(held(t), F.translate(t, marks, "    ")).otherwise(t))
 
 
 def _heading_model(c: Column) -> Column:
@@ -92,14 +97,14 @@ def price_of(block: Column) -> Column:
     """First bracketed or dollar amount, only when it is a plausible price."""
     hit = rx.pick(block, "|".join(rules.PRICE_IN_BLOCK), 0, "")
     n = F.regexp_extract(hit, r"(\d{2,4})", 1).try_cast("double")
-    return units.keep_in_bounds(n, "price")
+    return text.let(n, lambda x: units.keep_in_bounds(x, "price"))
 
 
 def weight_of(block: Column, patterns=rules.WEIGHT_PATTERNS, low: Column | None = None) -> Column:
     """Grams, first matching pattern; ounces converted."""
     out, low = [], _low(block) if low is None else low
     for pattern, group, unit in patterns:
-        n = rx.pick_low(low, block, pattern, group).try_cast("double")
+        n = rx.pick_num_low(low, block, pattern, group)
         out.append(n if unit == "g" else units.oz_to_grams(n, rules.OZ_TO_GRAMS_TEXT))
     return F.coalesce(*out)
 
@@ -107,7 +112,7 @@ def weight_of(block: Column, patterns=rules.WEIGHT_PATTERNS, low: Column | None
 def heights_of(block: Column, pairs=rules.PAIR_PATTERNS, low: Column | None = None) -> Column:
     """struct(heel_height, forefoot_height): pair patterns first, then single mentions."""
     low = _low(block) if low is None else low
-    num = lambda p, g=1: rx.pick(block, p, g).try_cast("double")
+    num = lambda p, g=1: rx.pick_num(block, p, g)
 
     def both(h, f):
         return F.struct(h.alias("heel_height"), f.alias("forefoot_height"))
@@ -117,22 +122,23 @@ def heights_of(block: Column, pairs=rules.PAIR_PATTERNS, low: Column | None = No
         test = F.coalesce(rx.guard(low, pattern, rx.test(block, pattern)), F.lit(False))
         out = (F if out is None else out).when(test, hit)
     nz = lambda x: F.when(x != 0, x)
-    general = num(rules.HEEL_GENERAL)
-    at_heel = num(rules.HEEL_AT_HEEL)
-    heel = F.coalesce(nz(at_heel), F.when(general > 15, general), at_heel)
-    fore = num(rules.FOREFOOT_GENERAL)
-    pair_h, pair_f = num(rules.BOTH_HEIGHTS, 1), num(rules.BOTH_HEIGHTS, 2)
-    heel, fore = F.coalesce(pair_h, heel), F.coalesce(pair_f, fore)
-    stack = num(rules.STACK_GENERAL)
-    heel = F.coalesce(nz(heel), F.when(nz(fore).isNull() & (stack > 15), stack), heel)
+
+    def single(v):
+        heel = F.coalesce(v["pair_h"], nz(v["at_heel"]), F.when(v["general"] > 15, v["general"]), v["at_heel"])
+        fore = F.coalesce(v["pair_f"], v["fore"])
+        return both(F.coalesce(nz(heel), F.when(nz(fore).isNull() & (v["stack"] > 15), v["stack"]), heel), fore)
+    # Bound once: the choice names each mention several times.
+    mentions = F.struct(num(rules.HEEL_GENERAL).alias("general"), num(rules.HEEL_AT_HEEL).alias("at_heel"),
+                        num(rules.FOREFOOT_GENERAL).alias("fore"), num(rules.BOTH_HEIGHTS, 1).alias("pair_h"),
+                        num(rules.BOTH_HEIGHTS, 2).alias("pair_f"), num(rules.STACK_GENERAL).alias("stack"))
     # no alternative can match without a unit word: skip the scans
-    return out.when(F.contains(low, F.lit("millimeter")), both(heel, fore)
+    return out.when(F.contains(low, F.lit("millimeter")), text.let(mentions, single)
                     ).otherwise(both(F.lit(None).cast("double"), F.lit(None).cast("double")))
 
 
 def drop_of(block: Column, patterns=rules.DROP_PATTERNS, low: Column | None = None) -> Column:
     low = _low(block) if low is None else low
-    explicit = [rx.pick_low(low, block, p).try_cast("double") for p in patterns]
+    explicit = [rx.pick_num_low(low, block, p) for p in patterns]
     return F.coalesce(*explicit, F.when(F.contains(low, F.lit("drop")) & rx.test(
         block, rules.ZERO_DROP), F.lit(0.0)))
 
@@ -162,13 +168,13 @@ def waterproof_of(block: Column, low: Column | None = None) -> Column:
         low if behind is None else F.regexp_extract(low, rx.java(rf"^([\s\S]*){behind}\b", ""), 1),
         F.lit(rx.java(rf"\b(?:not\s+)?{word}", ""))), F.lit(0)))
         for guard, word, behind in rules.WATERPROOF_WORDS]
-    first = F.least(*starts)
-    negated = F.substring(low, first, F.lit(4)).rlike(f"^not[{rx.BLANK}]")
+    negated = lambda first: F.substring(low, first, F.lit(4)).rlike(f"^not[{rx.BLANK}]")
     negation = F.exists(F.split(low, r"\."), lambda s: rx.test(F.substring(
         s, F.nullif(F.regexp_instr(s, F.lit(rx.java(rules.NEGATION_START, ""))), F.lit(0)), F.length(s)),
         rules.WATERPROOF_END, ""))
-    return (F.when(first.isNotNull(), ~negated)
-            .when(F.contains(low, F.lit("water")) & F.coalesce(negation, F.lit(False)), F.lit(False)))
+    # Bound once: a first mention is tested and then read.
+    return text.let(F.least(*starts), lambda first: F.when(first.isNotNull(), ~negated(first))
+                    .when(F.contains(low, F.lit("water")) & F.coalesce(negation, F.lit(False)), F.lit(False)))
 
 
 def carbon_of(block: Column, low: Column | None = None) -> Column:
@@ -226,13 +232,18 @@ def quality_name(brand: Column, model: Column) -> Column:
 # --- mentions in running text ------------------------------------------------
 
 def _joined(parts: Column, start, size) -> Column:
-    return F.translate(F.array_join(F.slice(parts, start, size), ""), MID, "")
+    return F.replace(F.array_join(F.slice(parts, start, size), ""), F.lit(MID), F.lit(""))
 
 
 def match_contexts(content: Column, pattern: str, before: int, after: int,
                    flags: str = "i", min_match: int = 2) -> Column:
     """array<struct(match, before, after)> with bounded text around each match."""
-    marked = F.regexp_replace(_clean(content), rx.java(pattern, flags), f"{OPEN}$0{MID}")
+    def mark(clean):
+        lit = rx.required(pattern)
+        marked = F.regexp_replace(clean, rx.java(pattern, flags), f"{OPEN}$0{MID}")
+        low = F.lower(clean) if lit.upper() != lit else clean
+        return F.when(F.contains(low, F.lit(lit)), marked).otherwise(clean) if lit else marked
+    marked = text.let(_clean(content), mark)
     return marked_contexts(marked, before, after, min_match)
 
 
@@ -334,7 +345,7 @@ def mentions(content: Column) -> Column:
                           match, F.substring(rest, 1, 200))
         return F.struct(
             match.alias("heading"), brand.alias("brand"), model.alias("model"),
-            rx.pick(around, rules.MENTION_PRICE).try_cast("double").alias("price"),
+            rx.pick_num(around, rules.MENTION_PRICE).alias("price"),
             F.concat(match, F.lit("\n"), text.trim(rest)).alias("block"))
     found = text.let(F.split(marked, OPEN), lambda parts: F.transform(
         text.tail(parts), lambda p, i: one(parts, p, i)))

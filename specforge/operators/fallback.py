@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,16 @@ from specforge.functions import text, units
 from specforge.operators.blocks import match_contexts
 
 
-def _off_platform(content: Column, pattern: str) -> Column:
+# One of these stands in every match, so a text without them is not scanned.
+PAIR_WORDS = (("stack", "height"), ("/",))
+HEEL_WORDS, FOREFOOT_WORDS = ("heel", "stack"), ("forefoot", "toe")
+
+
+def _off_platform(content: Column, low: Column, pattern: str, words: tuple[str, ...]) -> Column:
     """Matches whose surroundings (24 characters each way) name no platform."""
     near = 24
-    hits = match_contexts(content, pattern, near, near)
+    held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    hits = F.when(held, match_contexts(content, pattern, near, near))
     return F.filter(hits, lambda h: ~rx.test(
         F.concat(h["before"], F.substring(F.concat(h["match"], h["after"]), 1, near)),
         rules.FALLBACK_PLATFORM))
@@ -25,23 +33,24 @@ def with_fallback_heights(df: DataFrame, content: str) -> DataFrame:
     # every height pattern needs the unit: other texts are not scanned
     flat = F.regexp_replace(F.col(content), f"[{rx.BLANK}]+", " ")
     df = df.withColumn("_flat", F.when(F.rlike(F.col(content), F.lit("[mM][mM]")), flat))
-    c = F.col("_flat")
+    df = df.withColumn("_low", F.lower("_flat"))
+    c, low = F.col("_flat"), F.col("_low")
 
-    def pair(pattern):
-        values = F.transform(_off_platform(c, pattern), lambda h: F.struct(
-            rx.pick(h["match"], pattern, 1).try_cast("double").alias("heel"),
-            rx.pick(h["match"], pattern, 2).try_cast("double").alias("fore")))
+    def pair(pattern, words):
+        values = F.transform(_off_platform(c, low, pattern, words), lambda h: F.struct(
+            rx.pick_num(h["match"], pattern, 1).alias("heel"),
+            rx.pick_num(h["match"], pattern, 2).alias("fore")))
         ok = F.filter(values, lambda v: (v["heel"] > 0) & (v["fore"] > 0)
                       & (v["heel"] <= 60) & (v["fore"] <= 60))
         return F.get(ok, F.lit(0))
 
-    def single(pattern):
-        values = F.transform(_off_platform(c, pattern),
-                             lambda h: rx.pick(h["match"], pattern, 1).try_cast("double"))
+    def single(pattern, words):
+        values = F.transform(_off_platform(c, low, pattern, words),
+                             lambda h: rx.pick_num(h["match"], pattern, 1))
         return F.get(F.filter(values, lambda v: (v > 0) & (v <= 60)), F.lit(0))
     df = df.withColumns({
-        "_pair": F.coalesce(*[pair(p) for p in rules.FALLBACK_PAIRS]),
-        "_heel": single(rules.FALLBACK_HEEL), "_fore": single(rules.FALLBACK_FOREFOOT),
+        "_pair": F.coalesce(*[pair(p, w) for p, w in zip(rules.FALLBACK_PAIRS, PAIR_WORDS, strict=True)]),
+        "_heel": single(rules.FALLBACK_HEEL, HEEL_WORDS), "_fore": single(rules.FALLBACK_FOREFOOT, FOREFOOT_WORDS),
         "_drop": F.get(F.filter(F.transform(
             rx.pick_all(c, rules.FALLBACK_DROP), lambda x: x.try_cast("double")),
             lambda v: v <= 30), F.lit(0))})
@@ -52,35 +61,32 @@ def with_fallback_heights(df: DataFrame, content: str) -> DataFrame:
         "fb_forefoot": F.when(p.isNotNull(), p["fore"]).otherwise(F.col("_fore")),
         "fb_drop": F.when(p.isNotNull(), text.round2(p["heel"] - p["fore"]))
         .otherwise(F.coalesce(F.col("_drop"), difference)),
-    }).drop("_flat", "_pair", "_heel", "_fore", "_drop")
+    }).drop("_flat", "_low", "_pair", "_heel", "_fore", "_drop")
 
 
 def fallback_weight(content: Column) -> Column:
     """First gram figure in bounds, else the first ounce figure converted."""
-    grams = rx.pick(content, rules.FALLBACK_GRAMS).try_cast("double")
-    oz = rx.pick(content, rules.FALLBACK_OZ).try_cast("double")
-    converted = units.oz_to_grams(F.when((oz > 2) & (oz < 25), oz),
-                                  rules.OZ_TO_GRAMS_TEXT)
-    return F.coalesce(F.when(grams.between(80, 600), text.js_round(grams)),
-                      F.when(converted.between(80, 600), converted))
+    def in_range(g, value):
+        return F.when(g.between(80, 600), value)
+    converted = lambda oz: units.oz_to_grams(F.when((oz > 2) & (oz < 25), oz), rules.OZ_TO_GRAMS_TEXT)
+    return F.coalesce(  # each figure is bound, so its pattern scans the text once
+        text.let(rx.pick_num(content, rules.FALLBACK_GRAMS), lambda g: in_range(g, text.js_round(g))),
+        text.let(rx.pick_num(content, rules.FALLBACK_OZ), lambda oz: in_range(converted(oz), converted(oz))))
 
 
 def fallback_price(content: Column) -> Column:
     """struct(price_usd, currency, raw): first currency whose first amount is plausible."""
-    out = None
-    for pattern, code in rules.FALLBACK_MONEY:
-        raw = rx.pick(content, pattern).try_cast("double")
+    def hit(code, raw):
         usd = raw * F.lit(rules.USD_RATES[code])
-        hit = F.struct(text.round2(usd).alias("price_usd"), F.lit(code).alias("currency"),
-                       raw.alias("raw"))
-        out = (F if out is None else out).when(units.in_bounds(usd, "price"), hit)
-    return out
+        return F.when(units.in_bounds(usd, "price"), F.struct(
+            text.round2(usd).alias("price_usd"), F.lit(code).alias("currency"), raw.alias("raw")))
+    return text.let(F.lower(content), lambda low: F.coalesce(*[
+        text.let(rx.pick_num_low(low, content, pattern), partial(hit, code)) for pattern, code in rules.FALLBACK_MONEY]))
 
 
 def weird_price(content: Column) -> Column:
     """'180,$199': the second figure."""
-    return units.keep_in_bounds(
-        rx.pick(content, rules.WEIRD_PRICE, 2).try_cast("double"), "price")
+    return text.let(F.when(F.contains(content, F.lit("$")), rx.pick_num(content, rules.WEIRD_PRICE, 2)), lambda n: units.keep_in_bounds(n, "price"))
 
 
 def frequent_phrase(df: DataFrame, content: str, key: str) -> DataFrame:
