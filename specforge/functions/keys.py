@@ -51,9 +51,9 @@ def key_part(c: Column, exact: bool = False) -> Column:
 def model_key(brand: Column, model: Column, sep: str = " ",
               exact: bool = False) -> Column:
     """`brand model` in key form; empty when either side is."""
-    b, m = key_part(brand, exact), key_part(model, exact)
-    ok = (F.coalesce(b, F.lit("")) != "") & (F.coalesce(m, F.lit("")) != "")
-    return F.when(ok, F.concat(b, F.lit(sep), m)).otherwise(F.lit(""))
+    parts = F.struct(key_part(brand, exact).alias("b"), key_part(model, exact).alias("m"))
+    return text.let(parts, lambda k: F.when((k["b"] != "") & (k["m"] != ""), F.concat(
+        k["b"], F.lit(sep), k["m"])).otherwise(F.lit("")))
 
 
 def plain_key(brand: Column, model: Column, sep: str = "::") -> Column:
@@ -100,14 +100,19 @@ def strip_brand_prefix(model: Column, brands=tuple(rules.BLOCK_BRANDS)) -> Colum
 def refine_model(brand: Column, model: Column) -> Column:
     """Drop parentheses, subtitle, repeated brand and article words.
 
-    Each step uses the step before once (the repeated-brand test twice), so the
-    generated code stays small.
+    Each step uses the step before once; the brand, its key and the name before
+    the repeated-brand test are bound, since that test reads them again.
     """
     b = text.trim(F.coalesce(brand, F.lit("")))
     m = text.trim(F.coalesce(model, F.lit("")))
     m = rx.sub(m, r"\([^()]*\)")
     m = text.trim(rx.sub(m, r"\s*[:\-–—]\s+.*$"))
-    bn, space = key_part(b), F.lit(" ")
+    parts = text.let(b, lambda b: F.struct(b.alias("b"), key_part(b).alias("key"), m.alias("m")))
+    return text.let(parts, lambda p: _refined(p["b"], p["key"], p["m"]))
+
+
+def _refined(b: Column, bn: Column, m: Column) -> Column:
+    space = F.lit(" ")
     repeated = (bn != "") & F.startswith(F.concat(key_part(m), space), F.concat(bn, space))
     m = text.trim(F.substring(m, F.when(repeated, F.length(b) + 1).otherwise(1),
                               F.lit(2 ** 31 - 1)))

@@ -186,18 +186,29 @@ def coerce_rows(df: DataFrame) -> DataFrame:
 
 
 def tighten(df: DataFrame) -> DataFrame:
-    """Strict rows: document, brand, refined model, key and source required."""
+    """Strict rows: document, brand, refined model, key and source required.
+
+    The names are bound and the tests run on them inside one generator; a filter
+    on the columns would compute them again for each test.
+    """
     brand = text.trim(F.coalesce(F.col("brand_name"), F.lit("")))
-    df = df.withColumns({"brand_name": brand, "_m": keys.refine_model(brand, F.col("model"))})
-    df = df.withColumns({
-        "article_id": text.to_num(F.col("article_id")),
-        "model": F.col("_m"),
-        "model_key": keys.model_key(F.col("brand_name"), F.col("_m"), "::"),
-        "source_id": text.norm_str(F.col("source_id")),
-        **{f: text.to_num(F.col(f)) for f in rules.NUMERIC_FIELDS}}).drop("_m")
-    return df.filter((F.col("article_id") != 0) & (F.col("brand_name") != "")
-                     & (F.col("model") != "") & (F.col("model_key") != "")
-                     & F.col("source_id").isNotNull())
+
+    def row(b, m):
+        return F.struct(b.alias("brand_name"), m.alias("model"),
+                        keys.model_key(b, m, "::").alias("model_key"),
+                        text.to_num(F.col("article_id")).alias("article_id"),
+                        text.norm_str(F.col("source_id")).alias("source_id"))
+
+    def strict(r):
+        return ((r["article_id"] != 0) & (r["brand_name"] != "") & (r["model"] != "")
+                & (r["model_key"] != "") & r["source_id"].isNotNull())
+    rows = F.filter(F.array(text.let(brand, lambda b: text.let(
+        keys.refine_model(b, F.col("model")), lambda m: row(b, m)))), strict)
+    df = df.select("*", F.explode(rows).alias("_r"))
+    fields = ("brand_name", "article_id", "model", "model_key", "source_id")
+    return df.withColumns({
+        **{f: F.col(f"_r.{f}") for f in fields},
+        **{f: text.to_num(F.col(f)) for f in rules.NUMERIC_FIELDS}}).drop("_r")
 
 
 def rank_candidates(candidates: Column) -> Column:
