@@ -111,15 +111,27 @@ def comparisons(content: Column) -> Column:
     """array<struct(left, right)> of 'A vs B' phrases.
 
     A word run reaches as far as blanks join words; within a run the last
-    separator divides.  'vs.' joins two runs.  Written as splits, since a
-    repeated-group pattern would recurse over whole texts.
+    separator divides.  'vs.' joins two runs.  No run passes a full stop, so only
+    sentences with the letters of a separator are scanned, and of them only the
+    runs that hold a mark are taken.
     """
-    c = F.translate(content, _VS + _DOTTED, "  ")
-    c = F.regexp_replace(c, rx.java(r"\bvs\.(?=\s+\w)"), _DOTTED)
-    c = F.regexp_replace(c, rx.java(
-        r"(?<=[A-Za-z0-9_])\s+(?:vs|versus|compared?\s+to)\s+(?=[A-Za-z0-9_])"), _VS)
-    runs = F.filter(F.split(c, rf"[^\w{rx.BLANK}{_VS}{_DOTTED}]+"),
-                    lambda r: F.rlike(r, F.lit(f"[{_VS}{_DOTTED}]")))
+    return text.let(F.lower(content), lambda low: F.when(_separates(low), _pairs(content, low)).when(
+        low.isNotNull(), F.array().cast("array<struct<left: string, right: string>>")))
+
+
+def _separates(low: Column) -> Column:
+    return F.contains(low, F.lit("vs")) | F.contains(low, F.lit("versus")) | F.contains(low, F.lit("compare"))
+
+
+def _pairs(content: Column, low: Column) -> Column:
+    c = F.replace(F.replace(content, F.lit(_VS), F.lit(" ")), F.lit(_DOTTED), F.lit(" "))
+    c = F.when(F.contains(low, F.lit("vs.")), F.regexp_replace(c, rx.java(r"\bvs\.(?=\s+\w)"), _DOTTED)).otherwise(c)
+    sentences = F.filter(F.split(c, r"\."), lambda s: F.contains(s, F.lit(_DOTTED)) | text.let(F.lower(s), _separates))
+    joined = rf"\w{rx.BLANK}"
+    marked = f"(?<![{joined}{_VS}{_DOTTED}])[{joined}]*+[{_VS}{_DOTTED}][{joined}{_VS}{_DOTTED}]*+"
+    separator = rx.java(r"(?<=[A-Za-z0-9_])\s+(?:vs|versus|compared?\s+to)\s+(?=[A-Za-z0-9_])")
+    runs = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(
+        F.regexp_replace(s, separator, _VS), F.lit(marked), F.lit(0))))
 
     def cut(left, right):
         flat = lambda x: text.squeeze(F.replace(x, F.lit(_VS), F.lit(" vs ")))

@@ -111,8 +111,8 @@ def comparison_context(title: Column, content: Column, max_chars: int | None = N
     both = F.concat(title, F.lit("\n\n"), content)
     pairs = F.transform(comparisons(both), lambda p: F.concat(
         p["left"], F.lit(" vs "), p["right"]))
-    head = F.when(F.size(pairs) > 0, F.concat(
-        F.lit("COMPARISONS FOUND: "), F.array_join(pairs, ", "), F.lit("\n\n"))).otherwise("")
+    head = text.let(pairs, lambda found: F.when(F.size(found) > 0, F.concat(
+        F.lit("COMPARISONS FOUND: "), F.array_join(found, ", "), F.lit("\n\n"))).otherwise(""))
     full = F.concat(head, both)
     return full if max_chars is None else F.substring(full, 1, max_chars)
 
