@@ -479,6 +479,7 @@ MIN_CONTENT_CHARS = 2000
 MAX_HTML_CHARS = 600000
 LINE_TAGS = ("p div br li ul ol dl dt dd h1 h2 h3 h4 h5 h6 table tr td th section article header footer "
              "nav aside main figure blockquote pre hr").split()
+PARSED_CHARS = 1 << 20    # pages whose parsed form a task holds at once; no page is cut
 
 # --- fixed values: comparison tables ---------------------------------------
 TABLE_KEYWORDS = ["weight", "heel drop", "drop", "stack", "heel", "forefoot",

@@ -15,19 +15,33 @@ def light_text(html: Column, max_chars: int | None = None) -> Column:
     return text.squeeze(F.regexp_replace(h, "<[^>]*>", " "))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt to as many tasks as the session's shuffles have.
+
+    For narrow rows that each need much work: a small file is else read by a task
+    per row group, however many cores there are.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def parse_pages(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """(keep columns, body_text, tables array<array<array<string>>>), Arrow batches.
 
     Blocks, rows and cells end lines of the text.  The parser class lives inside the
-    task function, so executors need nothing but the standard library.
+    task function, so executors need nothing but the standard library and Arrow.  A
+    batch is read page by page and handed on in slices of about `rules.PARSED_CHARS`
+    characters of pages, so a task never holds the parsed form of a whole batch.
     """
-    blocks = rules.LINE_TAGS
+    blocks, most = rules.LINE_TAGS, rules.PARSED_CHARS
     passed = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keep)
     schema = passed + "body_text string, tables array<array<array<string>>>"
 
     def run(batches):
         from html.parser import HTMLParser
+
+        import pyarrow as pa
         lines = frozenset(blocks)
+        kinds = [pa.string(), pa.list_(pa.list_(pa.list_(pa.string())))]
 
         class Reader(HTMLParser):
             """Collects body text and the cells of every table, nested ones too."""
@@ -70,15 +84,28 @@ def parse_pages(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame
                     if cells and rows and rows[-1]:
                         rows[-1][-1] += data
 
-        for pdf in batches:
-            texts, tables = [], []
-            for page in pdf[html]:
-                reader = Reader()
-                if page is not None:
-                    reader.feed(page)
-                    reader.close()
-                texts.append("\n".join(x for x in (" ".join(line.split()) for line in "".join(reader.text).split("\n")) if x))
-                tables.append([[[" ".join(c.split()) for c in r] for r in t if r]
-                               for t in reader.tables])
-            yield pdf[keep].assign(body_text=texts, tables=tables)
-    return df.select(*keep, html).mapInPandas(run, schema)
+        def parsed(page):
+            reader = Reader()
+            if page is not None:
+                reader.feed(page)
+                reader.close()
+            body = "\n".join(x for x in (" ".join(line.split()) for line in "".join(reader.text).split("\n")) if x)
+            return body, [[[" ".join(c.split()) for c in r] for r in t if r] for t in reader.tables]
+
+        def slice_of(batch, start, done):
+            given = batch.slice(start, len(done))
+            made = [pa.array(x, kind) for x, kind in zip(zip(*done, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*(given.column(k) for k in keep), *made], [*keep, "body_text", "tables"])
+
+        for batch in batches:
+            start, chars, done = 0, 0, []
+            for page in batch.column(html):
+                page = page.as_py()
+                done.append(parsed(page))
+                chars += len(page or "")
+                if chars >= most:
+                    yield slice_of(batch, start, done)
+                    start, chars, done = start + len(done), 0, []
+            if done:
+                yield slice_of(batch, start, done)
+    return df.select(*keep, html).mapInArrow(run, schema)
