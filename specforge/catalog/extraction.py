@@ -255,7 +255,7 @@ def _table_html():
  cast(8 + (p_partkey * (i + 3)) % 15 - (p_partkey * (i + 3)) % 9 as double) AS drop_mm, floor(cast(80 + (p_partkey * (i + 3)) % 200 as double) * 1.08::double + 0.5) AS price_usd,
  0.6::double AS confidence, 'WEIGHT|STACK|DROP|PRICE|MULTI_TABLE' AS labels FROM part, (SELECT unnest([0, 1]) AS i)""")
 def comparison_tables(t):
-    src = t.part.select("p_partkey", _table_html().alias("html"))
+    src = pages.spread(t.part.select("p_partkey", "p_name"), "p_partkey").select("p_partkey", _table_html().alias("html"))
     df = pages.parse_pages(src, ["p_partkey"]).withColumn("c", tables.comparison(C("tables")))
     return df.select("p_partkey", "c.confidence", J("c.labels").alias("labels"), F.posexplode("c.models").alias("model_no", "m")).select(
         "p_partkey", "model_no", "m.model_name", "m.weight_g", "m.heel_mm", "m.forefoot_mm", "m.drop_mm", "m.price_usd", "confidence", "labels")

@@ -12,35 +12,37 @@ from specforge.functions import text, units
 
 def spec_key(cell: Column) -> Column:
     """The value a table row states, by its first cell; a bare stack is the heel."""
-    low = F.lower(text.trim(cell))
-    has = lambda w: F.contains(low, F.lit(w))
-    return (F.when(has("weight"), "weight").when(has("drop"), "drop_mm")
-            .when(has("heel"), "heel_mm").when(has("forefoot"), "forefoot_mm")
-            .when(has("stack"), "stack").when(has("price"), "price_usd"))
+    def key(low):
+        has = lambda w: F.contains(low, F.lit(w))
+        return (F.when(has("weight"), "weight").when(has("drop"), "drop_mm")
+                .when(has("heel"), "heel_mm").when(has("forefoot"), "forefoot_mm")
+                .when(has("stack"), "stack").when(has("price"), "price_usd"))
+    return text.let(F.lower(text.trim(cell)), key)
 
 
 def cell_weight(cell: Column) -> Column:
     """struct(weight_g, weight_oz)."""
-    grams = rx.pick(cell, r"(\d{2,4})\s*(?:g|grams)\b").try_cast("double")
-    oz = F.when(grams.isNull(),
-                rx.pick(cell, r"(\d{1,2}(?:\.\d)?)\s*(?:oz|ounces)\b").try_cast("double"))
-    return F.struct(F.coalesce(grams, units.oz_to_grams(oz, rules.OZ_TO_GRAMS_TEXT)
-                               ).alias("weight_g"), oz.alias("weight_oz"))
+    def weight(grams, oz):
+        return F.struct(F.coalesce(grams, units.oz_to_grams(oz, rules.OZ_TO_GRAMS_TEXT)
+                                   ).alias("weight_g"), oz.alias("weight_oz"))
+    return text.let(rx.pick_num(cell, r"(\d{2,4})\s*(?:g|grams)\b"), lambda grams: text.let(
+        F.when(grams.isNull(), rx.pick_num(cell, r"(\d{1,2}(?:\.\d)?)\s*(?:oz|ounces)\b")),
+        lambda oz: weight(grams, oz)))
 
 
 def cell_height(cell: Column) -> Column:
-    return rx.pick(cell, r"(\d{2})\s*mm").try_cast("double")
+    return rx.pick_num(cell, r"(\d{2})\s*mm")
 
 
 def cell_drop(cell: Column) -> Column:
-    return rx.pick(cell, r"(\d{1,2})\s*mm").try_cast("double")
+    return rx.pick_num(cell, r"(\d{1,2})\s*mm")
 
 
 def cell_price(cell: Column) -> Column:
     out = None
     for pattern, code in ((r"\$(\d{2,4})", "USD"), (r"€\s?(\d{2,4})", "EUR"),
                           (r"£\s?(\d{2,4})", "GBP")):
-        value = rx.pick(cell, pattern).try_cast("double")
+        value = rx.pick_num(cell, pattern)
         usd = value if code == "USD" else text.js_round(
             value * F.lit(rules.TABLE_USD_RATES[code]))
         out = usd if out is None else F.coalesce(out, usd)
@@ -52,8 +54,8 @@ def table_score(table: Column) -> Column:
     header = F.size(F.get(table, F.lit(0)))
     spec_rows = F.size(F.filter(
         text.tail(table), lambda r: text.contains_any(F.lower(F.get(r, F.lit(0))), rules.TABLE_KEYWORDS)))
-    return F.when((F.size(table) >= 2) & (header >= 3) & (spec_rows >= 2),
-                  spec_rows * header).otherwise(0)
+    return F.when((F.size(table) >= 2) & (header >= 3), text.let(
+        spec_rows, lambda n: F.when(n >= 2, n * header).otherwise(0))).otherwise(0)
 
 
 def best_table(tables: Column) -> Column:
@@ -83,21 +85,27 @@ def _models(table: Column) -> Column:
                                                 r.alias("r")))
 
     def model(keyed, name, i):
-        def last(keys, parse):
-            cells = F.filter(F.transform(
-                F.filter(keyed, lambda x: x["k"].isin(keys)),
-                lambda x: parse(text.trim(F.get(x["r"], i + 1)))), lambda v: v.isNotNull())
-            return F.try_element_at(cells, F.lit(-1))
-        heel = last(["heel_mm", "stack"], cell_height)
-        fore = last(["forefoot_mm"], cell_height)
-        drop = last(["drop_mm"], cell_drop)
-        return F.struct(
-            text.squeeze(name).alias("model_name"),
-            last(["weight"], lambda c: cell_weight(c)["weight_g"]).alias("weight_g"),
-            last(["weight"], lambda c: cell_weight(c)["weight_oz"]).alias("weight_oz"),
-            heel.alias("heel_mm"), fore.alias("forefoot_mm"),
-            F.coalesce(drop, heel - fore).alias("drop_mm"),
-            last(["price_usd"], cell_price).alias("price_usd"))
+        def cells(keys, parse):
+            return F.transform(F.filter(keyed, lambda x: x["k"].isin(keys)),
+                               lambda x: parse(text.trim(F.get(x["r"], i + 1))))
+
+        def last(values):
+            return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+
+        def described(v):
+            return F.struct(
+                text.squeeze(name).alias("model_name"),
+                last(v["weights"]["weight_g"]).alias("weight_g"),
+                last(v["weights"]["weight_oz"]).alias("weight_oz"),
+                v["heel"].alias("heel_mm"), v["fore"].alias("forefoot_mm"),
+                F.coalesce(v["drop"], v["heel"] - v["fore"]).alias("drop_mm"),
+                v["price"].alias("price_usd"))
+        return text.let(F.struct(
+            cells(["weight"], cell_weight).alias("weights"),
+            last(cells(["heel_mm", "stack"], cell_height)).alias("heel"),
+            last(cells(["forefoot_mm"], cell_height)).alias("fore"),
+            last(cells(["drop_mm"], cell_drop)).alias("drop"),
+            last(cells(["price_usd"], cell_price)).alias("price")), described)
     return text.let(rows, lambda keyed: F.transform(
         text.tail(header), lambda name, i: model(keyed, name, i)))
 
