@@ -200,13 +200,23 @@ def is_footwear(brand: Column, model: Column) -> Column:
 
 
 def cleanup_category(cols: dict[str, Column], table=rules.CLEANUP_RULES) -> Column:
-    """First matching rule: struct(category, reason); null keeps the row."""
-    out = None
-    for field, pattern, category in table:
-        hit = F.struct(F.lit(category).alias("category"),
-                       F.lit(f"{field} matches {category}").alias("reason"))
-        out = (F if out is None else out).when(_or(rx.test(cols[field], pattern)), hit)
-    return out
+    """First matching rule: struct(category, reason); null keeps the row.
+
+    The fields are bound, and a pattern runs only where its literal stands.
+    """
+    fields = list(dict.fromkeys(field for field, _, _ in table))
+    given = F.struct(*[c.alias(f"{f}{end}") for f in fields for c, end in (
+        (cols[f], ""), (F.lower(cols[f]), "_low"))])
+
+    def first(row):
+        out = None
+        for field, pattern, category in table:
+            hit = F.struct(F.lit(category).alias("category"),
+                           F.lit(f"{field} matches {category}").alias("reason"))
+            found = F.contains(row[f"{field}_low"], F.lit(rx.required(pattern))) & rx.test(row[field], pattern)
+            out = (F if out is None else out).when(_or(found), hit)
+        return out
+    return text.let(given, first)
 
 
 def names_valid(brand: Column, model: Column) -> Column:
