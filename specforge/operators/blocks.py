@@ -127,10 +127,14 @@ def heights_of(block: Column, pairs=rules.PAIR_PATTERNS, low: Column | None = No
         heel = F.coalesce(v["pair_h"], nz(v["at_heel"]), F.when(v["general"] > 15, v["general"]), v["at_heel"])
         fore = F.coalesce(v["pair_f"], v["fore"])
         return both(F.coalesce(nz(heel), F.when(nz(fore).isNull() & (v["stack"] > 15), v["stack"]), heel), fore)
-    # Bound once: the choice names each mention several times.
-    mentions = F.struct(num(rules.HEEL_GENERAL).alias("general"), num(rules.HEEL_AT_HEEL).alias("at_heel"),
-                        num(rules.FOREFOOT_GENERAL).alias("fore"), num(rules.BOTH_HEIGHTS, 1).alias("pair_h"),
-                        num(rules.BOTH_HEIGHTS, 2).alias("pair_f"), num(rules.STACK_GENERAL).alias("stack"))
+    # Bound once: the choice names each mention several times.  A mention is looked for where its word stands.
+    near = lambda c, *words: F.when(reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in words]), c)
+    mentions = F.struct(near(num(rules.HEEL_GENERAL), "heel", "stack").alias("general"),
+                        near(num(rules.HEEL_AT_HEEL), "heel").alias("at_heel"),
+                        near(num(rules.FOREFOOT_GENERAL), "forefoot").alias("fore"),
+                        near(num(rules.BOTH_HEIGHTS, 1), "forefoot").alias("pair_h"),
+                        near(num(rules.BOTH_HEIGHTS, 2), "forefoot").alias("pair_f"),
+                        near(num(rules.STACK_GENERAL), "stack", "height").alias("stack"))
     # no alternative can match without a unit word: skip the scans
     return out.when(F.contains(low, F.lit("millimeter")), text.let(mentions, single)
                     ).otherwise(both(F.lit(None).cast("double"), F.lit(None).cast("double")))
@@ -194,15 +198,16 @@ def extract_specs(blocks: DataFrame, profile: str = "full") -> DataFrame:
     b, low = F.col("block"), F.col("_low")
     blocks = blocks.withColumn("_low", F.lower(b))
     bm = split_brand_model(F.col("brand_model"))
-    df = blocks.withColumns({
-        "_bm": bm,
-        "_use": use_and_surface(F.col("heading"), b),
-        "_h": heights_of(b, rules.PAIR_PATTERNS if full else rules.CLASSIC_PAIR_PATTERNS, low),
-        "_drop": drop_of(b, rules.DROP_PATTERNS if full else rules.CLASSIC_DROP_PATTERNS, low),
-        "_w": weight_of(b, rules.WEIGHT_PATTERNS if full else rules.CLASSIC_WEIGHT_PATTERNS, low),
-        "_p": F.coalesce(F.when(F.col("heading_price") != 0, F.col("heading_price")),
-                         price_of(b)),
-        "_wp": waterproof_of(b, low), "_cp": carbon_of(b, low)})
+    read = F.struct(
+        bm.alias("bm"), use_and_surface(F.col("heading"), b).alias("use"),
+        heights_of(b, rules.PAIR_PATTERNS if full else rules.CLASSIC_PAIR_PATTERNS, low).alias("h"),
+        drop_of(b, rules.DROP_PATTERNS if full else rules.CLASSIC_DROP_PATTERNS, low).alias("drop"),
+        weight_of(b, rules.WEIGHT_PATTERNS if full else rules.CLASSIC_WEIGHT_PATTERNS, low).alias("w"),
+        F.coalesce(F.when(F.col("heading_price") != 0, F.col("heading_price")), price_of(b)).alias("p"),
+        waterproof_of(b, low).alias("wp"), carbon_of(b, low).alias("cp"))
+    # Behind a generator, since a filter on the values would read the block again for each.
+    df = blocks.select("*", F.explode(F.array(read)).alias("_v")).withColumns({
+        f"_{f}": F.col(f"_v.{f}") for f in ("bm", "use", "h", "drop", "w", "p", "wp", "cp")})
     heel, fore = F.col("_h.heel_height"), F.col("_h.forefoot_height")
     derived = F.when((heel != 0) & (fore != 0), text.round_to(heel - fore, 1))
     nz = lambda c: F.when(c != 0, c)
@@ -220,7 +225,7 @@ def extract_specs(blocks: DataFrame, profile: str = "full") -> DataFrame:
         "cushioning_type": none,
         "surface_type": F.col("_use.surface_type"),
         "foot_width": none, "additional_features": none,
-    }).drop("_low", "_bm", "_use", "_h", "_drop", "_w", "_p", "_wp", "_cp")
+    }).drop("_low", "_v", "_bm", "_use", "_h", "_drop", "_w", "_p", "_wp", "_cp")
 
 
 def quality_name(brand: Column, model: Column) -> Column:
