@@ -157,9 +157,9 @@ def model_words(model: Column) -> Column:
     return F.filter(F.split(F.lower(model), f"[{rx.BLANK}]+"), lambda w: F.length(w) > 2)
 
 
-def content_words(content: Column) -> Column:
-    """array<struct(word, n)>: the distinct lower-case words of a text, ascending."""
-    words = F.sort_array(F.filter(F.split(F.lower(content), f"[{rx.BLANK}]+"), lambda w: w != ""))
+def content_words(content: Column, kept=lambda w: w != "") -> Column:
+    """array<struct(word, n)>: the distinct lower-case words of a text that are kept, ascending."""
+    words = F.sort_array(F.filter(F.split(F.lower(content), f"[{rx.BLANK}]+"), kept))
 
     def counted(s: Column, first: Column) -> Column:
         return F.transform(first, lambda i, k: F.struct(
@@ -169,17 +169,44 @@ def content_words(content: Column) -> Column:
                  lambda first: counted(s, first))))
 
 
+SLOTS = 1 << 18     # of the filter ahead of the exchange; a crowded one lets more words through and changes no hit
+
+
+def _slot(part: Column, kind: int) -> Column:
+    return F.xxhash64(part, F.lit(kind)).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def asked_starts(words: DataFrame, word: str) -> Column:
+    """array<boolean> by slot, one value for all rows: the starts of the words, at three
+    letters (kind 0) and at five or, of a shorter word, its whole (kind 1)."""
+    starts = F.array(_slot(F.substring(word, 1, 3), 0), _slot(F.substring(word, 1, 5), 1))
+    slots = words.select(F.explode(starts).alias("_slot")).agg(F.sort_array(F.collect_set("_slot")).alias("_slots"))
+    gap = lambda x, k: x - F.coalesce(F.get("_slots", k - 1), F.lit(-1)) - 1
+    return slots.select(F.flatten(F.transform("_slots", lambda x, k: F.concat(
+        F.array_repeat(F.lit(False), gap(x, k)), F.array(F.lit(True)))))).scalar()
+
+
+def holds_start(word: Column, starts: Column) -> Column:
+    """False or null only if the word holds none of the words of `asked_starts`."""
+    at = lambda part, kind: F.get(starts, _slot(part, kind))
+    return F.exists(F.regexp_extract_all(word, F.lit("(?s)(?=(.{3,5}))"), F.lit(1)), lambda x: at(F.substring(x, 1, 3), 0) & (
+        at(x, 1) | F.coalesce(at(F.substring(x, 1, 3), 1), F.lit(False)) | F.coalesce(at(F.substring(x, 1, 4), 1), F.lit(False))))
+
+
 def mention_hits(articles: DataFrame, rows: DataFrame, doc: str, content: str, model: str) -> DataFrame:
     """doc and `hits`, array<struct(word, n)>: how often the text of an article holds each
     model word that some row asks about, counted as `word_mentions` does.
 
     No join and no shuffle carries a text, and each article's words travel once, however
-    many rows ask.  A model word has no blanks, so each of its places lies in one word.
+    many rows ask.  A model word has no blanks, so each of its places lies in one word;
+    a word of the text travels only if it holds the start of some model word.
     The words asked about one article are as many as there are distinct model words.
     """
-    asked = (rows.select(doc, F.explode(model_words(F.col(model))).alias("_w")).distinct()
-             .groupBy(doc).agg(F.collect_list("_w").alias("_asked")))
-    given = articles.select(doc, content_words(F.col(content)).alias("_given"))
+    pairs = rows.where(F.col(doc).isNotNull()).select(doc, F.explode(model_words(F.col(model))).alias("_w")).distinct()
+    asked = pairs.groupBy(doc).agg(F.collect_list("_w").alias("_asked"))
+    # The subquery is a column of its own, since Spark takes none inside a higher-order function.
+    given = articles.select(doc, content, asked_starts(pairs, "_w").alias("_starts")).select(doc, text.let(
+        F.col("_starts"), lambda starts: content_words(F.col(content), lambda w: holds_start(w, starts))).alias("_given"))
     places = lambda x, w: F.floor((F.length(x["word"]) - F.length(F.replace(x["word"], w, F.lit("")))) / F.length(w)) * x["n"]
     hits = F.transform("_asked", lambda w: F.struct(w.alias("word"), F.aggregate(
         F.filter("_given", lambda x: F.contains(x["word"], w)), F.lit(0).cast("bigint"), lambda acc, x: acc + places(x, w)).alias("n")))
