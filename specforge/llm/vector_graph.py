@@ -208,12 +208,14 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
 
 
 def centers(nodes: DataFrame, seed: int = 0) -> dict:
-    """Unit centers by (label, length), for those with more vectors than a shard should have.
+    """Unit centers by (label, length), for those that have more of them than a vector has shards.
 
-    Fitted by spherical k-means on a sample of fixed size, chosen by hash.
+    With no more than that every shard would hold all vectors, with the same lists in each, and
+    every query would search them all; such a label is one shard.  Fitted by spherical k-means on
+    a sample of fixed size, chosen by hash.
     """
     large = (nodes.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
-             .where(F.col("n") > SHARD).orderBy(F.desc("n"), "label", "dim").limit(SAMPLE // 16))
+             .where(F.col("n") > SHARD * OVERLAP).orderBy(F.desc("n"), "label", "dim").limit(SAMPLE // 16))
     sample = (nodes.withColumn("dim", F.size("vector")).join(F.broadcast(large), ["label", "dim"])
               .orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select(F.col("label").cast("string").alias("label"), "dim", "n", "vector")).toArrow()
     groups: dict = {}
@@ -224,6 +226,8 @@ def centers(nodes: DataFrame, seed: int = 0) -> dict:
     for key, (n, vectors) in sorted(groups.items(), key=repr):
         x = unit(np.array(vectors))
         k = min(-(-n // SHARD), max(1, len(x) // 8))
+        if k <= OVERLAP:
+            continue
         c = x[rng.permutation(len(x))[:k]]
         for _ in range(6):
             near = (x @ c.T).argmax(1)

@@ -148,6 +148,20 @@ def test_hits_come_from_the_graph(spark, monkeypatch):
     assert answer(df) != want
 
 
+def test_no_shard_repeats_a_whole_label(spark, monkeypatch):
+    """A label with no more centers than a vector has shards is searched once, not once per center."""
+    for name, value in (("SHARD", 100), ("RECALL", 1.0), ("AUDITED", 10_000)):
+        monkeypatch.setattr(vector_graph, name, value)
+    dealt = []
+    real = vector_graph.deal
+    monkeypatch.setattr(vector_graph, "deal", lambda *a: dealt.append(real(*a)) or dealt[-1])
+    for n, copies in [(500, 1), (1000, vector_graph.OVERLAP)]:      # two labels: 3 and 5 centers each
+        rows = made_vectors(n, seed=4)
+        dealt.clear()
+        assert answer(spark.createDataFrame(rows, VECTORS)) == naive_links(rows)
+        assert dealt[0].count() == copies * dealt[0].select("node").distinct().count()
+
+
 def test_audit_counts_queries(spark):
     """A hot group with all its links does not hide pairs that were missed."""
     hot = [(0, [1.0, 0.001 * i, 0.0]) for i in range(60)]
